@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tesseral.llm import pii
+from tesseral.llm import mixing, pii, warc
 
 QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
     "op8_pii": pii.op8_pii,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.OP6_SQL,
+    "op10_warc": warc.OP10_SQL,
+}
