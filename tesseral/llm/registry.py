@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tesseral.llm import mixing, pii, warc
+from tesseral.llm import fingerprints, mixing, pii, urls, warc
 
 QUERIES = {
     "op6_mixing": mixing.op6_mixing,
+    "op7_urls": urls.op7_urls,
     "op8_pii": pii.op8_pii,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.OP6_SQL,
+    "op7_urls": urls.OP7_SQL,
+    "op9_fingerprints": fingerprints.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
