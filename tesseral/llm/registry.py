@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tesseral.llm import fingerprints, mixing, pii, urls, warc
+from tesseral.llm import decontamination, fingerprints, language, licenses, mixing, pii, quality, urls, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_licenses": licenses.op3_licenses,
+    "op4_language": language.op4_language,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_urls": urls.op7_urls,
     "op8_pii": pii.op8_pii,
@@ -13,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": licenses.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_urls": urls.OP7_SQL,
     "op9_fingerprints": fingerprints.OP9_SQL,

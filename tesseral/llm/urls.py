@@ -108,6 +108,7 @@ def judge(pages: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RULES,
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url"))
+    links = materialise(links, "links")
     edges = links.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"))
     found = connected_components(edges).select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
     own = rule_of(F.col("host"), F.col("path"), rules)
