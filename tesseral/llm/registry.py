@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tesseral.llm import decontamination, fingerprints, language, licenses, mixing, pii, quality, urls, warc
+from tesseral.llm import decontamination, fingerprints, language, licenses, mixing, ngram_join, pii, quality, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_licenses": licenses.op3_licenses,
     "op4_language": language.op4_language,
     "op5_decontamination": decontamination.op5_decontamination,

@@ -4,7 +4,10 @@ and connected components of an edge table."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +70,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     current = materialise(pairs, "cc")
-    first = current
-    while True:
+    first, before = current, _state(current)
+    while before[0]:
         # Large star: every greater neighbour of u joins the least of u and its neighbours.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -90,13 +93,68 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct()
         )
         nxt = materialise(small, "cc")
-        changed = nxt.exceptAll(current).limit(1).count() + current.exceptAll(nxt).limit(1).count()
         discard(large)
         if current is not first:
             discard(current)
-        current = nxt
-        if not changed:
+        current, now = nxt, _state(nxt)
+        if now == before:
             break
+        before = now
     nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     out = nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
     return out.select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _state(edges: DataFrame) -> tuple[int, int | None, int | None]:
+    """Equal for equal edge sets, and in all likelihood only for them."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).head())
+
+
+#: Bits of an id filter: 2 MB, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+class IdFilter:
+    """A bit table of hashed ids: never misses a member, and lets few others by
+    while members are far fewer than its bits.  Its size is fixed."""
+
+    def __init__(self, ids: DataFrame):
+        """ids: a single column of longs."""
+        name = ids.columns[0]
+        at = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+        words = (
+            ids.where(F.col(name).isNotNull())
+            .select(F.floor(at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bits"))
+            .groupBy("word")
+            .agg(F.bit_or("bits").alias("bits"))
+        )
+        table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        rows = words.toArrow()
+        table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        self.bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+    def split(self, df: DataFrame, id_col: str, hits: bool) -> DataFrame:
+        """The rows whose id may be a member, or those whose id is certainly none."""
+        bits = np.packbits(self.bits)
+        schema = df.schema
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.unpackbits(bits).astype(bool)
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                rest = batch.select(list(range(batch.num_columns - 1)))
+                yield rest.filter(pa.array(table[at] == hits))
+
+        at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).cast("int")
+        named = df.select("*", at.alias(f"_filter_{uuid.uuid4().hex[:8]}"))
+        return named.mapInArrow(choose, schema)
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose id is in `ids` (a single column): only rows
+    that an IdFilter lets by are moved to meet the ids."""
+    known = ids.toDF("_gone")
+    members = IdFilter(known)
+    maybe = members.split(df, id_col, True)
+    kept = maybe.join(known, maybe[id_col] == known["_gone"], "left_anti")
+    return members.split(df, id_col, False).unionByName(kept)
