@@ -1,4 +1,8 @@
 """The registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tesseral.plans import panel_queries
+
+QUERIES: dict = {**panel_queries.QUERIES}
+ORACLE_SQL: dict = {**panel_queries.ORACLE_SQL}
