@@ -15,7 +15,7 @@ document the least id that links reach from it.  The steps:
    with the frequent shingles last.  The list's shingles that are still met by
    more than `BUCKET_ROWS` documents are routed to pairs of slices of their
    documents instead, so that no bucket outgrows memory or one task.
-3. In each bucket the count vectors are the points of R-trees (one per vector
+3. Buckets of the same classes are one.  In each the count vectors are the points of R-trees (one per vector
    length, packed by size and leading coordinates).  The sum of the coordinate
    minima of two vectors, or of a vector and a node's greatest coordinates,
    bounds the overlap from above; sub-trees and points below the overlap that a
@@ -271,17 +271,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (bucket, cls), those of buckets with two or more classes."""
+    """Of rows sorted by (bucket, cls), those of buckets with two or more classes,
+    under a hash of the bucket's classes in place of its shingle: near copies
+    share many shingles, and buckets of the same classes need only one look."""
+    told: set[int] = set()
     for table in _runs(batches):
         bucket, cls = table.column(0).to_numpy(), table.column(1).to_numpy()
         new = np.ones(len(bucket), dtype=bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (cls[1:] != cls[:-1])
         bucket, cls = bucket[new], cls[new]
-        same = np.zeros(len(bucket) + 1, dtype=bool)
-        same[1:-1] = bucket[1:] == bucket[:-1]
-        keep = same[1:] | same[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
+        members = mix(np.add.reduceat(mix(cls.view(U64)), starts) + sizes.astype(U64)).view(np.int64)
+        fresh = np.zeros(len(starts), dtype=bool)
+        for k in np.flatnonzero(sizes > 1):
+            name = int(members[k])
+            if name not in told:
+                told.add(name)
+                fresh[k] = True
+        if len(told) > 1_000_000:
+            told.clear()
+        keep = np.repeat(fresh, sizes)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(cls[keep])], names=["bucket", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(members, sizes)[keep]), pa.array(cls[keep])], names=["bucket", "cls"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +416,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     routed = docs.select("text").mapInArrow(_routes(hot, slices), "bucket long, cls long")
     shared = routed.repartition(parts, "bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_shared, "bucket long, cls long")
     vectors = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
-    points = shared.join(vectors, "cls").select("bucket", "cls", "n", "vector")
+    points = shared.distinct().join(vectors, "cls").select("bucket", "cls", "n", "vector")
     stars = points.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long")
     families = connected_components(stars).toDF("cls", "family")
 
