@@ -16,12 +16,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.config import ALPHA_GRID
 
-MAX_ROUNDS, TOLERANCE, ETA_LIMIT = 100, 1e-9, 30.0
+MAX_ROUNDS, TOLERANCE, ETA_LIMIT = 30, 1e-9, 30.0
 
 
 @dataclass
@@ -54,8 +55,8 @@ def _log_likelihood(y: np.ndarray, eta: np.ndarray, alpha: float) -> float:
     return float((rising - factorial - np.log1p(alpha * mu) / alpha + y * (np.log(alpha) + eta - np.log1p(alpha * mu))).sum())
 
 
-def _sums(rows: DataFrame, columns: tuple[str, ...], y: str, betas: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every alpha: X'WX, X'W(z) and the log-likelihood at its beta."""
+def _sums(rows: DataFrame, columns: tuple[str, ...], betas: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every alpha: X'WX, X'W(z) and the log-likelihood at its beta; rows hold the features, then y."""
     k, m = len(columns) + 1, len(alphas)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +73,7 @@ def _sums(rows: DataFrame, columns: tuple[str, ...], y: str, betas: np.ndarray,
                 total[a] += np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [_log_likelihood(t, eta, alphas[a])]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["a", "s"])
 
-    narrow = rows.select(*(F.col(c).cast("double") for c in columns), F.col(y).cast("double"))
-    parts = narrow.mapInArrow(partial, "a int, s array<double>")
+    parts = rows.mapInArrow(partial, "a int, s array<double>")
     width = k * k + k + 1
     added = parts.groupBy("a").agg(*(F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(width))).orderBy("a").collect()
     s = np.array([list(r)[1:] for r in added])
@@ -81,23 +81,27 @@ def _sums(rows: DataFrame, columns: tuple[str, ...], y: str, betas: np.ndarray,
 
 
 def fit_profile(rows: DataFrame, columns: tuple[str, ...], y: str = "y", alphas: tuple[float, ...] = (0.0,), start: np.ndarray | None = None) -> list[Fit]:
-    """A fit for every alpha (0 is Poisson), all in the same passes over the rows."""
+    """A fit for every alpha (0 is Poisson), all in the same passes over the rows,
+    which are computed once and kept, on disk where memory is short."""
     a = np.array(alphas, dtype=float)
-    mean = rows.agg(F.avg(y)).head()[0] or 1e-9
-    base = np.zeros(len(columns) + 1) if start is None else start
-    if start is None:
-        base[0] = math.log(max(mean, 1e-9))
-    betas = np.tile(base, (len(a), 1))
-    last = np.full(len(a), -np.inf)
-    done = np.zeros(len(a), dtype=bool)
-    for _ in range(MAX_ROUNDS):
-        xtx, xtz, llf = _sums(rows, columns, y, betas, a)
-        done = np.abs(llf - last) <= TOLERANCE * (1.0 + np.abs(llf))
-        last = llf
-        if done.all():
-            break
-        for k in np.flatnonzero(~done):
-            betas[k] = np.linalg.lstsq(xtx[k] + 1e-10 * np.eye(len(base)), xtz[k], rcond=None)[0]
+    kept = rows.select(*(F.col(c).cast("double") for c in columns), F.col(y).cast("double").alias("_y")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if start is None:
+            start = np.zeros(len(columns) + 1)
+            start[0] = math.log(max(kept.agg(F.avg("_y")).head()[0] or 0.0, 1e-9))
+        betas = np.tile(start, (len(a), 1))
+        last = np.full(len(a), -np.inf)
+        done = np.zeros(len(a), dtype=bool)
+        for _ in range(MAX_ROUNDS):
+            xtx, xtz, llf = _sums(kept, columns, betas, a)
+            done = np.abs(llf - last) <= TOLERANCE * (1.0 + np.abs(llf))
+            last = llf
+            if done.all():
+                break
+            for k in np.flatnonzero(~done):
+                betas[k] = np.linalg.lstsq(xtx[k] + 1e-10 * np.eye(len(start)), xtz[k], rcond=None)[0]
+    finally:
+        kept.unpersist()
     return [Fit(columns, betas[k], float(last[k]), float(a[k]), bool(done[k])) for k in range(len(a))]
 
 
