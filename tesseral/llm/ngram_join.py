@@ -53,7 +53,7 @@ from tesseral.llm.shared import IdFilter, connected_components, drop_ids, materi
 #: Frequent shingles kept, at most, and how often in a block makes one frequent.
 HOT_SHINGLES, HOT_IN_BLOCK, BLOCK_SHINGLES = 65_536, 8, 1_000_000
 #: Documents of one bucket slice; shingles of one family slice.
-BUCKET_ROWS, FAMILY_SHINGLES = 20_000, 1_000_000
+BUCKET_ROWS, FAMILY_SHINGLES = 20_000, 250_000
 MIN_GROUPS, MAX_GROUPS, PER_GROUP = 32, 4096, 8
 SALTS = 8
 
