@@ -72,7 +72,7 @@ def mix(sized: DataFrame, weights: DataFrame | None = None, *, max_epochs: float
             F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
         ),
         "sized",
-    ).withColumn("slice", F.substring("h", 1, 4))
+    ).withColumn("slice", F.substring("h", 1, 3))
     slices = rows.groupBy("sk", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
     totals = slices.groupBy("sk").agg(F.sum("slice_size").alias("source_size"), F.first("source").alias("source"))
     if weights is None:
