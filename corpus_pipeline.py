@@ -3,7 +3,7 @@
 Five stages, each over all rows that its predecessor kept: language ID drops
 documents without a leading language, of every group of near copies the least
 id stays, documents holding a benchmark item go, personal data is replaced in
-the texts, and the sources are mixed to their target weights.  The first four
+the texts (n_chars follows), and the sources are mixed to their target weights.  The first four
 return the columns of documents; the last returns a row for every document with
 its source's target and the words that the mix takes of it, 0 where it is left
 out.
@@ -32,7 +32,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    length = F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))
+    return pii.redact(docs).withColumn("n_chars", length)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.select(id_col, F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """The rows, with all their columns, whose leading language has a share of
     `least` or more; `und` rows go."""
     at = docs.columns.index(text_col)
