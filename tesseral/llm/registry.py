@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_licenses": licenses.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_urls": urls.OP7_SQL,
