@@ -20,11 +20,16 @@ document the least id that links reach from it.  The steps:
    minima of two vectors, or of a vector and a node's greatest coordinates,
    bounds the overlap from above; sub-trees and points below the overlap that a
    link needs are passed over.  The bucket's connected pairs leave as stars.
-4. Components of the surviving pairs are families.  Only families' texts move;
-   each family, cut into pairs of slices of `FAMILY_SHINGLES` at most, is
-   verified exactly: a document is first held against the components' first
-   members, then, where one is left open, against all others by shared
-   shingles.
+   A bucket that still holds far more than `BUCKET_ROWS` classes is cut into
+   pairs of slices too.
+4. Components of the surviving pairs are families.  Only families' texts move.
+   A family is cut into slices of `FAMILY_SHINGLES`, each with `HUBS` members of
+   the family beside its own, and every slice is verified exactly: a document is
+   first held against the components' first members, then, where one is left
+   open, against all others by shared shingles.  Mostly this joins the whole
+   family, at one copy of each text.  Where it doesn't, what lies outside the
+   family's greatest component meets all the rest in pairs of slices, so no link
+   between different components is missed.
 5. Components of the verified links, joined back to the documents by class.
 
 Nothing here is capped or sampled: hot shingles, copies and families are split
@@ -44,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesseral.llm.kernels import U64, mix, shingle_set
@@ -52,8 +57,8 @@ from tesseral.llm.shared import IdFilter, connected_components, drop_ids, materi
 
 #: Frequent shingles kept, at most, and how often in a block makes one frequent.
 HOT_SHINGLES, HOT_IN_BLOCK, BLOCK_SHINGLES = 65_536, 8, 1_000_000
-#: Documents of one bucket slice; shingles of one family slice.
-BUCKET_ROWS, FAMILY_SHINGLES = 20_000, 250_000
+#: Documents of one bucket slice; shingles of one family slice, and the members that all slices see.
+BUCKET_ROWS, FAMILY_SHINGLES, HUBS = 20_000, 250_000, 8
 MIN_GROUPS, MAX_GROUPS, PER_GROUP = 32, 4096, 8
 SALTS = 8
 
@@ -270,30 +275,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (bucket, cls), those of buckets with two or more classes,
-    under a hash of the bucket's classes in place of its shingle: near copies
-    share many shingles, and buckets of the same classes need only one look."""
-    told: set[int] = set()
-    for table in _runs(batches):
-        bucket, cls = table.column(0).to_numpy(), table.column(1).to_numpy()
-        new = np.ones(len(bucket), dtype=bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (cls[1:] != cls[:-1])
-        bucket, cls = bucket[new], cls[new]
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
-        members = mix(np.add.reduceat(mix(cls.view(U64)), starts) + sizes.astype(U64)).view(np.int64)
-        fresh = np.zeros(len(starts), dtype=bool)
-        for k in np.flatnonzero(sizes > 1):
-            name = int(members[k])
-            if name not in told:
-                told.add(name)
-                fresh[k] = True
-        if len(told) > 1_000_000:
-            told.clear()
-        keep = np.repeat(fresh, sizes)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(members, sizes)[keep]), pa.array(cls[keep])], names=["bucket", "cls"])
+def _shared(most: int):
+    """Step 3's scan of rows sorted by (bucket, cls)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of buckets with two or more classes, under a hash of the
+        bucket's classes in place of its shingle: near copies share many
+        shingles, and buckets of the same classes need only one look."""
+        told: set[int] = set()
+        for table in _runs(batches):
+            bucket, cls = table.column(0).to_numpy(), table.column(1).to_numpy()
+            new = np.ones(len(bucket), dtype=bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (cls[1:] != cls[:-1])
+            bucket, cls = bucket[new], cls[new]
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
+            members = mix(np.add.reduceat(mix(cls.view(U64)), starts) + sizes.astype(U64)).view(np.int64)
+            fresh = np.zeros(len(starts), dtype=bool)
+            for k in np.flatnonzero(sizes > 1):
+                name = int(members[k])
+                if name not in told:
+                    told.add(name)
+                    fresh[k] = True
+            if len(told) > 1_000_000:
+                told.clear()
+            for k in np.flatnonzero(fresh & (sizes > 4 * most)):
+                fresh[k] = False
+                yield from _bucket_slices(members[k], cls[starts[k] : starts[k] + sizes[k]], most)
+            keep = np.repeat(fresh, sizes)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(members, sizes)[keep]), pa.array(cls[keep])], names=["bucket", "cls"])
+
+    return scan
+
+
+def _bucket_slices(name: np.int64, cls: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a bucket dealt to all pairs of its slices, one slice's partners at a time."""
+    k = U64(len(cls) // most + 1)
+    mine = cls.view(U64) % k
+    for other in range(int(k)):
+        pair = np.minimum(mine, U64(other)) * k + np.maximum(mine, U64(other))
+        part = mix(np.array([name]).view(U64) + (pair + U64(1)) * U64(0x9E3779B97F4A7C15))
+        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(cls)], names=["bucket", "cls"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,16 +410,43 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def _sliced(rows: DataFrame, key: str, weight: str, most: int, item: Column) -> DataFrame:
-    """Rows with `part`: one part per key, or, where a key's weights sum to more
-    than `most`, one for each pair of its slices, every row in as many as there
-    are slices.  Any two rows of a key share a part, and none outgrows 2 * most
-    but by chance of the hash."""
-    total = rows.groupBy(key).agg(F.ceil(F.sum(weight) / most).cast("long").alias("k"))
-    cut = rows.join(total, key).withColumn("mine", F.pmod(F.xxhash64(item), F.col("k")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
-    part = F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other"))
-    return cut.select("*", other).withColumn("part", part).drop("k", "mine", "other")
+def _slice(k: str) -> Column:
+    return F.pmod(F.xxhash64("cls"), F.col(k))
+
+
+def _upto(k: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+
+
+def _own_parts(sized: DataFrame) -> DataFrame:
+    """(part, rep, cls): every member of a family of k slices in its slice, the
+    HUBS members of least class in all of them."""
+    own = sized.select(F.xxhash64("family", _slice("k")).alias("part"), "rep", "cls")
+    place = F.row_number().over(Window.partitionBy("family").orderBy("cls"))
+    hubs = sized.where("k > 1").withColumn("place", place).where(F.col("place") <= HUBS).select("family", "rep", "cls", _upto("k").alias("slice"))
+    return own.unionByName(hubs.select(F.xxhash64("family", "slice").alias("part"), "rep", "cls"))
+
+
+def _open_parts(state: DataFrame) -> DataFrame | None:
+    """(part, rep, cls) for the families of (family, component, rep, cls, n) in
+    several components; None if there are none.  What is outside a family's
+    greatest component shares a part with every other member, members of that
+    component needn't meet one another."""
+    pieces = state.groupBy("family", "component").agg(F.sum("n").alias("n"))
+    whole = pieces.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
+    slices = lambda n: F.ceil(n / F.lit(FAMILY_SHINGLES)).cast("long")
+    cuts = whole.select("family", F.col("main.component").alias("main"), slices(F.col("main.n")).alias("ka"), slices(F.col("n") - F.col("main.n")).alias("kb"))
+    if cuts.isEmpty():
+        return None
+    rows = state.join(cuts, "family")
+    inside, outside = rows.where("component = main"), rows.where("component != main")
+    part = lambda a, b: F.xxhash64("family", a, b).alias("part")
+    met = inside.select("*", _upto("kb").alias("b")).select(part(_slice("ka"), F.col("b")), "rep", "cls")
+    meets = outside.select("*", _upto("ka").alias("a")).select(part(F.col("a"), _slice("kb")), "rep", "cls")
+    pairs = outside.where("kb > 1").select("*", _upto("kb").alias("other"), _slice("kb").alias("mine")).where("other != mine")
+    return met.unionByName(meets).unionByName(
+        pairs.select(part(-1 - F.least("mine", "other"), F.greatest("mine", "other")), "rep", "cls")
+    )
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,17 +464,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
     routed = docs.select("text").mapInArrow(_routes(hot, slices), "bucket long, cls long")
-    shared = routed.repartition(parts, "bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_shared, "bucket long, cls long")
+    shared = routed.repartition(parts, "bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_shared(BUCKET_ROWS), "bucket long, cls long")
     vectors = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
     points = shared.distinct().join(vectors, "cls").select("bucket", "cls", "n", "vector")
     stars = points.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long")
     families = connected_components(stars).toDF("cls", "family")
 
     members = materialise(families.join(classes, "cls").where("rep IS NOT NULL").join(vectors.select("cls", "n"), "cls"), "members")
-    maybe = IdFilter(members.select("rep")).split(docs, "doc_id", True)
-    texts = maybe.join(_sliced(members, "family", "n", FAMILY_SHINGLES, F.col("cls")), F.col("doc_id") == F.col("rep"))
-    links = texts.select("part", "doc_id", "cls", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_verified, "a long, b long")
-    joined = connected_components(links).toDF("rep", "component")
+    total = members.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("long").alias("k"))
+    sized = members.join(total, "family")
+
+    def verified(of: DataFrame, dealt: DataFrame) -> DataFrame:
+        texts = IdFilter(of.select("rep")).split(docs, "doc_id", True).join(dealt, F.col("doc_id") == F.col("rep"))
+        return texts.select("part", "doc_id", "cls", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_verified, "a long, b long")
+
+    joined = connected_components(verified(members, _own_parts(sized))).toDF("rep", "component")
+    cut = sized.where("k > 1").join(joined, "rep", "left")
+    state = materialise(cut.select("family", F.coalesce("component", "rep").alias("component"), "rep", "cls", "n"), "cut")
+    still_open = _open_parts(state)
+    if still_open is not None:
+        more = verified(still_open, still_open)
+        joined = connected_components(more.unionByName(joined.toDF("a", "b"))).toDF("rep", "component")
 
     # Only classes of several documents or in a component with others are joined back,
     # each in SALTS copies, so that a class with a third of all documents is spread.

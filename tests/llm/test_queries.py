@@ -111,6 +111,38 @@ def test_join_with_every_bucket_and_family_split(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_join_where_slices_leave_families_open(spark, monkeypatch):
+    chain = [" ".join(f"c{j}" for j in range(3 * k, 3 * k + 120)) for k in range(40)]
+    base = [f"w{k}" for k in range(200)]
+    near = [" ".join(base[:100] + [f"x{k}"] + base[100:]) for k in range(60)]
+    rows = [(k * 7 % 101, t) for k, t in enumerate(chain + near)] + [(200, chain[0]), (None, chain[1])]
+    opened = []
+    parts_of = ngram_join._open_parts
+    monkeypatch.setattr(ngram_join, "_open_parts", lambda state: opened.append(parts_of(state)) or opened[-1])
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "FAMILY_SHINGLES", 500)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components([r for r in rows if r[0] is not None])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert opened[0] is not None and opened[0].count() > len(chain)
+
+
+def test_unlisted_large_bucket_is_cut_into_pairs_of_slices():
+    import itertools
+
+    import pyarrow as pa
+
+    cls = list(range(-40, 40))
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, *[5] * len(cls), 6], pa.int64()), pa.array([7, 8, 9, *cls, 9], pa.int64())], names=["bucket", "cls"])
+    held = defaultdict(set)
+    for batch in ngram_join._shared(10)(iter([rows.slice(0, 30), rows.slice(30)])):
+        for b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            held[b].add(c)
+    met = {p for group in held.values() for p in itertools.combinations(sorted(group), 2)}
+    assert met == {(7, 8), *itertools.combinations(cls, 2)} and max(map(len, held.values())) < 40
+
+
 def test_rtree_finds_what_a_scan_finds():
     import numpy as np
 
