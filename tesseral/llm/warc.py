@@ -37,6 +37,9 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Copies of each repeated payload's row in the join that finds its first capture.
 SALTS = 16
 EPOCH = 1_704_067_200
+#: Records of one run, and index rows of one merged range, so that neither
+#: a file nor a range grows with the number of captures.
+RUN_RECORDS, RANGE_ROWS = 5_000, 500_000
 
 
 def base32(hex40: Column) -> Column:
@@ -57,11 +60,12 @@ def url_key(url: Column) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, at: Column | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, at: Column | None = None, run_records: int = RUN_RECORDS) -> None:
     """Write (page_id, url, html) as runs under `path`.
 
     at: the capture's time in whole seconds; by default a fixed function of
-    page_id, as `pages` has none.  Repeated payloads are found by the digest
+    page_id, as `pages` has none.  A run is a file of at most `run_records`
+    records, since reading takes a file whole.  Repeated payloads are found by the digest
     alone: counts combine before the shuffle, only digests seen twice are
     joined back, and each of those meets its captures in SALTS parts, so that a
     payload with a third of all captures is written by many tasks.
@@ -128,6 +132,7 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, at: Colum
         .select(record.alias("value"))
         .write.option("lineSep", crlf * 2)
         .option("compression", "gzip")
+        .option("maxRecordsPerFile", run_records)
         .text(path)
     )
 
@@ -299,14 +304,14 @@ def merge_index(index: DataFrame, ranges: int) -> DataFrame:
     return cut.select(*names).mapInArrow(merge, schema)
 
 
-def captures(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
+def captures(pages: DataFrame, *, min_bytes: int = 0, run_records: int = RUN_RECORDS) -> DataFrame:
     """Write the pages as archives in the shared folder, read them back, and
-    return the merged index."""
+    return the merged index, in ranges of about RANGE_ROWS rows or fewer."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages, path, min_bytes=min_bytes)
+    write_archives(pages, path, min_bytes=min_bytes, run_records=run_records)
     index = materialise(read_archives(spark, path), "cdx")
-    return merge_index(index, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return merge_index(index, max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count() // RANGE_ROWS + 1))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

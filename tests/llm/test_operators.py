@@ -73,6 +73,17 @@ def test_capture_histories_are_in_global_order(spark, sf_dir):
     assert keys == sorted(keys) and len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
+def test_runs_of_few_records(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = warc.captures(pages, run_records=7).collect()
+    runs = {}
+    for r in rows:
+        runs.setdefault(r.run, []).append(r.seq)
+    assert len(rows) == pages.count() and all(sorted(x) == list(range(len(x))) and len(x) <= 7 for x in runs.values())
+    keys = [(r.key, r.at, r.page_id) for r in sorted(rows, key=lambda r: (r.range, r.position))]
+    assert keys == sorted(keys)
+
+
 def test_small_payloads_are_never_revisits(spark):
     df = spark.createDataFrame([(1, "http://a/", "xy"), (2, "http://b/", "xy"), (3, "http://c/", "long enough"), (4, "http://d/", "long enough")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.captures(df, min_bytes=5).collect()}
