@@ -34,6 +34,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Characters of an IBAN by country code.
+_IBAN_LENGTH = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 _NATIONAL = re.compile(r"(?<![0-9+(.-])\(?0?[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-][0-9]{3,5}(?![0-9-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -76,6 +86,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed IBANs from left to right.  A candidate runs into words behind
+    the number, so its shorter ends are tried too: that of its country's length,
+    or all, longest first, where the country is not known."""
+    m = _IBAN.search(text)
+    while m:
+        start, end = m.span()
+        length = _IBAN_LENGTH.get(text[start : start + 2])
+        while end > start:
+            number = text[start:end].replace(" ", "")
+            if length in (None, len(number)) and _IBAN.fullmatch(text, start, end) and mod97(number):
+                yield start, end
+                break
+            end = text.rfind(" ", start, end)
+        m = _IBAN.search(text, max(end, start + 1))
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of a local part, '@' and a dotted domain, found from
     the '@' so that long runs without one cost nothing."""
@@ -122,7 +149,7 @@ def spans_of(text: str | None, threshold: float = 0.6, window: int = 40) -> list
     if _DIGIT.search(text):
         taken = [(a, b) for _, a, b, _ in found]
         free = lambda a, b: all(b <= x or y <= a for x, y in taken)
-        extra = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        extra = [("iban", *span) for span in _ibans(text)]
         extra += [("national", *m.span()) for m in _NATIONAL.finditer(text)]
         extra += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         found += [(k, a, b, False) for k, a, b in extra if free(a, b)]

@@ -239,3 +239,16 @@ def test_pii_equals_brute_force(spark, docs):
         assert r.n_email == sum(k == 0 for _, k, _ in spans) and r.n_phone == sum(k == 3 for _, k, _ in spans)
     extra = next(r.spans for r in got if r.doc_id == 10_002)
     assert "iban:5:32" in extra and "national:42:54" in extra
+
+
+def test_ibans_before_other_words():
+    numbers = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947", "NL91ABNA0417164300"
+    for number in numbers:
+        for after in ("", " BIC CAIXESBB", " EUR 20", " SWIFT", " ABCD EFGH", ", BIC X"):
+            text = f"IBAN {number}{after}"
+            assert [(k, text[a:b]) for k, a, b, _, base in pii.spans_of(text) if not base] == [("iban", number)], text
+    # A country that isn't listed, a wrong check digit, and a candidate that runs into the next number.
+    assert [s[1:3] for s in pii.spans_of("IBAN QQ36 1234 5678 90AB BIC ABCD") if s[0] == "iban"] == [(5, 24)]
+    assert not [s for s in pii.spans_of("IBAN ES92 2100 0418 4502 0005 1332 BIC") if s[0] == "iban"]
+    text = f"IBAN DE12 3456 {numbers[0]} BIC"
+    assert [text[a:b] for k, a, b, _, _ in pii.spans_of(text) if k == "iban"] == [numbers[0]]
