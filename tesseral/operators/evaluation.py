@@ -116,14 +116,14 @@ def walk_forward(panel: DataFrame, binned: DataFrame, years: tuple[int, ...], da
     """NB regression, both networks and the self-exciting process by test year:
     (year, model, mae, rmse, mean_poisson_deviance, alpha_hat)."""
     rows = log_energy(panel)
-    out = None
+    # A row each; left lazy, the plans of all folds together outgrow the driver.
+    found: list[tuple] = []
 
     def add(year: int, name: str, scored: DataFrame, alpha: float | None) -> None:
-        nonlocal out
         m = metrics.basic_metrics(scored).where("n > 0").select(
             F.lit(year).alias("year"), F.lit(name).alias("model"), "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.lit(alpha).cast("double").alias("alpha_hat")
         )
-        out = m if out is None else out.unionByName(m)
+        found.extend(tuple(r) for r in m.collect())
 
     for year in years:
         fold = splits.year_folds(rows, (year,))
@@ -144,7 +144,8 @@ def walk_forward(panel: DataFrame, binned: DataFrame, years: tuple[int, ...], da
     nets = nets.select(F.substring_index("job", ":", -1).cast("int").alias("year"), F.substring_index("job", ":", 1).alias("model"), "y", "mu", "alpha")
     scored = metrics.basic_metrics(nets, "year", "model").join(nets.groupBy("year", "model").agg(F.avg("alpha").alias("alpha_hat")), ["year", "model"])
     net_rows = scored.select("year", "model", "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.when(F.col("model") == "Hybrid_NB", F.col("alpha_hat")).alias("alpha_hat"))
-    return net_rows if out is None else out.unionByName(net_rows)
+    done = panel.sparkSession.createDataFrame(found, "year int, model string, mae double, rmse double, mean_poisson_deviance double, alpha_hat double")
+    return done.unionByName(net_rows)
 
 
 def average_improvement(rows: DataFrame, base: str, other: str) -> DataFrame:

@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from tesseral.config import ENHANCED_FEATURES, IDENTIFIABILITY_SEEDS
 from tesseral.functions import dist, grid as G
-from tesseral.operators import etas, evaluation as V, glm, metrics as M, mlp, spatial, splits, stats
+from tesseral.operators import etas, evaluation as V, glm, metrics as M, spatial, splits, stats
 from tesseral.plans import sql
 from tesseral.plans.panel_queries import binned, panel, r6
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-#: A tenth of the grid's values and shorter trainings keep the registered fits cheap.
-COARSE_GRID = tuple(10 ** (-3 + 5 * k / 11) for k in range(12))
-SHORT = mlp.Training(epochs=4, patience=2)
 FORECASTS = {"naive": ("naive", "poisson", None), "rate_poisson": ("rate", "poisson", None), "rate_nb": ("rate", "nb", 0.5)}
 
 
@@ -227,12 +224,12 @@ def g4_nb_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g6_classical_models")
 def g6_classical_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.classical_models(panel(spark, sf_dir, "orders"), COARSE_GRID)[0]
+    return V.classical_models(panel(spark, sf_dir, "orders"))[0]
 
 
 @query("m17_overdispersion_test")
 def m17_overdispersion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.lr_test(panel(spark, sf_dir, "bursty"), COARSE_GRID)
+    return V.lr_test(panel(spark, sf_dir, "bursty"))
 
 
 #: Fixed parameters of the forecast and likelihood checks.
@@ -288,12 +285,12 @@ def g24_etas_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g17_network_ablation")
 def g17_network_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.tail_evaluation(V.network_predictions(panel(spark, sf_dir, "orders"), how=SHORT)).where("stratum = 'All'")
+    return M.tail_evaluation(V.network_predictions(panel(spark, sf_dir, "orders"))).where("stratum = 'All'")
 
 
 @query("g18_identifiability")
 def g18_identifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.alpha_audit(V.identifiability(panel(spark, sf_dir, "orders"), IDENTIFIABILITY_SEEDS, SHORT), "seed")
+    return stats.alpha_audit(V.identifiability(panel(spark, sf_dir, "orders"), IDENTIFIABILITY_SEEDS), "seed")
 
 
 @query(
@@ -344,4 +341,4 @@ def a25_average_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("walk_forward")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.walk_forward(panel(spark, sf_dir, "orders"), binned(spark, sf_dir, "orders"), (2001,), 7.0, COARSE_GRID)
+    return V.walk_forward(panel(spark, sf_dir, "orders"), binned(spark, sf_dir, "orders"), (1998, 1999, 2000, 2001), 7.0)

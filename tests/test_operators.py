@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesseral.functions import dist
+from tesseral.config import ALPHA_GRID
 from tesseral.functions import grid as G
-from tesseral.operators import etas, glm, ingest, mlp, panel, splits, stats
+from tesseral.operators import etas, evaluation, glm, ingest, mlp, panel, splits, stats
+from tesseral.plans.registry import QUERIES
 
 
 def events(spark, rows):
@@ -124,3 +126,27 @@ def test_split_and_encoding_edges(spark):
     assert {r.cell_id: r.cell_idx for r in coded} == {"a": 0, "b": 1}
     constant = splits.fit_scaler(rows.withColumn("k", F.lit(2.0)), ("k",)).head()
     assert (constant["mean"], constant["scale"]) == (2.0, 1.0)
+
+
+def test_registered_fits_have_full_settings(spark, sf_dir, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def note(name, value):
+        seen[name] = value
+        raise Stop
+
+    monkeypatch.setattr(mlp, "train_and_score", lambda rows, jobs, how: note("how", how))
+    monkeypatch.setattr(glm, "fit_nb", lambda t, c, grid=ALPHA_GRID: note("grid", grid))
+    for name in ("g17_network_ablation", "g18_identifiability"):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, sf_dir)
+        assert seen.pop("how") == mlp.Training() and mlp.Training().epochs == 100 and mlp.Training().patience == 10
+    for name in ("g6_classical_models", "m17_overdispersion_test"):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, sf_dir)
+        assert seen.pop("grid") == ALPHA_GRID
+    monkeypatch.setattr(evaluation, "walk_forward", lambda p, b, years, days, grid=ALPHA_GRID: (years, grid))
+    assert QUERIES["walk_forward"](spark, sf_dir) == ((1998, 1999, 2000, 2001), ALPHA_GRID)
