@@ -150,3 +150,18 @@ def test_registered_fits_have_full_settings(spark, sf_dir, monkeypatch):
         assert seen.pop("grid") == ALPHA_GRID
     monkeypatch.setattr(evaluation, "walk_forward", lambda p, b, years, days, grid=ALPHA_GRID: (years, grid))
     assert QUERIES["walk_forward"](spark, sf_dir) == ((1998, 1999, 2000, 2001), ALPHA_GRID)
+
+
+def test_likelihood_of_all_events(spark, sf_dir):
+    from tesseral.plans import model_queries as Q
+
+    times = etas.event_times(Q.binned(spark, sf_dir, "bursty"))
+    want = {r.cell_id: r.nll for r in etas.likelihood_table(times, Q._fixed(times)).collect()}
+    got = {r.cell_id: r.nll for r in QUERIES["g19_etas_likelihood_all"](spark, sf_dir).collect()}
+    assert len(got) == 21 and got == pytest.approx(want, abs=1e-4)
+    # Repeated times and magnitudes, and more events than a block holds.
+    rng = np.random.default_rng(3)
+    rows = [("x", float(t), 3.0 + float(m)) for t, m in zip(np.sort(rng.integers(0, 90, 600)), rng.integers(0, 4, 600), strict=True)] + [("y", 0.0, 3.5)]
+    times = spark.createDataFrame(rows, "cell_id string, t_days double, mag double")
+    want = {r.cell_id: r.nll for r in etas.likelihood_table(times, Q._fixed(times)).collect()}
+    assert {r.cell_id: r.nll for r in etas.likelihood(times, Q._fixed(times)).collect()} == pytest.approx(want, rel=1e-9, abs=1e-6)
