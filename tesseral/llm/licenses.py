@@ -20,9 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A text without any of these holds no known sentence.
+#: The cue words of the SQL.
 CUE = r"(?i)licen[sc]|copyright|redistribut|permission|warrant|spdx|public domain|all rights reserved"
 
+#: A text without any of these holds no known sentence; white space may wrap between two words.
+_GAP = "[^A-Za-z0-9.+/-]+"
+GATE = rf"(?i)licen[sc]|copyright|redistribut|permission|warrant|spdx|cc0|endorse|cc{_GAP}by|public{_GAP}domain|rights{_GAP}reserved|later{_GAP}version|creative{_GAP}commons"
+
 # Identifiers and wordings of known licence sentences, normalised.
 SENTENCES = (
     ("spdx-apache-2.0", r"spdx-license-identifier apache-2\.0"),
@@ -132,7 +136,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_sentences counts sentences with an identifier; sequence joins the
     identifiers by ';' and licenses the recognised licences by ','.
     """
-    with_cue = F.when(F.col(text_col).rlike(CUE), F.col(text_col))
+    with_cue = F.when(F.col(text_col).rlike(GATE), F.col(text_col))
     cued = F.filter(sentences(with_cue), lambda s: s.rlike(CUE.replace("(?i)", "")) | s.rlike("creative commons|cc0|(^| )cc by|later version|endorse"))
     ids = F.filter(F.transform(cued, lambda s: identifiers(s)), lambda x: x.isNotNull())
     found = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))

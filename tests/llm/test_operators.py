@@ -141,3 +141,9 @@ def test_pipeline_stages(spark, sf_dir):
         assert docs.columns == columns and 0.8 * n < docs.count() <= n
     assert docs.where(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+")).count() == 0
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_creative_commons_without_another_cue(spark):
+    texts = {1: "Photo: Jane Doe, CC BY-SA 4.0.", 2: "Creative Commons Attribution 4.0", 3: "Released under CC0 1.0", 4: "At your option any later version"}
+    got = {r.doc_id: (r.licenses, r.sequence) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("CC-BY-SA", "cc-by-sa-grant"), 2: ("CC-BY", "cc-by-grant"), 3: ("CC0-1.0", "cc0-grant"), 4: ("", "gpl-or-later")}
