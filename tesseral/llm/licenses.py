@@ -1,12 +1,15 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences at line ends and behind '.', '!' or '?' before
-white space; a sentence is normalised (A-Z lower-cased, every run of other
-characters than a-z, 0-9, '.', '+', '/' and '-' one space, no dots at its end).
-Each normalised sentence is mapped to the identifiers of the known licence
-sentences it holds, which gives the document's identifier sequence, and ordered
-rules recognise licences as subsequences of it: the full texts before their
-parts, so that a part is not reported beside the whole it belongs to.
+A text is cut into sentences at blank lines and behind '.', '!' or '?' before
+white space; a single line end only wraps a sentence.  A sentence is normalised
+(A-Z lower-cased, every run of other characters than a-z, 0-9, '.', '+', '/' and
+'-' one space, no dots at its end).  Each normalised sentence is mapped to all
+identifiers of the known licence sentences it holds, by position, which gives
+the document's identifier sequence, and ordered rules recognise licences as
+subsequences of it: the full texts before their parts, so that a part is not
+reported beside the whole it belongs to.  OP3_SQL ends sentences at every line
+end, takes one identifier of each and knows fewer cue words, so it only holds for
+texts where that makes no difference.
 
 DataFrame functions only: sentences never leave their row, and texts without a
 cue word are not cut at all.  A null, empty or wordless text has no sentences and
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 
 #: The cue words of the SQL.
 CUE = r"(?i)licen[sc]|copyright|redistribut|permission|warrant|spdx|public domain|all rights reserved"
-
 #: A text without any of these holds no known sentence; white space may wrap between two words.
 _GAP = "[^A-Za-z0-9.+/-]+"
 GATE = rf"(?i)licen[sc]|copyright|redistribut|permission|warrant|spdx|cc0|endorse|cc{_GAP}by|public{_GAP}domain|rights{_GAP}reserved|later{_GAP}version|creative{_GAP}commons"
@@ -111,17 +113,30 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text, in order; those without a word are left out."""
-    parts = F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n"), r"[\x0A-\x0D]+")
+    lines = F.regexp_replace(text, r"\r\n", "\n")
+    parts = F.split(lines, r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A-\x0D][\x20\x09]*[\x0A-\x0D][\x20\x09-\x0D]*")
     plain = lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), r"[^a-z0-9.+/-]+", " "))
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(plain(s), r"[. ]+$", "")), lambda s: s != "")
 
 
 def identifiers(sentence: Column, known: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
-    """The identifier of the first known sentence that this one holds, or null."""
-    out = F.lit(None).cast("string")
-    for name, wording in reversed(known):
-        out = F.when(sentence.rlike(rf"(^| ){wording}($|[ .-])"), F.lit(name)).otherwise(out)
-    return out
+    """The identifiers of all known sentences that this one holds, at every place
+    and in order of position; the last of `known` only where there is no other."""
+    none = F.array()
+
+    def places(rank: int, name: str, wording: str) -> Column:
+        pattern = rf"(?:^|(?<= )){wording}(?=$|[ .-])"
+        # No line end is left in a sentence, so one can mark the places.
+        pieces = F.split(F.regexp_replace(sentence, pattern, "\n$0"), "\n")
+        before = lambda j: F.length(F.array_join(F.slice(pieces, F.lit(1), j), ""))
+        at = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda j: F.struct(before(j).alias("at"), F.lit(rank).alias("rank"), F.lit(name).alias("name")))
+        return F.when(sentence.rlike(pattern), at).otherwise(none.cast("array<struct<at: int, rank: int, name: string>>"))
+
+    found = [places(k, *x) for k, x in enumerate(known[:-1])]
+    names = F.transform(F.array_sort(F.concat(*found)), lambda x: x["name"])
+    last, wording = known[-1]
+    talk = F.when(sentence.rlike(rf"(^| ){wording}($|[ .-])"), F.array(F.lit(last))).otherwise(none.cast("array<string>"))
+    return F.when(F.size(names) > 0, names).otherwise(talk)
 
 
 def _in_order(names: tuple[str, ...]) -> str:
@@ -138,9 +153,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     with_cue = F.when(F.col(text_col).rlike(GATE), F.col(text_col))
     cued = F.filter(sentences(with_cue), lambda s: s.rlike(CUE.replace("(?i)", "")) | s.rlike("creative commons|cc0|(^| )cc by|later version|endorse"))
-    ids = F.filter(F.transform(cued, lambda s: identifiers(s)), lambda x: x.isNotNull())
-    found = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
-    rows = found.select(id_col, F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ";").alias("sequence"))
+    ids = F.filter(F.transform(cued, lambda s: identifiers(s)), lambda x: F.size(x) > 0)
+    found = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<array<string>>")).alias("ids"))
+    rows = found.select(id_col, F.size("ids").cast("long").alias("n_sentences"), F.array_join(F.flatten("ids"), ";").alias("sequence"))
     fits = {}
     for name, names, _ in RULES:
         fits[name] = F.concat(F.lit(";"), F.col("sequence"), F.lit(";")).rlike(_in_order(names))

@@ -147,3 +147,67 @@ def test_creative_commons_without_another_cue(spark):
     texts = {1: "Photo: Jane Doe, CC BY-SA 4.0.", 2: "Creative Commons Attribution 4.0", 3: "Released under CC0 1.0", 4: "At your option any later version"}
     got = {r.doc_id: (r.licenses, r.sequence) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {1: ("CC-BY-SA", "cc-by-sa-grant"), 2: ("CC-BY", "cc-by-grant"), 3: ("CC0-1.0", "cc0-grant"), 4: ("", "gpl-or-later")}
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+
+
+def test_wrapped_notices_and_sentences_of_many_identifiers(spark):
+    texts = {
+        1: MIT, 2: MIT.replace("\n", "\r\n"), 3: BSD_2, 4: BSD_3, 5: GPL, 6: "Under the MIT License or under the Apache License, Version 2.0, at your choice.",
+        7: "Photo: Jane Doe, CC BY-SA 4.0.", 8: "Creative\nCommons Attribution 4.0", 9: "Released under CC0 1.0",
+        10: "All rights reserved\nCopyright 2020 A\nAll rights reserved",
+    }
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {
+        1: "MIT", 2: "MIT", 3: "BSD-2-Clause", 4: "BSD-3-Clause", 5: "GPL-2.0-or-later", 6: "Apache-2.0-short,MIT-short", 7: "CC-BY-SA", 8: "CC-BY", 9: "CC0-1.0", 10: "Proprietary",
+    }
+    assert got[5].sequence == "gpl-redistribute;gpl-2.0-grant;gpl-or-later" and got[5].n_sentences == 1
+    assert got[6].sequence == "mit-grant;apache-2.0-grant" and got[10].sequence == "all-rights-reserved;copyright-line;all-rights-reserved"
+
+
+def test_every_known_sentence_alone(spark):
+    plain = lambda w: re.sub(r"\(([^|()]*)\|[^()]*\)", r"\1", re.sub(r"\([^()]*\)\?", "", w))
+    fixed = lambda w: plain(w).replace("licen[sc]e", "License").replace("[0-9]{4}", "2020").replace("[0-9.]+", "4.0").replace("\\.", ".").replace(".*", "any")
+    rows = [(k, fixed(w)) for k, (_, w) in enumerate(licenses.SENTENCES)]
+    assert all(re.fullmatch(w, t.lower()) for (_, w), (_, t) in zip(licenses.SENTENCES, rows, strict=True)), rows
+    rows += [(100 + k, t.replace(" ", "\n")) for k, t in rows]
+    got = {r.doc_id: r.sequence.split(";") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, _) in enumerate(licenses.SENTENCES):
+        assert name in got[k] and name in got[100 + k], (name, rows[k])
