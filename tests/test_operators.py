@@ -165,3 +165,12 @@ def test_likelihood_of_all_events(spark, sf_dir):
     times = spark.createDataFrame(rows, "cell_id string, t_days double, mag double")
     want = {r.cell_id: r.nll for r in etas.likelihood_table(times, Q._fixed(times)).collect()}
     assert {r.cell_id: r.nll for r in etas.likelihood(times, Q._fixed(times)).collect()} == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_unfinished_point_process_falls_back(monkeypatch):
+    rng = np.random.default_rng(2)
+    t, m = np.sort(rng.uniform(0, 50, 60)), 3 + rng.exponential(0.4, 60)
+    assert etas.MAX_ITERATIONS == 500 and not etas.fit_cell("x", t, m, 50.0)["fallback"]
+    monkeypatch.setattr(etas, "MAX_ITERATIONS", 1)
+    fit = etas.fit_cell("x", t, m, 50.0)
+    assert fit["fallback"] and fit["k"] == 0.0 and fit["mu"] == pytest.approx(59 / (t[-1] - t[0]))
