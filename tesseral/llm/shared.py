@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset, as
-    in tests, a folder beside the warehouse is used.
+    The cluster names it in spark.checkpoint.dir.  Where that is unset, a
+    session in one machine (as in tests) uses a folder in its warehouse, and a
+    cluster's is an error, as its machines may not share any other folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return named.rstrip("/")
 
@@ -110,43 +113,47 @@ def _state(edges: DataFrame) -> tuple[int, int | None, int | None]:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).head())
 
 
-#: Bits of an id filter: 2 MB, whatever the number of ids.
-FILTER_BITS = 1 << 24
+#: Bits of an id filter by member, and at most: 32 MB, good for some 30 million members.
+BITS_BY_MEMBER, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 
 
 class IdFilter:
-    """A bit table of hashed ids: never misses a member, and lets few others by
-    while members are far fewer than its bits.  Its size is fixed."""
+    """A bit table of hashed ids: never misses a member, and lets about one in
+    BITS_BY_MEMBER others by, or one in eight at its greatest size.  Of more
+    members than that size serves there is no table, and all rows pass."""
 
     def __init__(self, ids: DataFrame):
-        """ids: a single column of longs."""
-        name = ids.columns[0]
-        at = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-        words = (
-            ids.where(F.col(name).isNotNull())
-            .select(F.floor(at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bits"))
-            .groupBy("word")
-            .agg(F.bit_or("bits").alias("bits"))
-        )
-        table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-        rows = words.toArrow()
+        """ids: a single column, of any type."""
+        known = ids.where(F.col(ids.columns[0]).isNotNull())
+        members = known.count()
+        self.bits, self.size = None, MIN_BITS
+        while self.size < min(MAX_BITS, BITS_BY_MEMBER * members):
+            self.size *= 2
+        if members > MAX_BITS // 8:
+            return
+        at = self._place(ids.columns[0])
+        words = known.select(F.floor(at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bits"))
+        rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        table = np.zeros(self.size // 64, dtype=np.int64)
         table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-        self.bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+        self.bits = table
+
+    def _place(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(self.size))
 
     def split(self, df: DataFrame, id_col: str, hits: bool) -> DataFrame:
         """The rows whose id may be a member, or those whose id is certainly none."""
-        bits = np.packbits(self.bits)
-        schema = df.schema
+        if self.bits is None:
+            return df if hits else df.where(F.lit(False))
+        bits, schema = self.bits, df.schema
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.unpackbits(bits).astype(bool)
             for batch in batches:
                 at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-                rest = batch.select(list(range(batch.num_columns - 1)))
-                yield rest.filter(pa.array(table[at] == hits))
+                member = (bits[at >> 6] >> (at & 63)) & 1
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array((member == 1) == hits))
 
-        at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).cast("int")
-        named = df.select("*", at.alias(f"_filter_{uuid.uuid4().hex[:8]}"))
+        named = df.select("*", self._place(id_col).alias(f"_filter_{uuid.uuid4().hex[:8]}"))
         return named.mapInArrow(choose, schema)
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tesseral.llm import fingerprints, kernels, licenses, mixing, quality, shared, urls, warc
@@ -84,6 +85,39 @@ def test_runs_of_few_records(spark, sf_dir):
     assert keys == sorted(keys)
 
 
+ODD_URLS = ["http://a.org/x\ny", "http://a.org/x!z", "http://a.org/x%0Az", "http://a.org/x\r\n", "http://\u0130.org/\u0130", "HTTP://\u00c9.org/A", "http://\u00e9.org/b", "ftp://b", "nohost", "", None, "http://a.org/ x ", "http://a.org/x#y"]
+
+
+def test_odd_urls_in_one_run(spark):
+    rows = [(k, u, f"<p>{k % 4}") for k, u in enumerate(ODD_URLS)] + [(3, "http://a.org/x\r\n", "<p>3"), (None, "http://a.org/", "<p>1"), (None, None, "only null"), (None, None, "only null")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.captures(df).collect()
+    assert len(got) == len(rows) and len({r.run for r in got}) == 1
+    for r in got:
+        head, block = warc.read_record(r.run, r.offset, r.length)
+        assert head[b"warc-type"].decode() == r.record_type and len(block.partition(b"\r\n\r\n")[2]) == (r.payload_bytes if r.record_type == "response" else 0)
+    assert len({warc.read_record(r.run, r.offset, r.length)[0][b"warc-record-id"] for r in got}) == len(rows)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {
+        *((k, "response", None) for k in range(4)), *((k, "revisit", k % 4) for k in range(4, len(ODD_URLS))), (None, "revisit", 1), (None, "response", None),
+    }
+
+
+def test_many_repeated_payloads_move_alone(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sent = sorted(map(tuple, warc.captures(pages).select(*columns).collect()))
+    monkeypatch.setattr(warc, "SENT_ROWS", 0)
+    assert sorted(map(tuple, warc.captures(pages, run_bytes=5_000).select(*columns).collect())) == sent
+
+
+def test_a_run_out_of_order_is_an_error(spark):
+    df = spark.createDataFrame([(k, f"http://h{k}/", "x") for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    index = shared.materialise(warc.captures(df).drop("range", "position"), "cdx")
+    wrong = index.withColumn("seq", 10 - F.col("seq"))
+    with pytest.raises(Exception, match="isn't sorted"):
+        warc.merge_index(wrong, 1).count()
+
+
 def test_small_payloads_are_never_revisits(spark):
     df = spark.createDataFrame([(1, "http://a/", "xy"), (2, "http://b/", "xy"), (3, "http://c/", "long enough"), (4, "http://d/", "long enough")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.captures(df, min_bytes=5).collect()}
