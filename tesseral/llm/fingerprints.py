@@ -1,20 +1,21 @@
 """Threshold-scaled fingerprints: of a text's five-word shingles every hash
-below a fixed fraction of the hash range is kept.
+below a fixed fraction of the hash range is kept, and no other.
 
-Whether a shingle is kept depends on nothing but itself, so fingerprints of
-parts merge by union, and the share of a short text's hashes found in a long
+Whether a shingle is kept depends on nothing but itself, so sketches of shingle
+sets merge by union, and the share of a short text's hashes found in a long
 one's estimates containment however unequal they are.  A text whose shingles
-all miss the threshold keeps its least hash, so that only a text without words
-has an empty fingerprint.  A fingerprint is the sorted distinct first 16
-hexadecimal digits of the shingles' MD5, joined without separators; equal texts
-have equal ones.
+all miss the threshold has an empty fingerprint, as one without words has; of
+texts with 16 shingles that is one in a hundred.  A fingerprint is the sorted
+distinct first 16 hexadecimal digits of the kept shingles' MD5, joined without
+separators; equal texts have equal ones.
 
 DataFrame functions only.  Words are lower-cased runs as in the n-gram join;
 with fewer than five the whole sequence is one shingle.  Null text counts as
 empty, empty fingerprints are like nothing (0), not even each other, unless the
-texts are equal (1).  Rows that repeat an id are in the order of their texts;
-null ids come first.  A table of one row has itself as the next one, an empty
-table gives an empty one, and further columns are not looked at.
+texts are equal (1).  Rows that repeat an id are in the order of their texts
+and in one slice; null ids come first.  A table of one row has itself as the
+next one, an empty table gives an empty one, and further columns are not looked
+at.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Kept share of the hash range: MD5s with a first hexadecimal digit below 2.
-BELOW = "2"
+#: Kept share of the hash range: a quarter, MD5s with a first hexadecimal digit below 4.
+BELOW = "4"
 DIGITS = 16
+#: Quantiles of the id that cut the order into slices, bytes of text in a slice
+#: and in a task, and slices of which the first ids are sent to all tasks at most.
+QUANTILES, SLICE_BYTES, TASK_BYTES, SENT_SLICES = 256, 8 << 20, 32 << 20, 100_000
 
 
 def words(text: Column) -> Column:
@@ -47,9 +51,7 @@ def sketch(text: Column, *, size: int = 5, below: str = BELOW) -> Column:
         return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last), parts))
 
     def keep(hashes: Column) -> Column:
-        few = F.filter(hashes, lambda h: h < below)
-        least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
-        return F.when(F.size(few) > 0, F.array_sort(F.array_distinct(few))).otherwise(least)
+        return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < below)))
 
     # One-element transforms name a value, so that it is computed once.
     once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
@@ -67,45 +69,63 @@ def containment(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a).cast("double")), F.lit(0.0))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, *, slices: int) -> DataFrame:
-    """(id, text, next_text): the next row by id, after the last the first.
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of the union of two shingle sets from their sketches."""
+    return F.array_sort(F.array_union(a, b))
 
-    The order is cut into `slices` by approximate quantiles of the id, each row
-    moves once to its slice, and the last row of a slice takes the first text
-    of the next occupied one from a table of one row per slice.
+
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, own, next_text, next_own): every row's text and sketch and
+    those of the next row by id, after the last the first.
+
+    Sketches are taken before texts move, so each is taken once.  The order is
+    cut into slices of about SLICE_BYTES, by approximate quantiles of the id
+    and evenly between two of them; each row moves once to its slice, a task
+    gets several slices, and their number follows the bytes of all texts.  The
+    last row of a slice takes the first text of the next occupied one.
     """
-    ids = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    marks = ids.where("id IS NOT NULL").approxQuantile("id", [k / slices for k in range(1, slices)], 0.1 / slices)
-    bounds = sorted({int(x) for x in marks})
-    cut = _slice_of(F.col("id"), bounds)
-    placed = ids.withColumn("slice", cut)
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    amount, low, high = ids.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.min("id"), F.max("id")).head()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // TASK_BYTES + 1)
+    marks = ids.where("id IS NOT NULL").approxQuantile("id", [k / QUANTILES for k in range(1, QUANTILES)], 0.1 / QUANTILES)
+    bounds = sorted({int(x) for x in marks} | {x for x in (low, high) if x is not None})
+    finer = amount // (SLICE_BYTES * QUANTILES) + 1
+    placed = ids.withColumn("slice", _slice_of(F.col("id"), bounds, finer))
     order = Window.partitionBy("slice").orderBy(F.col("id").asc_nulls_first(), "text")
-    moved = placed.withColumn("next_text", F.lead("text").over(order))
+    moved = placed.withColumn("own", sketch(F.col("text"))).repartition(parts, "slice")
+    led = moved.select("*", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own"))
     # The first row of each slice, found without moving texts, then only those texts.
-    firsts = placed.groupBy("slice").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"))).alias("f"))
+    known = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"))
+    firsts = placed.groupBy("slice").agg(F.min(known).alias("f"))
     ring = Window.orderBy("slice")
-    ringed = firsts.select(
-        F.col("f.id").alias("first_id"),
-        F.col("f.known").alias("first_known"),
-        F.coalesce(F.lag("slice").over(ring), F.max("slice").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"),
-    )
-    at = (F.coalesce(F.col("id"), F.lit(0)) == F.col("first_id")) & (F.col("id").isNotNull() == F.col("first_known"))
-    heads = ids.join(F.broadcast(ringed), at).groupBy("before").agg(F.min("text").alias("head_text"))
-    return moved.join(heads, moved["slice"] == heads["before"], "left").select(
-        "id", "text", F.coalesce("next_text", "head_text").alias("next_text")
+    last = F.max("slice").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ringed = firsts.select("f", F.coalesce(F.lag("slice").over(ring), last).alias("before"))
+    if finer * (len(bounds) + 1) <= SENT_SLICES:
+        ringed = F.broadcast(ringed)
+    heads = ids.withColumn("f", known).join(ringed, "f").groupBy("before").agg(F.min("text").alias("head_text"))
+    heads = heads.withColumn("head_own", sketch(F.col("head_text")))
+    return led.join(heads, led["slice"] == heads["before"], "left").select(
+        "id", "text", "own", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_own", "head_own").alias("next_own")
     )
 
 
-def _slice_of(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below the value, by a tree of comparisons."""
+def _slice_of(value: Column, bounds: list[int], finer: int) -> Column:
+    """The number of the value's slice: how many bounds are at or below it, by a
+    tree of comparisons, and which of `finer` even parts up to the next bound."""
+
+    def part(k: int) -> Column:
+        if finer == 1 or not 0 < k < len(bounds):
+            return F.lit(k * finer).cast("long")
+        low, high = bounds[k - 1], bounds[k]
+        return (F.lit(k * finer) + F.floor((value.cast("double") - float(low)) / float(high - low) * finer)).cast("long")
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return part(lo)
         mid = (lo + hi) // 2
         return F.when(value < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return F.when(value.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+    return F.when(value.isNull(), F.lit(-1).cast("long")).otherwise(tree(0, len(bounds)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,35 +135,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slices = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.length("text")
     swap = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - swap)"), F.expr("substring(next_text, 1, swap)"))
     rows = (
-        with_next(docs, "doc_id", "text", slices=slices)
+        with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
         .withColumn("swap", swap)
-        .select("id", "text", "next_text", edited.alias("edited"))
+        .select("id", "text", "own", "next_text", "next_own", edited.alias("edited"))
         .select(
             "id",
             n.cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
-            sketch(F.col("text")).alias("own"),
+            "own",
             sketch(F.col("edited")).alias("other"),
-            sketch(F.col("next_text")).alias("next"),
+            F.col("next_own").alias("next"),
             (F.col("text") == F.col("edited")).alias("same"),
             (F.col("text") == F.col("next_text")).alias("same_next"),
         )
     )
-    near = lambda other, same: F.round(F.when(F.col(same), 1.0).otherwise(likeness(F.col("own"), F.col(other))), 6)
+    near = lambda of, other, same: F.round(F.when(F.col(same), 1.0).otherwise(of(F.col("own"), F.col(other))), 6)
     return rows.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         "edited_sha256",
         F.array_join("own", "").alias("fingerprint"),
         F.array_join("other", "").alias("edited_fingerprint"),
-        near("other", "same").alias("near_edited"),
-        near("next", "same_next").alias("near_next"),
+        near(likeness, "other", "same").alias("near_edited"),
+        near(likeness, "next", "same_next").alias("near_next"),
+        near(containment, "other", "same").alias("held_by_edited"),
+        near(containment, "next", "same_next").alias("held_by_next"),
     )
 
 
@@ -157,8 +177,11 @@ def _sql_hashes(column: str) -> str:
 
 
 def _sql_sketch(hashes: str) -> str:
-    few = f"list_filter({hashes}, lambda h: h < '{BELOW}')"
-    return f"(CASE WHEN len({few}) > 0 THEN list_sort(list_distinct({few})) WHEN len({hashes}) > 0 THEN [list_min({hashes})] ELSE [] END)"
+    return f"list_sort(list_distinct(list_filter({hashes}, lambda h: h < '{BELOW}')))"
+
+
+def _sql_near(same: str, other: str, whole: str) -> str:
+    return f"round(CASE WHEN text = {same} THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(s1, {other}))::DOUBLE / nullif(len({whole}), 0), 0) END, 6)"
 
 
 OP9_SQL = f"""
@@ -181,7 +204,7 @@ WITH texts AS (
 )
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
   array_to_string(s1, '') AS fingerprint, array_to_string(s2, '') AS edited_fingerprint,
-  round(CASE WHEN text = edited THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(s1, s2))::DOUBLE / nullif(len(list_distinct(s1 || s2)), 0), 0) END, 6) AS near_edited,
-  round(CASE WHEN text = next_text THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(s1, s3))::DOUBLE / nullif(len(list_distinct(s1 || s3)), 0), 0) END, 6) AS near_next
+  {_sql_near("edited", "s2", "list_distinct(s1 || s2)")} AS near_edited, {_sql_near("next_text", "s3", "list_distinct(s1 || s3)")} AS near_next,
+  {_sql_near("edited", "s2", "s1")} AS held_by_edited, {_sql_near("next_text", "s3", "s1")} AS held_by_next
 FROM sketches
 """

@@ -144,7 +144,40 @@ def test_sketches_merge_and_contain(spark):
     r = df.select(*(fingerprints.sketch(F.col(x)).alias(x) for x in "abc")).select(
         "*", fingerprints.containment(F.col("b"), F.col("a")).alias("ba"), fingerprints.containment(F.col("a"), F.col("b")).alias("ab")
     ).head()
-    assert r.ba == 1.0 and abs(r.ab - 0.2) < 0.06 and set(r.b) <= set(r.a) and len(r.c) == 1
+    assert r.ba == 1.0 and abs(r.ab - 0.2) < 0.06 and set(r.b) <= set(r.a) and len(r.c) <= 1
+
+
+def test_only_hashes_below_the_fraction_are_kept(spark):
+    """By definition, for texts of any length; sketches of two sets merge to that of their union."""
+    import hashlib
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "B", "c", "dd", "e"]) for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 7, 9, 20, 60, 400) for _ in range(6)]
+
+    def kept(*texts):
+        grams = set()
+        for t in texts:
+            w = t.lower().split()
+            grams |= {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        return sorted(h for h in {hashlib.md5(g.encode()).hexdigest()[:16] for g in grams} if h < fingerprints.BELOW)
+
+    df = spark.createDataFrame(list(zip(texts, texts[1:], strict=False)), "a string, b string").select("a", "b", *(fingerprints.sketch(F.col(x)).alias(f"s{x}") for x in "ab"))
+    for r in df.withColumn("m", fingerprints.merged(F.col("sa"), F.col("sb"))).collect():
+        assert r.sa == kept(r.a) and r.m == kept(r.a, r.b)
+
+
+def test_slices_of_the_order(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(None, "null"), *((rng.choice([-(2**62), 2**62, k, k * k, 7]), f"text {k}") for k in range(300))]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(5)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    order = sorted(rows, key=key)
+    for size in (1, 1000, 8 << 20):
+        monkeypatch.setattr(fingerprints, "SLICE_BYTES", size)
+        monkeypatch.setattr(fingerprints, "QUANTILES", 8)
+        monkeypatch.setattr(fingerprints, "SENT_SLICES", size)
+        got = sorted(((r.id, r.text, r.next_text) for r in fingerprints.with_next(df, "i", "t").collect()), key=key)
+        assert got == [(*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True)]
 
 
 def test_licence_sequences(spark):

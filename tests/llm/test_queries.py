@@ -50,7 +50,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op2_ngram_join", "op9_fingerprints"}))
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op2_ngram_join"}))
 def test_odd_rows_equal_sql(spark, odd_dir, name, monkeypatch):
     import tests.oracle as oracle
 
