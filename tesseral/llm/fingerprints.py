@@ -78,8 +78,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, own, next_text, next_own): every row's text and sketch and
     those of the next row by id, after the last the first.
 
-    Sketches are taken before texts move, so each is taken once.  The order is
-    cut into slices of about SLICE_BYTES, by approximate quantiles of the id
+    Each text's sketch is taken once, where the text has moved to, and passed on
+    to the row before it.  The order is cut into slices of about SLICE_BYTES, by approximate quantiles of the id
     and evenly between two of them; each row moves once to its slice, a task
     gets several slices, and their number follows the bytes of all texts.  The
     last row of a slice takes the first text of the next occupied one.
@@ -92,7 +92,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     finer = amount // (SLICE_BYTES * QUANTILES) + 1
     placed = ids.withColumn("slice", _slice_of(F.col("id"), bounds, finer))
     order = Window.partitionBy("slice").orderBy(F.col("id").asc_nulls_first(), "text")
-    moved = placed.withColumn("own", sketch(F.col("text"))).repartition(parts, "slice")
+    moved = placed.repartition(parts, "slice").withColumn("own", sketch(F.col("text")))
     led = moved.select("*", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own"))
     # The first row of each slice, found without moving texts, then only those texts.
     known = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"))
