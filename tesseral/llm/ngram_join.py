@@ -12,16 +12,19 @@ document the least id that links reach from it.  The steps:
    length.
 2. Every class is routed by its rarest shingles: linked sets share one of the
    first n - ceil(0.8 n) + 1 in any common order, and the order here is by hash
-   with the frequent shingles last.  The list's shingles that are still met by
-   more than `BUCKET_ROWS` documents are routed to pairs of slices of their
-   documents instead, so that no bucket outgrows memory or one task.
-3. Buckets of the same classes are one.  In each the count vectors are the points of R-trees (one per vector
-   length, packed by size and leading coordinates).  The sum of the coordinate
-   minima of two vectors, or of a vector and a node's greatest coordinates,
-   bounds the overlap from above; sub-trees and points below the overlap that a
-   link needs are passed over.  The bucket's connected pairs leave as stars.
-   A bucket that still holds far more than `BUCKET_ROWS` classes is cut into
-   pairs of slices too.
+   with the frequent shingles last.  The documents of a shingle of the list that
+   more than `BUCKET_ROWS` classes have are dealt to groups by set size (links
+   need a ratio of 0.8, so a document is in two of them) and within a group to
+   slices, each with some `HUBS` members of the group beside its own.
+3. Buckets of the same classes are one.  In each the count vectors are the
+   points of R-trees (one per vector length, packed by size and leading
+   coordinates).  The sum of the coordinate minima of two vectors, or of a vector
+   and a node's greatest coordinates, bounds the overlap from above; sub-trees
+   and points below the overlap that a link needs are passed over.  The bucket's
+   connected pairs leave as stars.  A bucket of no listed shingle that holds far
+   more than `BUCKET_ROWS` classes is cut into slices too.  Mostly the hubs join
+   the slices of a group; what lies outside its greatest component then meets all
+   the rest of the group in pairs of slices.
 4. Components of the surviving pairs are families.  Only families' texts move.
    A family is cut into slices of `FAMILY_SHINGLES`, each with `HUBS` members of
    the family beside its own, and every slice is verified exactly: a document is
@@ -37,30 +40,33 @@ and every link between different sets is found or implied by verified ones.
 Shingles and classes are known by 64-bit hashes.
 
 Null, empty and wordless texts have size 0 and are linked with nothing, not even
-with each other; a null id belongs to no link, and its component is the least
-id of its copies, if any.  Rows that repeat an id count as one document for
-links: what one of them links to, all do.  An empty table gives an empty one,
-and further columns are not looked at.
+with each other.  Rows that repeat an id count as one document: what one of them
+links to, all with words do.  A null id is none: a row without an id links no
+others, and its component is that of its copies, if any.  An empty table gives
+an empty one, and further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesseral.llm.kernels import U64, mix, shingle_set
-from tesseral.llm.shared import IdFilter, connected_components, drop_ids, materialise
+from tesseral.llm.shared import IdFilter, connected_components, discard, drop_ids, materialise
 
 #: Frequent shingles kept, at most, and how often in a block makes one frequent.
 HOT_SHINGLES, HOT_IN_BLOCK, BLOCK_SHINGLES = 65_536, 8, 1_000_000
-#: Documents of one bucket slice; shingles of one family slice, and the members that all slices see.
-BUCKET_ROWS, FAMILY_SHINGLES, HUBS = 20_000, 250_000, 8
+#: Classes of one bucket slice; shingles of one family slice, and the members that all slices see.
+BUCKET_ROWS, FAMILY_SHINGLES, HUBS = 1_000, 100_000, 8
 MIN_GROUPS, MAX_GROUPS, PER_GROUP = 32, 4096, 8
-SALTS = 8
+#: Copies of a class that make it one of at most HOT_CLASSES that are sent to all tasks.
+HOT_COPIES, HOT_CLASSES = 50_000, 100_000
 
 
 def least_overlap(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
@@ -175,9 +181,10 @@ def _class_of(shingles: np.ndarray) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of step 1: kind 0 documents, kind 1 frequent shingles (in cls) of a block."""
+    """Rows of step 1: kind 0 documents, kind 1 frequent shingles (in cls) of a
+    block, counted over the classes that are new to the task."""
     held: list[np.ndarray] = []
-    amount = 0
+    amount, seen = 0, set()
 
     def frequent() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -192,17 +199,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in batch.column(1)]
         full = [len(s) > 0 for s in sets]
+        classes = [_class_of(s) if f else None for s, f in zip(sets, full, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.zeros(len(sets), np.int32)),
                 batch.column(0).cast(pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_class_of(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()),
+                pa.array(classes, pa.int64()),
                 pa.array([count_vector(s).tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary()),
             ],
             names=["kind", "doc_id", "n", "cls", "vector"],
         )
-        for s in sets:
+        for s, cls in zip(sets, classes, strict=True):
+            if cls is None or cls in seen:
+                continue
+            seen.add(cls)
             held.append(s)
             amount += len(s)
             if amount >= BLOCK_SHINGLES:
@@ -212,13 +223,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _routes(hot: np.ndarray, slices: np.ndarray):
-    """Step 2's scan, given the sorted frequent shingles and their slice counts."""
+_STEP = U64(0x9E3779B97F4A7C15)
+#: Links need a size ratio of 0.8, so linked sizes are in the same or in neighbouring bands.
+_BAND = np.log(1.25) * (1 - 1e-9)
+
+
+def _dealt(cls: int, size: int, shingles: np.ndarray, counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, groups) of a class for listed shingles that are cut into slices:
+    its own slice of both its groups and, for a hub, all others of them too."""
+    at = U64(cls & 0xFFFFFFFFFFFFFFFF)
+    slices = (counts // most + 1).astype(U64)
+    hub = mix(shingles ^ at).astype(np.float64) < HUBS / counts * 2.0**64
+    band = int(np.log(size) / _BAND)
+    for k in (band, band + 1):
+        group = mix(shingles + U64(k + 1) * _STEP)
+        yield mix(group + (at % slices + U64(1)) * _STEP), group
+        for g, n in zip(group[hub], slices[hub], strict=True):
+            yield mix(g + np.arange(1, n + U64(1), dtype=U64) * _STEP), np.full(int(n), g)
+
+
+def _routes(hot: np.ndarray, counts: np.ndarray, most: int):
+    """Step 2's scan, given the sorted frequent shingles and their counts: rows
+    (bucket, cls, grp), with a grp only where the bucket is a slice of it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            buckets, owners, lengths = [], [], []
+            buckets, owners, groups = [], [], []
             for text in batch.column(0):
                 s = shingle_set(text.as_py())
                 if not len(s):
@@ -227,31 +258,24 @@ def _routes(hot: np.ndarray, slices: np.ndarray):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                take = len(s) - (4 * len(s) + 4) // 5 + 1
+                chosen = s[: len(s) - (4 * len(s) + 4) // 5 + 1]
                 if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    frequent = hot[at] == s
-                    chosen = np.concatenate([s[~frequent], s[frequent]])[:take]
+                    frequent = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                    chosen = np.concatenate([s[~frequent], s[frequent]])[: len(chosen)]
                     at = np.minimum(np.searchsorted(hot, chosen), len(hot) - 1)
-                    parts = np.where(hot[at] == chosen, slices[at], 1)
-                    if (parts > 1).any():
-                        extra = []
-                        for h, k in zip(chosen[parts > 1], parts[parts > 1], strict=True):
-                            mine = U64(cls & 0xFFFFFFFFFFFFFFFF) % U64(k)
-                            others = np.arange(k, dtype=U64)
-                            pair = np.minimum(others, mine) * U64(k) + np.maximum(others, mine)
-                            extra.append(mix(h + (pair + U64(1)) * U64(0x9E3779B97F4A7C15)))
-                        chosen = np.concatenate([chosen[parts == 1], *extra])
-                else:
-                    chosen = s[:take]
+                    cut = (hot[at] == chosen) & (counts[at] > most)
+                    if cut.any():
+                        for bucket, group in _dealt(cls, len(s), chosen[cut], counts[at[cut]], most):
+                            buckets.append(bucket)
+                            groups.append(pa.array(group.view(np.int64)))
+                            owners.append(np.full(len(bucket), cls, dtype=np.int64))
+                        chosen = chosen[~cut]
                 buckets.append(chosen)
-                owners.append(cls)
-                lengths.append(len(chosen))
+                groups.append(pa.nulls(len(chosen), pa.int64()))
+                owners.append(np.full(len(chosen), cls, dtype=np.int64))
             if buckets:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.repeat(np.array(owners, dtype=np.int64), lengths))],
-                    names=["bucket", "cls"],
-                )
+                columns = [pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(owners)), pa.concat_arrays(groups)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "cls", "grp"])
 
     return scan
 
@@ -278,16 +302,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _shared(most: int):
     """Step 3's scan of rows sorted by (bucket, cls)."""
 
+    def rows(bucket: np.ndarray | None, cls: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
+        column = lambda x: pa.nulls(len(cls), pa.int64()) if x is None else pa.array(x)
+        return pa.RecordBatch.from_arrays([column(bucket), pa.array(cls), column(group)], names=["bucket", "cls", "grp"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of buckets with two or more classes, under a hash of the
         bucket's classes in place of its shingle: near copies share many
-        shingles, and buckets of the same classes need only one look."""
+        shingles, and buckets of the same classes need only one look.  Slices
+        leave their group's members too, under a null bucket where the slice
+        needs no look."""
         told: set[int] = set()
         for table in _runs(batches):
             bucket, cls = table.column(0).to_numpy(), table.column(1).to_numpy()
+            sliced = ~np.asarray(table.column(2).is_null())
+            group = table.column(2).fill_null(0).to_numpy()
             new = np.ones(len(bucket), dtype=bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (cls[1:] != cls[:-1])
-            bucket, cls = bucket[new], cls[new]
+            bucket, cls, group, sliced = bucket[new], cls[new], group[new], sliced[new]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
             members = mix(np.add.reduceat(mix(cls.view(U64)), starts) + sizes.astype(U64)).view(np.int64)
@@ -299,24 +331,26 @@ def _shared(most: int):
                     fresh[k] = True
             if len(told) > 1_000_000:
                 told.clear()
-            for k in np.flatnonzero(fresh & (sizes > 4 * most)):
+            for k in np.flatnonzero(fresh & ~sliced[starts] & (sizes > 4 * most)):
                 fresh[k] = False
-                yield from _bucket_slices(members[k], cls[starts[k] : starts[k] + sizes[k]], most)
+                mine = cls[starts[k] : starts[k] + sizes[k]]
+                yield rows(*_bucket_slices(members[k], mine, most))
             keep = np.repeat(fresh, sizes)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(members, sizes)[keep]), pa.array(cls[keep])], names=["bucket", "cls"])
+            for these, named, of in ((keep & ~sliced, True, False), (keep & sliced, True, True), (~keep & sliced, False, True)):
+                if these.any():
+                    yield rows(np.repeat(members, sizes)[these] if named else None, cls[these], group[these] if of else None)
 
     return scan
 
 
-def _bucket_slices(name: np.int64, cls: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a bucket dealt to all pairs of its slices, one slice's partners at a time."""
-    k = U64(len(cls) // most + 1)
-    mine = cls.view(U64) % k
-    for other in range(int(k)):
-        pair = np.minimum(mine, U64(other)) * k + np.maximum(mine, U64(other))
-        part = mix(np.array([name]).view(U64) + (pair + U64(1)) * U64(0x9E3779B97F4A7C15))
-        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(cls)], names=["bucket", "cls"])
+def _bucket_slices(name: np.int64, cls: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, cls, grp) of a bucket cut into slices that share its first HUBS classes."""
+    k = len(cls) // most + 1
+    mine = (cls[HUBS:].view(U64) % U64(k)).astype(np.int64)
+    at = np.concatenate([mine, np.tile(np.arange(k), min(HUBS, len(cls)))])
+    parts = mix(np.array([name]).view(U64) + (np.arange(k, dtype=U64) + U64(1)) * _STEP).view(np.int64)
+    members = np.concatenate([cls[HUBS:], np.repeat(cls[:HUBS], k)])
+    return parts[at], members, np.full(len(members), name)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,48 +461,68 @@ def _own_parts(sized: DataFrame) -> DataFrame:
     return own.unionByName(hubs.select(F.xxhash64("family", "slice").alias("part"), "rep", "cls"))
 
 
-def _open_parts(state: DataFrame) -> DataFrame | None:
-    """(part, rep, cls) for the families of (family, component, rep, cls, n) in
-    several components; None if there are none.  What is outside a family's
-    greatest component shares a part with every other member, members of that
-    component needn't meet one another."""
+def _open_parts(state: DataFrame, most: int) -> DataFrame | None:
+    """(part, and the columns of state but for family, component and n) for the
+    families of (family, component, cls, n, ..) in several components; None if
+    there are none.  What is outside a family's greatest component shares a part
+    with every other member, members of that component needn't meet one another.
+    A slice holds `most` by the sum of n."""
+    rest = [c for c in state.columns if c not in ("family", "component", "n")]
     pieces = state.groupBy("family", "component").agg(F.sum("n").alias("n"))
     whole = pieces.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
-    slices = lambda n: F.ceil(n / F.lit(FAMILY_SHINGLES)).cast("long")
+    slices = lambda n: F.ceil(n / F.lit(most)).cast("long")
     cuts = whole.select("family", F.col("main.component").alias("main"), slices(F.col("main.n")).alias("ka"), slices(F.col("n") - F.col("main.n")).alias("kb"))
     if cuts.isEmpty():
         return None
     rows = state.join(cuts, "family")
     inside, outside = rows.where("component = main"), rows.where("component != main")
     part = lambda a, b: F.xxhash64("family", a, b).alias("part")
-    met = inside.select("*", _upto("kb").alias("b")).select(part(_slice("ka"), F.col("b")), "rep", "cls")
-    meets = outside.select("*", _upto("ka").alias("a")).select(part(F.col("a"), _slice("kb")), "rep", "cls")
+    met = inside.select("*", _upto("kb").alias("b")).select(part(_slice("ka"), F.col("b")), *rest)
+    meets = outside.select("*", _upto("ka").alias("a")).select(part(F.col("a"), _slice("kb")), *rest)
     pairs = outside.where("kb > 1").select("*", _upto("kb").alias("other"), _slice("kb").alias("mine")).where("other != mine")
     return met.unionByName(meets).unionByName(
-        pairs.select(part(-1 - F.least("mine", "other"), F.greatest("mine", "other")), "rep", "cls")
+        pairs.select(part(-1 - F.least("mine", "other"), F.greatest("mine", "other")), *rest)
     )
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    found = materialise(docs.mapInArrow(_features, "kind int, doc_id long, n long, cls long, vector binary"), "features")
+def _families(docs: DataFrame, found: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Steps 2 and 3: (cls, family) of what the overlap bound leaves connected."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequent = found.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "cls").limit(HOT_SHINGLES).toArrow()
-    hot = frequent["cls"].to_numpy().view(U64)
+    hot, counts = frequent["cls"].to_numpy().view(U64), frequent["n"].to_numpy()
     order = np.argsort(hot)
-    hot, slices = hot[order], (frequent["n"].to_numpy()[order] // BUCKET_ROWS + 1).astype(np.int64)
+    names = "bucket long, cls long, grp long"
+    routed = docs.select("text").mapInArrow(_routes(hot[order], counts[order], BUCKET_ROWS), names)
+    shared = materialise(routed.repartition(parts, "bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_shared(BUCKET_ROWS), names), "buckets")
+
+    def stars(buckets: DataFrame) -> DataFrame:
+        points = buckets.join(vectors, "cls").select("bucket", "cls", "n", "vector")
+        return points.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long")
+
+    families = materialise(connected_components(stars(shared.where("bucket IS NOT NULL").select("bucket", "cls").distinct())).toDF("cls", "family"), "families")
+    groups = shared.where("grp IS NOT NULL").select(F.col("grp").alias("family"), "cls").distinct()
+    if not groups.isEmpty():
+        held = groups.join(families.select("cls", F.col("family").alias("component")), "cls", "left")
+        state = materialise(held.select("family", "cls", F.coalesce("component", "cls").alias("component"), F.lit(1).alias("n")), "groups")
+        still_open = _open_parts(state, BUCKET_ROWS)
+        if still_open is not None:
+            more = stars(still_open.withColumnRenamed("part", "bucket").distinct())
+            families = materialise(connected_components(more.unionByName(families.toDF("a", "b"))).toDF("cls", "family"), "families")
+        discard(state)
+    discard(shared)
+    return families
+
+
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For (doc_id, text): rows (doc_id, n, cls) and the classes' (cls, rep,
+    copies, component); a class of null ids alone has no rep and no component."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialise(docs.mapInArrow(_features, "kind int, doc_id long, n long, cls long, vector binary"), "features")
     rows = found.where("kind = 0").drop("kind")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-
-    routed = docs.select("text").mapInArrow(_routes(hot, slices), "bucket long, cls long")
-    shared = routed.repartition(parts, "bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_shared(BUCKET_ROWS), "bucket long, cls long")
-    vectors = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
-    points = shared.distinct().join(vectors, "cls").select("bucket", "cls", "n", "vector")
-    stars = points.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long")
-    families = connected_components(stars).toDF("cls", "family")
+    worded = rows.where("cls IS NOT NULL")
+    classes = worded.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    vectors = worded.groupBy("cls").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
+    families = _families(docs, found, vectors)
 
     members = materialise(families.join(classes, "cls").where("rep IS NOT NULL").join(vectors.select("cls", "n"), "cls"), "members")
     total = members.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("long").alias("k"))
@@ -478,27 +532,81 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         texts = IdFilter(of.select("rep")).split(docs, "doc_id", True).join(dealt, F.col("doc_id") == F.col("rep"))
         return texts.select("part", "doc_id", "cls", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_verified, "a long, b long")
 
-    joined = connected_components(verified(members, _own_parts(sized))).toDF("rep", "component")
+    links = verified(members, _own_parts(sized))
+    # Rows that repeat an id tie their classes together.
+    texts_of = worded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+    double = worded.join(texts_of.where("low != high").select("doc_id"), "doc_id", "left_semi").select("doc_id", "cls").distinct()
+    ties = double.join(classes, "cls").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = connected_components(links.unionByName(ties)).toDF("rep", "component")
     cut = sized.where("k > 1").join(joined, "rep", "left")
     state = materialise(cut.select("family", F.coalesce("component", "rep").alias("component"), "rep", "cls", "n"), "cut")
-    still_open = _open_parts(state)
+    still_open = _open_parts(state, FAMILY_SHINGLES)
     if still_open is not None:
         more = verified(still_open, still_open)
         joined = connected_components(more.unionByName(joined.toDF("a", "b"))).toDF("rep", "component")
+    known = classes.join(joined, "rep", "left").select("cls", "rep", "copies", F.coalesce("component", "rep").alias("component"))
+    return rows.drop("vector"), materialise(known, "classes")
+
 
-    # Only classes of several documents or in a component with others are joined back,
-    # each in SALTS copies, so that a class with a third of all documents is spread.
-    known = classes.join(joined, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), "copies", "rep")
-    moved = known.where("copies > 1 OR component != rep").select("cls", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.select("doc_id", "n", "cls", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = salted.join(moved, ["cls", "salt"], "left")
+def _placed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with their class's component; null for those that have no other
+    document in theirs.  Classes of very many copies, few by their definition,
+    go to their rows; only rows of other classes move."""
+    moved = known.where("copies > 1 OR component != rep").select("cls", "component", "copies")
+    least = max(HOT_COPIES, rows.count() // HOT_CLASSES)
+    hot = moved.where(F.col("copies") > least).drop("copies")
+    if hot.isEmpty():
+        return rows.join(moved.drop("copies"), "cls", "left")
+    rest = rows.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(moved.where(F.col("copies") <= least).drop("copies"), "cls", "left")
+    return rows.join(F.broadcast(hot), "cls").unionByName(rest)
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    out = _placed(*_classified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which each component keeps its least id."""
-    gone = materialise(components(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "gone")
-    return drop_ids(docs, gone, id_col)
+    """The documents, with all their columns, of which each component keeps one:
+    a row of its least id.
+
+    Of rows with words that repeat the id one stays, that of the least text.  A
+    row without an id goes if it is a copy of one with an id; of copies that all
+    lack an id one stays.  Rows without words stay, unless their id goes.
+    """
+    rows, known = _classified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    placed = materialise(_placed(rows, known).select("doc_id", "cls", "component"), "placed")
+    gone = materialise(placed.where(F.col("component") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    kept = drop_ids(docs, gone, id_col)
+    double = placed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti")
+    double = materialise(double, "double")
+    if double.isEmpty() and placed.where("doc_id IS NULL").isEmpty():
+        return kept
+    plain = drop_ids(kept.where(F.col(id_col).isNotNull()), double, id_col)
+    maybe = IdFilter(double).split(kept.where(F.col(id_col).isNotNull()), id_col, True)
+    odd = maybe.join(double.toDF("_double"), F.col(id_col) == F.col("_double"), "left_semi").unionByName(kept.where(F.col(id_col).isNull()))
+    cls, place = f"_class_{uuid.uuid4().hex[:8]}", f"_place_{uuid.uuid4().hex[:8]}"
+    named = odd.mapInArrow(_with_class(odd.columns.index(text_col)), T.StructType([*odd.schema.fields, T.StructField(cls, T.LongType())]))
+    copied = known.where("component IS NOT NULL").select(F.col("cls").alias("_known"))
+    worded = named.where(F.col(cls).isNotNull())
+    ours = worded.where(F.col(id_col).isNotNull()).unionByName(
+        worded.where(F.col(id_col).isNull()).join(copied, F.col(cls) == F.col("_known"), "left_anti")
+    )
+    same = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.col(cls))).orderBy(text_col)
+    one = ours.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(place)
+    return plain.unionByName(one.unionByName(named.where(F.col(cls).isNull())).drop(cls))
+
+
+def _with_class(at: int):
+    """A scan that adds the class of the text in column `at`, null for wordless ones."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingle_set(t.as_py()) for t in batch.column(at))
+            yield batch.append_column("cls", pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()))
+
+    return scan
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,19 +618,26 @@ WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ), sets AS MATERIALIZED (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)::BIGINT), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)::BIGINT), lambda i: array_to_string(w[i:i+4], ' ')))) END AS s
   FROM worded
+), classes AS MATERIALIZED (
+  SELECT s, min(doc_id) AS rep, row_number() OVER () AS c FROM sets WHERE len(s) > 0 GROUP BY s
 ), tokens AS MATERIALIZED (
-  SELECT doc_id, len(s) AS k, unnest(s) AS t FROM sets
+  SELECT c, len(s) AS k, unnest(s) AS t FROM classes WHERE rep IS NOT NULL
+), ids AS MATERIALIZED (
+  SELECT DISTINCT s.doc_id, c.c FROM sets s JOIN classes c ON s.s = c.s WHERE s.doc_id IS NOT NULL
 ), links AS MATERIALIZED (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.k, b.k HAVING 100*count(*) >= 80*(a.k + b.k - count(*))
+  SELECT a.c AS a, b.c AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.c <> b.c
+  GROUP BY a.c, b.c, a.k, b.k HAVING 100*count(*) >= 80*(a.k + b.k - count(*))
+  UNION
+  SELECT a.c, b.c FROM ids a JOIN ids b ON a.doc_id = b.doc_id AND a.c <> b.c
 ), reached AS (
-  SELECT doc_id AS a, doc_id AS b FROM sets
+  SELECT c AS a, c AS b FROM classes
   UNION
   SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
 ), least AS (
-  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+  SELECT r.a AS c, min(i.doc_id) AS component_id FROM reached r LEFT JOIN ids i ON r.b = i.c GROUP BY r.a
 )
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id FROM sets s LEFT JOIN least l ON l.doc_id = s.doc_id
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN least l ON l.c = c.c
 """

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesseral.llm import decontamination, language, ngram_join, pii
 from tesseral.llm.registry import ORACLE_SQL, QUERIES
@@ -50,7 +51,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op2_ngram_join"}))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_odd_rows_equal_sql(spark, odd_dir, name, monkeypatch):
     import tests.oracle as oracle
 
@@ -118,29 +119,78 @@ def test_join_where_slices_leave_families_open(spark, monkeypatch):
     rows = [(k * 7 % 101, t) for k, t in enumerate(chain + near)] + [(200, chain[0]), (None, chain[1])]
     opened = []
     parts_of = ngram_join._open_parts
-    monkeypatch.setattr(ngram_join, "_open_parts", lambda state: opened.append(parts_of(state)) or opened[-1])
+
+    def watched(state, most):
+        found = parts_of(state, most)
+        opened.append((most, found.count() if found is not None else 0))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_open_parts", watched)
     monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 5)
     monkeypatch.setattr(ngram_join, "FAMILY_SHINGLES", 500)
     monkeypatch.setattr(ngram_join, "HUBS", 1)
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_components([r for r in rows if r[0] is not None])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
-    assert opened[0] is not None and opened[0].count() > len(chain)
-
+    assert {m for m, n in opened if n > len(chain)} >= {500}
 
-def test_unlisted_large_bucket_is_cut_into_pairs_of_slices():
-    import itertools
 
+def test_unlisted_large_bucket_is_cut_into_slices_with_hubs():
     import pyarrow as pa
 
     cls = list(range(-40, 40))
-    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, *[5] * len(cls), 6], pa.int64()), pa.array([7, 8, 9, *cls, 9], pa.int64())], names=["bucket", "cls"])
-    held = defaultdict(set)
+    none = pa.nulls(len(cls) + 4, pa.int64())
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, *[5] * len(cls), 6], pa.int64()), pa.array([7, 8, 9, *cls, 9], pa.int64()), none], names=["bucket", "cls", "grp"])
+    held, groups = defaultdict(set), defaultdict(set)
     for batch in ngram_join._shared(10)(iter([rows.slice(0, 30), rows.slice(30)])):
-        for b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for b, c, g in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             held[b].add(c)
-    met = {p for group in held.values() for p in itertools.combinations(sorted(group), 2)}
-    assert met == {(7, 8), *itertools.combinations(cls, 2)} and max(map(len, held.values())) < 40
+            if g is not None:
+                groups[g].add(c)
+    assert list(groups.values()) == [set(cls)]
+    slices = [x for x in held.values() if x != {7, 8}]
+    assert len(slices) == 9 and set.union(*slices) == set(cls) and max(map(len, slices)) < 40
+    assert len(set.intersection(*slices)) == ngram_join.HUBS
+
+
+def test_hot_groups_without_hubs_are_closed(spark, monkeypatch):
+    """Families whose members are in several slices, few of them hubs, beside others that share their frequent words."""
+    import random
+
+    rng = random.Random(4)
+    common = [f"p{k}" for k in range(60)]
+    rows = []
+    for f in range(6):
+        own = common + [f"f{f}_{k}" for k in range(20 + 4 * f)]
+        rows += [(1000 * f + k, " ".join(own[:j] + [f"x{rng.random()}"] + own[j:])) for k in range(25) for j in [rng.randrange(len(own))]]
+    rows += [(9000 + k, " ".join(common[: 30 + k])) for k in range(30)]
+    monkeypatch.setattr(ngram_join, "HOT_IN_BLOCK", 4)
+    for hubs in (0, 2):
+        monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 6)
+        monkeypatch.setattr(ngram_join, "FAMILY_SHINGLES", 700)
+        monkeypatch.setattr(ngram_join, "HUBS", hubs)
+        got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+TIES = [
+    (5, "a b c"), (2, "a b c"), (5, "x y z"), (1, "x y z"), (9, "q r s"), (9, "q r s"), (9, ""), (9, "t u v"), (8, "t u v"), (None, "t u v"), (None, "null alone"),
+    (None, "null alone"), (None, None), (20, ""), (21, ""), (20, ""), (30, "k l m"), (30, "k l m"), (40, "plain"),
+]
+
+
+def test_rows_that_repeat_an_id(spark, tmp_path):
+    import duckdb
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(TIES, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = sorted(map(tuple, ngram_join.components(docs).collect()), key=str)
+    assert got == sorted(duckdb.sql(ngram_join.OP2_SQL.replace("FROM documents", f"FROM '{path}/*.parquet'")).fetchall(), key=str)
+    assert {c for i, _, c in got if i in (1, 2, 5)} == {1}
+    kept = sorted(map(tuple, ngram_join.keep_one(docs.withColumn("component", F.lit("x"))).select("doc_id", "text").collect()), key=str)
+    want = [(1, "x y z"), (8, "t u v"), (None, "null alone"), (None, None), (20, ""), (20, ""), (21, ""), (30, "k l m"), (40, "plain")]
+    assert kept == sorted(want, key=str)
 
 
 def test_rtree_finds_what_a_scan_finds():
