@@ -50,23 +50,52 @@ def plain_words(text: str | None) -> np.ndarray:
     return span_hashes(data, np.flatnonzero(step == 1), np.flatnonzero(step == -1))
 
 
-def tile(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Tiles (length, item place, document place) from seeds of `size` equal words."""
+#: Pairs of equal seeds that are listed at once; more are walked through along the item.
+PAIRS = 2_000_000
+
+
+def listed_runs(item_at: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seeds, item place, document place) of all maximal diagonal runs of seed pairs."""
     order = np.lexsort((item_at, doc_at - item_at))
     i, d = item_at[order], doc_at[order]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(d) != 1)]))
-    runs = np.diff(np.concatenate([new, [len(i)]]))
-    heap = [(-(int(r) + size - 1), int(i[k]), int(d[k])) for k, r in zip(new, runs, strict=True)]
+    return np.diff(np.concatenate([new, [len(i)]])), i[new], d[new]
+
+
+def walked_runs(places: np.ndarray, found: list[np.ndarray], doc_seeds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, from the document places of each item place in order: only one
+    item place's run lengths are held, whatever the number of pairs."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    before, last = np.zeros(doc_seeds + 1, dtype=np.int64), -1
+    for i, at in [*zip(places.tolist(), found, strict=True), (None, None)]:
+        now = np.zeros(doc_seeds + 1, dtype=np.int64)
+        if i is not None:
+            now[at] = 1
+            if i == last + 1:
+                now[at] += np.where(at > 0, before[at - 1], 0)
+        goes_on = now[1:] > 1 if i is not None and i == last + 1 else np.zeros(doc_seeds, dtype=bool)
+        ended = np.flatnonzero((before[:-1] > 0) & ~goes_on)
+        if len(ended):
+            n = before[ended]
+            out.append((n, last - n + 1, ended - n + 1))
+        before, last = now, i
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def tile(doc_words: int, item_words: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> list[tuple[int, int, int]]:
+    """Tiles (length, item place, document place) from runs of seeds of `size` equal words."""
+    heap = [(-(n + size - 1), i, d) for n, i, d in zip(*(x.tolist() for x in runs), strict=True)]
     heapq.heapify(heap)
-    item_free, doc_free = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)
-    tiles = []
-    while heap:
+    item_free, doc_free = np.ones(item_words, dtype=bool), np.ones(doc_words, dtype=bool)
+    tiles, left = [], item_words
+    while heap and left >= size:
         length, a, b = heapq.heappop(heap)
         length = -length
         free = item_free[a : a + length] & doc_free[b : b + length]
         if free.all():
             item_free[a : a + length] = doc_free[b : b + length] = False
             tiles.append((length, a, b))
+            left -= length
             continue
         edge = np.diff(np.concatenate([[0], free.astype(np.int8), [0]]))
         for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
@@ -106,16 +135,27 @@ class Index:
                 continue
             own = shingle_hashes(words, size)
             at = np.flatnonzero(table[(own >> U64(64 - self.BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
+            seeds, which = np.unique(own[at], return_inverse=True)
+            lo, hi = np.searchsorted(hashes, seeds, "left"), np.searchsorted(hashes, seeds, "right")
             n = hi - lo
             if not n.any():
                 continue
-            doc_at = np.repeat(at, n)
-            row = np.arange(len(doc_at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            order = np.argsort(which, kind="stable")
+            times = np.bincount(which, minlength=len(seeds))
+            begin = np.cumsum(times) - times
+            met = np.repeat(np.arange(len(seeds)), n)
+            row = np.arange(len(met)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             for k in np.unique(owner[row]):
                 mine = owner[row] == k
+                seed, item_at = met[mine], place[row[mine]]
                 name, item = self.items[k]
-                tiles = tile(words, item, doc_at[mine], place[row][mine], size)
+                found = lambda s: at[order[begin[s] : begin[s] + times[s]]]  # noqa: E731, B023
+                if times[seed].sum() <= PAIRS:
+                    runs = listed_runs(np.repeat(item_at, times[seed]), np.concatenate([found(s) for s in seed]))
+                else:
+                    along = np.argsort(item_at)
+                    runs = walked_runs(item_at[along], [found(s) for s in seed[along]], len(own))
+                tiles = tile(len(words), len(item), runs, size)
                 covered = sum(t[0] for t in tiles)
                 if covered >= threshold * len(item):
                     yield name, len(tiles), covered, len(item)

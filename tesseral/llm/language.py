@@ -30,7 +30,10 @@ from tesseral.llm.kernels import lowered
 BITS = 15
 BUCKETS = 1 << BITS
 PENALTY = 2.0
-ROUNDS = 30
+#: Expectation-maximisation ends when a round gains less than GAIN, or after ROUNDS.
+ROUNDS, GAIN = 1_000, 1e-3
+#: Trigrams whose likelihoods are held at once.
+BLOCK = 1 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -84,6 +87,15 @@ class Model:
         smooth = counts + 0.5
         self.table = np.log(smooth / smooth.sum(axis=0, keepdims=True)).astype(np.float32)
 
+    def word_likelihoods(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The words' log-likelihoods, one column a language, a block of trigrams at a time."""
+        out = np.zeros((len(starts), len(self.langs)))
+        for a in range(0, len(buckets), BLOCK):
+            b = min(a + BLOCK, len(buckets))
+            first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
+            out[first:last] += np.add.reduceat(self.table[buckets[a:b]], np.maximum(starts[first:last], a) - a, axis=0)
+        return out
+
     def mixture(self, text: str | None) -> list[tuple[str, float]]:
         """(language, proportion) of the chosen set, greatest first; empty for `und`."""
         if not self.langs or not has_letter(text):
@@ -91,7 +103,7 @@ class Model:
         buckets, starts = trigrams(text)
         if not len(starts):
             return []
-        words = np.add.reduceat(self.table[buckets], starts, axis=0).astype(np.float64)
+        words = self.word_likelihoods(buckets, starts)
         fine = PENALTY * np.log(len(words) + 1)
         single = words.sum(axis=0)
         best = int(np.argmax(single))
@@ -120,7 +132,7 @@ def _em(words: np.ndarray) -> tuple[np.ndarray, float]:
         total = weighted.sum(axis=1)
         now = float(np.log(total).sum())
         share = (weighted / total[:, None]).mean(axis=0)
-        if now - value < 1e-3:
+        if now - value < GAIN:
             break
         value = now
     return share, now + float(top.sum())

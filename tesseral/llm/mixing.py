@@ -8,7 +8,7 @@ ones are a prefix, so the water level follows from running sums.
 A source then takes whole repetitions of all its documents, and once more the
 documents at the front of a seeded order until the rest of the target is
 reached to within half a document.  The order is by the hash of id and seed; it
-is cut into 65,536 slices by the hash's first digits, slices get running sums
+is cut into 4,096 slices by the hash's first digits, slices get running sums
 per source, and only inside a slice are documents ordered.  So a source with a
 third of all rows is dealt over as many tasks as any.
 

@@ -587,7 +587,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     maybe = IdFilter(double).split(kept.where(F.col(id_col).isNotNull()), id_col, True)
     odd = maybe.join(double.toDF("_double"), F.col(id_col) == F.col("_double"), "left_semi").unionByName(kept.where(F.col(id_col).isNull()))
     cls, place = f"_class_{uuid.uuid4().hex[:8]}", f"_place_{uuid.uuid4().hex[:8]}"
-    named = odd.mapInArrow(_with_class(odd.columns.index(text_col)), T.StructType([*odd.schema.fields, T.StructField(cls, T.LongType())]))
+    named = odd.mapInArrow(_with_class(odd.columns.index(text_col), cls), T.StructType([*odd.schema.fields, T.StructField(cls, T.LongType())]))
     copied = known.where("component IS NOT NULL").select(F.col("cls").alias("_known"))
     worded = named.where(F.col(cls).isNotNull())
     ours = worded.where(F.col(id_col).isNotNull()).unionByName(
@@ -598,13 +598,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.unionByName(one.unionByName(named.where(F.col(cls).isNull())).drop(cls))
 
 
-def _with_class(at: int):
-    """A scan that adds the class of the text in column `at`, null for wordless ones."""
+def _with_class(at: int, name: str):
+    """A scan that adds, as `name`, the class of the text in column `at`, null for wordless ones."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingle_set(t.as_py()) for t in batch.column(at))
-            yield batch.append_column("cls", pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()))
+            yield batch.append_column(name, pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()))
 
     return scan
 

@@ -8,7 +8,8 @@ non-overlapping matches of each kind, a match that fails its validator is
 dropped without a retry, and every confirmed one is kept whatever its score.
 The method adds kinds of its own (iban: mod-97; national: a telephone number
 without country code; ssn), and these need a score of `threshold` or more,
-which the last two only reach with a context word within `window` code points.
+which the last two only reach with a whole context word within `window` code
+points before or after.
 
 Null text counts as empty, empty text has no spans, repeated rows are judged
 each for themselves, an empty table gives an empty one, and further columns of
@@ -18,6 +19,7 @@ the input are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,7 +140,30 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _near(kind: str, text: str, a: int, b: int, window: int) -> bool:
-    return bool(_CONTEXT[kind].search(text[max(0, a - window) : a]) or _CONTEXT[kind].search(text[b : b + window]))
+    """Whether a context word lies whole within `window` code points before or after."""
+    for start, end in ((max(0, a - window), a), (b, min(len(text), b + window))):
+        for m in _CONTEXT[kind].finditer(text, start, end):
+            # The pattern sees what is before `start`, but not what is behind `end`.
+            if m.end() < end or end == len(text) or not (text[end].isalnum() or text[end] == "_"):
+                return True
+    return False
+
+
+def _free(spans: list[tuple[int, int]]):
+    """A test whether a span overlaps none of the given ones."""
+    joined: list[list[int]] = []
+    for a, b in sorted(spans):
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    ends = [b for _, b in joined]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(ends, a + 1)
+        return k == len(joined) or b <= joined[k][0]
+
+    return free
 
 
 def spans_of(text: str | None, threshold: float = 0.6, window: int = 40) -> list[tuple[str, int, int, float, bool]]:
@@ -147,8 +172,7 @@ def spans_of(text: str | None, threshold: float = 0.6, window: int = 40) -> list
         return []
     found = [(k, a, b, True) for k, a, b in base_spans(text)]
     if _DIGIT.search(text):
-        taken = [(a, b) for _, a, b, _ in found]
-        free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+        free = _free([(a, b) for _, a, b, _ in found])
         extra = [("iban", *span) for span in _ibans(text)]
         extra += [("national", *m.span()) for m in _NATIONAL.finditer(text)]
         extra += [("ssn", *m.span()) for m in _SSN.finditer(text)]
@@ -216,6 +240,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
 
 

@@ -14,7 +14,8 @@ no document list ever meets in one task.
 Null, empty and wordless texts have no n-grams and a log weight of 0.  Rows that
 repeat an id and a text have equal keys and are drawn together where k allows:
 at the k-th key ties go to the least id, rows that still tie are all selected.
-An id labelled twice is a target only if all its labels agree to it.  Without
+An id labelled twice is a target only if all its labels agree to it, and a row
+without an id is none.  Without
 targets all log weights are 0 and the draw is uniform.  An empty table gives an
 empty one, and further columns are not looked at.
 """
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,13 +55,12 @@ def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> list[int]:
 
 def fit(docs: DataFrame, targets: list[int]) -> np.ndarray:
     """Log ratios of the target's to the raw model's bucket probabilities."""
-    wanted = np.array(sorted(targets), dtype=np.int64)
+    wanted = pa.array(sorted(targets), pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            known = np.isin(ids, wanted)
+            known = pc.is_in(batch.column(0).cast(pa.int64()), value_set=wanted, skip_nulls=True).to_pylist()
             for first in range(0, batch.num_rows, 500):
                 grams = [ngrams(t.as_py()) for t in batch.column(1)[first : first + 500]]
                 raw += np.bincount(np.concatenate(grams), minlength=BUCKETS)

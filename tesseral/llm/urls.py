@@ -127,6 +127,23 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def _sql_lower(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_host(url: str) -> str:
+    return _sql_lower(f"coalesce(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), '')")
+
+
+def _sql_path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+
+
+def _sql_node(url: str) -> str:
+    scheme = f"regexp_extract({url}, '^([^#]*?://)', 1, 's')"
+    return f"CASE WHEN {scheme} <> '' THEN {_sql_lower(scheme)} || {_sql_host(url)} || regexp_extract({url}, '^.*?://[^/?#]*([^#]*)', 1, 's') END"
+
+
 def _sql_fits(host: str, path: str) -> str:
     return f"((host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%')"
 
@@ -140,24 +157,33 @@ _SQL_RULE, _SQL_VERDICT = (
 #: The pages' links come from html by the same patterns; chains by a recursive union.
 OP7_SQL = rf"""
 WITH RECURSIVE parts AS (
-  SELECT page_id, url, html,
-    lower(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '')) AS host,
-    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
-    lower(regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's')) || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS node
-  FROM pages
-), ruled AS (
-  SELECT *, {_SQL_RULE} AS rule, {_SQL_VERDICT} AS own FROM parts
+  SELECT page_id, url, html, {_sql_host("url")} AS host, {_sql_path("url")} AS path, {_sql_node("url")} AS node FROM pages
+), tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS tag FROM pages
+), targets AS (
+  SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is') THEN regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
+    WHEN regexp_matches(tag, '^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh', 'is')
+      THEN regexp_extract(tag, '\bcontent\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1, 'is') END, '&amp;', '&') AS target,
+    regexp_extract(url, '^(.*?:)//', 1, 's') AS scheme, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin,
+    regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's') AS folder
+  FROM tags
 ), links AS (
-  SELECT node AS a, regexp_extract(regexp_extract(html, '<link[^>]*canonical[^>]*>', 0, 'is'), 'href\s*=\s*["'']?([^"''\s>#]+)', 1, 'is') AS b
-  FROM ruled WHERE html ILIKE '%canonical%'
+  SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN scheme || target WHEN starts_with(target, '/') THEN origin || target
+    WHEN target <> '' THEN folder || CASE WHEN ends_with(folder, '/') THEN '' ELSE '/' END || target END AS link
+  FROM targets
+), pairs AS (
+  SELECT {_sql_node("url")} AS a, {_sql_node("link")} AS b FROM links
 ), edges AS (
-  SELECT a, b FROM links WHERE b LIKE '%://%' UNION SELECT b, a FROM links WHERE b LIKE '%://%'
+  SELECT a, b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL
+), nodes AS (
+  SELECT node, {_sql_host("node")} AS host, {_sql_path("node")} AS path FROM (SELECT DISTINCT a AS node FROM edges)
 ), reached AS (
-  SELECT node FROM ruled WHERE own = 'block'
+  SELECT node FROM nodes WHERE {_SQL_VERDICT} = 'block'
   UNION
   SELECT e.b FROM reached r JOIN edges e ON r.node = e.a
 )
-SELECT page_id, host, path, rule,
-  coalesce(own, CASE WHEN node IN (SELECT node FROM reached WHERE node IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled
+SELECT page_id, host, path, {_SQL_RULE} AS rule,
+  coalesce({_SQL_VERDICT}, CASE WHEN node IN (SELECT node FROM reached) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts
 """

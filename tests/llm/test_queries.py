@@ -234,6 +234,57 @@ def test_language_mixtures_and_no_letters(spark, sf_dir):
     assert model.mixture("12 34 %%") == model.mixture(None) == []
 
 
+def mixture_by_definition(model, text):
+    """EM and the choice of the language set, word by word."""
+    import math
+
+    words = []
+    for w in re.findall(r"[a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+        data = b" " + w.encode() + b" "
+        at = [((data[k - 1] << 16 | data[k] << 8 | data[k + 1]) * 0x9E3779B1 % 2**32) >> (32 - language.BITS) for k in range(1, len(data) - 1)]
+        words.append([sum(float(model.table[b, x]) for b in at) for x in range(len(model.langs))])
+    fine = language.PENALTY * math.log(len(words) + 1)
+
+    def em(langs):
+        share, value = {x: 1 / len(langs) for x in langs}, -math.inf
+        for _ in range(language.ROUNDS):
+            now, got = 0.0, dict.fromkeys(langs, 0.0)
+            for w in words:
+                top = max(w[x] for x in langs)
+                parts = {x: share[x] * math.exp(w[x] - top) for x in langs}
+                now += math.log(sum(parts.values())) + top
+                for x in langs:
+                    got[x] += parts[x] / sum(parts.values()) / len(words)
+            share = got
+            if now - value < language.GAIN:
+                break
+            value = now
+        return share, now
+
+    langs = list(range(len(model.langs)))
+    share, value = em(langs)
+    while len(langs) > 1:
+        rest = [x for x in langs if x != min(langs, key=lambda x: share[x])]
+        less = em(rest)
+        if less[1] < value - fine:
+            break
+        langs, (share, value) = rest, less
+    return {model.langs[x]: share[x] for x in langs}
+
+
+def test_mixtures_equal_their_definition(spark, sf_dir, docs, monkeypatch):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(table)
+    one = {x: max((r.text for r in table.where(table.lang == x).collect()), key=len).split() for x in model.langs}
+    texts = [" ".join(one[a][: 3 * k] + one[b][:40]) for a in one for b in one for k in (1, 7, 20)] + [t[:800] for _, t in docs[:60]] + ["", "12"]
+    for block in (50, 1 << 20):
+        monkeypatch.setattr(language, "BLOCK", block)
+        for text in texts:
+            got = dict(model.mixture(text))
+            want = mixture_by_definition(model, text) if got else {}
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-3 for x in got), (text, got, want)
+
+
 def test_contamination_equals_brute_force(spark, sf_dir, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010FFFF]+", t.lower())
@@ -250,6 +301,84 @@ def test_contamination_equals_brute_force(spark, sf_dir, docs):
     assert got == want and got
 
 
+def tiles_by_definition(doc, item, least):
+    """Greedy string tiling word by word: the longest common unmarked run, then the next."""
+    free_doc, free_item, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = None
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and free_item[a + n] and free_doc[b + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = n, a, b
+        if best is None:
+            return tiles
+        n, a, b = best
+        free_item[a : a + n] = free_doc[b : b + n] = [False] * n
+        tiles.append(best)
+
+
+def test_tiles_equal_their_definition(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    for k in range(150):
+        letters = "abcdef"[: rng.choice([1, 2, 3, 6])]
+        item = [rng.choice(letters) for _ in range(rng.randrange(1, 22))]
+        doc = [rng.choice(letters + "z") for _ in range(rng.randrange(40))]
+        for at in (rng.randrange(len(doc) + 1) for _ in range(2)):
+            doc[at:at] = item[rng.randrange(len(item)) :]
+        least = rng.choice([1, 2, 5])
+        want = tiles_by_definition(doc, item, min(least, len(item)))
+        covered = sum(t[0] for t in want)
+        for pairs in (0, 2_000_000):
+            monkeypatch.setattr(decontamination, "PAIRS", pairs)
+            index = decontamination.Index([("it", decontamination.plain_words(" ".join(item)))], least)
+            got = list(index.matches(" ".join(doc), 0.01))
+            assert got == ([("it", len(want), covered, len(item))] if want else []), (doc, item, least)
+
+
+def test_long_repeats_in_text_and_item():
+    index = decontamination.Index([(1, decontamination.plain_words("a " * 400))], 5)
+    assert list(index.matches("a " * 100_000, 0.5)) == [(1, 1, 400, 400)]
+
+
+def test_resampling_equals_brute_force(spark, sf_dir, docs):
+    """Weights from counts of all texts, and the draw from the keys' order."""
+    import numpy as np
+
+    from tesseral.llm import quality
+
+    table, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    raw, target = Counter(), Counter()
+    grams = {i: quality.ngrams(t).tolist() for i, t in docs}
+    for i, g in grams.items():
+        raw.update(g)
+        if judged.get(i) == (1, 0):
+            target.update(g)
+    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    want = {i: sum(np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n) for b in g) for i, g in grams.items()}
+    rows = quality.resample(table, labels, share=0.3).collect()
+    assert all(abs(r.log_weight - want[r.doc_id]) < 1e-6 * (1 + abs(want[r.doc_id])) and r.n_grams == len(grams[r.doc_id]) for r in rows)
+    noise = [r.key - r.log_weight for r in rows]
+    assert abs(np.mean(noise) - 0.5772) < 0.3 and abs(np.std(noise) - np.pi / 6**0.5) < 0.3 and len(set(noise)) == len(noise)
+    drawn = sorted(rows, key=lambda r: (-r.key, r.doc_id))[: round(0.3 * len(rows))]
+    assert {r.doc_id for r in rows if r.selected} == {r.doc_id for r in drawn}
+
+
+def test_null_and_large_ids_are_no_targets(spark):
+    from tesseral.llm import quality
+
+    big = 2**60
+    rows = [(big + 1, "good words here"), (big + 3, "bad text there"), (None, "null text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ratios = quality.fit(df, [big + 1])
+    assert all(ratios[g].sum() > 0 for g in [quality.ngrams("good words here")]) and all(ratios[quality.ngrams(t)].sum() < 0 for t in ("bad text there", "null text"))
+
+
 def test_reordered_passages_and_blocks(spark):
     w = [f"t{k}" for k in range(40)]
     texts = [(1, " ".join(w[20:] + ["gap"] + w[:20])), (2, " ".join(w[:12])), (3, " ".join(x for k in range(0, 40, 4) for x in [*w[k : k + 4], "z"]))]
@@ -302,3 +431,100 @@ def test_ibans_before_other_words():
     assert not [s for s in pii.spans_of("IBAN ES92 2100 0418 4502 0005 1332 BIC") if s[0] == "iban"]
     text = f"IBAN DE12 3456 {numbers[0]} BIC"
     assert [text[a:b] for k, a, b, _, _ in pii.spans_of(text) if k == "iban"] == [numbers[0]]
+
+
+def test_added_kinds_equal_brute_force():
+    """The kinds of the method by plain search: context words whole and within the window, no overlap with a base span."""
+    import random
+
+    words = {"national": "phone tel telephone call mobile fax telefon anruf teléfono téléphone", "ssn": "ssn"}
+
+    def near(kind, text, a, b):
+        for m in re.finditer(r"\w+", text):
+            inside = (m.end() <= a and m.start() >= a - 40) or (m.start() >= b and m.end() <= b + 40)
+            if inside and m[0].lower() in words[kind].split():
+                return True
+        return kind == "ssn" and any((m.end() <= a and m.start() >= a - 40) or (m.start() >= b and m.end() <= b + 40) for m in re.finditer(r"(?i)\bsocial security\b", text))
+
+    def brute(text):
+        base = [(m.start(), m.end()) for k, p in PATTERNS for m in re.finditer(p, text) for d in [re.sub("[^0-9]", "", m[0])]
+                if k == "email" or (k == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (k == "card" and 14 <= len(d) <= 19 and pii.luhn(d)) or (k == "phone" and 10 <= len(d) <= 15)]
+        shapes = [("national", r"(?<![0-9+(.-])\(?0?[0-9]{2,4}\)?[ -][0-9]{3,4}[ -][0-9]{3,5}(?![0-9-])"), ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")]
+        return sorted((k, m.start(), m.end()) for k, p in shapes for m in re.finditer(p, text) if near(k, text, *m.span()) and all(m.end() <= x or y <= m.start() for x, y in base))
+
+    rng = random.Random(8)
+    parts = ["hotel", "tel", "TEL.", "call", "recall", "phone", "ssn", "social security", "123-45-6789", "555 123 4567", "(030) 123 4567", "1.2.3.4", "+49 30 1234567", "me@x.org", "x", "words and words", ",", "tel" * 9]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", "  ", "\n", " " * 30]) for _ in range(rng.randrange(1, 9)))
+        got = sorted((k, a, b) for k, a, b, _, base in pii.spans_of(text) if not base and k != "iban")
+        assert got == brute(text), text
+    assert not [s for s in pii.spans_of("ho" + "tel" + " " * 37 + "555 123 4567") if s[0] == "national"]
+    assert not [s for s in pii.spans_of("555 123 4567" + " " * 37 + "telescope") if s[0] == "national"]
+
+
+def test_scores_follow_context(spark):
+    df = spark.createDataFrame([(1, "mail me@x.org"), (2, "me@x.org"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.scores for r in pii.digest_columns(pii.find_pii(df)).collect()}
+    assert got == {1: "1.00", 2: "0.90", 3: ""}
+
+
+PAGES = [
+    (1, "http://a.net/x", '<link rel="canonical" href="http://b.net/y">'), (2, "http://b.net/y#f", '<meta http-equiv="refresh" content="0; url=http://Example.org/es/1">'),
+    (3, "http://c.org/z", "<link href=http://b.net/y rel=canonical>"), (4, "http://d.net/", "<link rel=canonical href=/q>"), (5, "http://d.net/q", "<LINK REL='canonical' HREF='//x.com/de/1?a=1&amp;b=2'>"),
+    (6, "HTTP://X.com/de/1?a=1&b=2", ""), (7, "http://e.net/a/b?c", "<link rel=canonical href='d'>"), (8, "http://e.net/a/d", "<meta content='5;URL=http://x.com/de/' http-equiv=refresh>"),
+    (9, "http://e.net", "<link rel=canonical href=d><link rel=stylesheet href=http://x.com/de/s>"), (10, "http://e.net/d", "<meta name=refresh content='0;url=http://x.com/de/'>"), (11, None, "<link rel=canonical href=http://x.com/de/>"),
+    (12, "nohost", "<link rel=canonical href=http://x.com/de/>"), (13, "http://f.net/?q#x://y", "<link rel=canonical href=http://g.net/>"), (14, "http://g.net/#://", "<link rel=alternate href=http://x.com/de/>"), (15, "http://ÉX.com/de/", None),
+]
+
+
+def test_aliases_of_links_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from tesseral.llm import urls
+
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(path)
+    got = sorted(map(tuple, urls.judge(spark.read.parquet(path)).collect()))
+    assert got == sorted(duckdb.sql(urls.OP7_SQL.replace("FROM pages", f"FROM '{path}/*.parquet'")).fetchall())
+    blocked = {r[0] for r in got if r[4] == "block"}
+    assert blocked >= {1, 2, 4, 5, 6, 7, 8} and not blocked & {3, 9, 10, 11, 12, 13, 14}
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf_dir, docs):
+    import corpus_pipeline
+    from tesseral.llm import licenses  # noqa: F401
+
+    stages = dict(corpus_pipeline.STAGES)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = table.collect()
+    model = language.train(table)
+    kept = stages["language"](spark, table, sf_dir)
+    want = {r.doc_id for r in rows if (m := model.mixture(r.text)) and m[0][1] >= 0.3}
+    assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) <= len(rows)
+    component = brute_components(docs)
+    assert {r.doc_id for r in stages["near_copies"](spark, table, sf_dir).collect()} == {i for i, (_, c) in component.items() if i == c}
+    hit = {r.doc_id for r in QUERIES["op5_decontamination"](spark, sf_dir).collect()}
+    assert {r.doc_id for r in stages["benchmark"](spark, table, sf_dir).collect()} == {i for i, _ in docs} - hit
+    texts = {r.doc_id: (r.text, r.n_chars) for r in stages["personal_data"](spark, table, sf_dir).collect()}
+    for i, t in docs:
+        spans, out, done = pii.spans_of(t), "", 0
+        for kind, a, b, _, _ in spans:
+            out += t[done:a] + f"[{kind.upper()}]" if a >= done else ""
+            done = max(done, b)
+        assert texts[i] == (out + t[done:], len(out + t[done:])) and not list(pii.base_spans(texts[i][0]))
+    mixed = stages["mixing"](spark, table, sf_dir).drop("source")
+    same(mixed, ORACLE_SQL["op6_mixing"], sf_dir)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd_dir, empty_dir):
+    import corpus_pipeline
+
+    for top, counts in ((odd_dir, (8, 4)), (empty_dir, (0, 0))):
+        table = spark.read.parquet(f"{top}/documents.parquet").withColumn("n_chars", F.length("text").cast("long"))
+        docs, n = table, table.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, top)
+            assert docs.columns == table.columns and docs.count() <= n
+            n = docs.count()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, top)
+        assert last.count() == n and (top == empty_dir or n > 0)
