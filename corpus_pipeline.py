@@ -1,8 +1,8 @@
 """Corpus pipeline over `documents`.
 
 Five stages, each over all rows that its predecessor kept: language ID drops
-documents without a leading language, of every group of near copies the least
-id stays, documents holding a benchmark item go, personal data is replaced in
+documents without a leading language (its models learn from all documents with
+one given), of every group of near copies one document of the least id stays, documents holding a benchmark item go, personal data is replaced in
 the texts (n_chars follows), and the sources are mixed to their target weights.  The first four
 return the columns of documents; the last returns a row for every document with
 its source's target and the words that the mix takes of it, 0 where it is left
@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm import decontamination, language, mixing, ngram_join, pii
-from tesseral.llm.shared import materialise
+from tesseral.llm.shared import discard, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    return language.keep_identified(docs, model)
+    return language.keep_identified(docs, language.train(docs))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept = materialise(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
