@@ -28,9 +28,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Kept share of the hash range: a quarter, MD5s with a first hexadecimal digit below 4.
 BELOW = "4"
 DIGITS = 16
-#: Quantiles of the id that cut the order into slices, bytes of text in a slice
-#: and in a task, and slices of which the first ids are sent to all tasks at most.
-QUANTILES, SLICE_BYTES, TASK_BYTES, SENT_SLICES = 256, 8 << 20, 32 << 20, 100_000
+#: Quantiles of the id that cut the order into slices, slices by task, bytes of
+#: text in a task (and once there are MANY_TASKS), and slices of which the first
+#: ids are sent to all tasks at most.
+QUANTILES, SLICES, TASK_BYTES, MANY_TASKS, MOST_BYTES, SENT_SLICES = 256, 8, 4 << 20, 20_000, 128 << 20, 100_000
 
 
 def words(text: Column) -> Column:
@@ -79,20 +80,20 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     those of the next row by id, after the last the first.
 
     Each text's sketch is taken once, where the text has moved to, and passed on
-    to the row before it.  The order is cut into slices of about SLICE_BYTES, by approximate quantiles of the id
-    and evenly between two of them; each row moves once to its slice, a task
-    gets several slices, and their number follows the bytes of all texts.  The
-    last row of a slice takes the first text of the next occupied one.
+    to the row before it.  The order is cut into slices by approximate quantiles
+    of the id and evenly between two of them; each row moves once to its slice,
+    a task gets SLICES of them in a row, and the number of tasks follows the
+    bytes of all texts.  The last row of a slice takes the first text of the next occupied one.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     amount, low, high = ids.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.min("id"), F.max("id")).head()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // TASK_BYTES + 1)
+    parts = max(min(amount // TASK_BYTES, MANY_TASKS), amount // MOST_BYTES) + 1
     marks = ids.where("id IS NOT NULL").approxQuantile("id", [k / QUANTILES for k in range(1, QUANTILES)], 0.1 / QUANTILES)
     bounds = sorted({int(x) for x in marks} | {x for x in (low, high) if x is not None})
-    finer = amount // (SLICE_BYTES * QUANTILES) + 1
+    finer = SLICES * parts // QUANTILES + 1
     placed = ids.withColumn("slice", _slice_of(F.col("id"), bounds, finer))
     order = Window.partitionBy("slice").orderBy(F.col("id").asc_nulls_first(), "text")
-    moved = placed.repartition(parts, "slice").withColumn("own", sketch(F.col("text")))
+    moved = placed.repartitionByRange(parts, "slice").withColumn("own", sketch(F.col("text")))
     led = moved.select("*", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own"))
     # The first row of each slice, found without moving texts, then only those texts.
     known = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"))

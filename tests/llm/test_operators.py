@@ -172,8 +172,8 @@ def test_slices_of_the_order(spark, monkeypatch):
     df = spark.createDataFrame(rows, "i long, t string").repartition(5)
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     order = sorted(rows, key=key)
-    for size in (1, 1000, 8 << 20):
-        monkeypatch.setattr(fingerprints, "SLICE_BYTES", size)
+    for size in (20, 1000, 8 << 20):
+        monkeypatch.setattr(fingerprints, "TASK_BYTES", size)
         monkeypatch.setattr(fingerprints, "QUANTILES", 8)
         monkeypatch.setattr(fingerprints, "SENT_SLICES", size)
         got = sorted(((r.id, r.text, r.next_text) for r in fingerprints.with_next(df, "i", "t").collect()), key=key)
