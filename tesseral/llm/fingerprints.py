@@ -92,9 +92,6 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounds = sorted({int(x) for x in marks} | {x for x in (low, high) if x is not None})
     finer = SLICES * parts // QUANTILES + 1
     placed = ids.withColumn("slice", _slice_of(F.col("id"), bounds, finer))
-    order = Window.partitionBy("slice").orderBy(F.col("id").asc_nulls_first(), "text")
-    moved = placed.repartitionByRange(parts, "slice").withColumn("own", sketch(F.col("text")))
-    led = moved.select("*", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own"))
     # The first row of each slice, found without moving texts, then only those texts.
     known = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"))
     firsts = placed.groupBy("slice").agg(F.min(known).alias("f"))
@@ -103,11 +100,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ringed = firsts.select("f", F.coalesce(F.lag("slice").over(ring), last).alias("before"))
     if finer * (len(bounds) + 1) <= SENT_SLICES:
         ringed = F.broadcast(ringed)
-    heads = ids.withColumn("f", known).join(ringed, "f").groupBy("before").agg(F.min("text").alias("head_text"))
-    heads = heads.withColumn("head_own", sketch(F.col("head_text")))
-    return led.join(heads, led["slice"] == heads["before"], "left").select(
-        "id", "text", "own", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_own", "head_own").alias("next_own")
-    )
+    heads = ids.withColumn("f", known).join(ringed, "f").groupBy("before").agg(F.min("text").alias("text"))
+    # They close the slice before as rows of their own, so that nothing moves but to its slice.
+    ends = heads.select(F.lit(None).cast("long").alias("id"), "text", F.col("before").alias("slice"), F.lit(True).alias("end"))
+    rows = placed.withColumn("end", F.lit(False)).unionByName(ends)
+    order = Window.partitionBy("slice").orderBy("end", F.col("id").asc_nulls_first(), "text")
+    moved = rows.repartitionByRange(parts, "slice").withColumn("own", sketch(F.col("text")))
+    led = moved.select("*", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own"))
+    return led.where("NOT end").select("id", "text", "own", "next_text", "next_own")
 
 
 def _slice_of(value: Column, bounds: list[int], finer: int) -> Column:
