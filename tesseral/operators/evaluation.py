@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.config import ALPHA_GRID, BASELINE_FEATURES, ENHANCED_FEATURES, FLOOR
-from tesseral.operators import etas, glm, metrics, mlp, splits
+from tesseral.functions.grid import finite
+from tesseral.operators import etas, glm, metrics, mlp, spatial, splits
 
 COMPARISON = "model string, model_type string, mae double, rmse double, mean_poisson_deviance double, alpha_hat double, status string"
 
 
 def log_energy(panel: DataFrame) -> DataFrame:
-    """The panel with energy on a log scale, which keeps exponents in range."""
+    """The panel with energy on a log scale, for those who want it: the models take the panel as it is."""
     return panel.withColumn("energy_roll8", F.log10(1 + F.col("energy_roll8")))
 
 
@@ -41,7 +42,7 @@ def failed(spark: SparkSession, name: str, kind: str, why: Exception) -> DataFra
 def classical_models(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) -> tuple[DataFrame, dict[str, glm.Fit]]:
     """Persistence, Poisson and NB regressions on both feature sets: one row per
     model, a failed one with nulls, and the fits."""
-    spark, rows = panel.sparkSession, log_energy(panel)
+    spark, rows = panel.sparkSession, panel
     test = splits.split_by_week(rows).where("is_test")
     out = _row(spark, "Naive", "Baseline", test.withColumn("mu", F.greatest("y_lag1", F.lit(FLOOR))), None)
     fits: dict[str, glm.Fit] = {}
@@ -52,7 +53,7 @@ def classical_models(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) ->
             try:
                 f = fits[name] = fit(train, columns)
                 row = _row(spark, name, family, held.withColumn("mu", glm.predict(columns, f.beta)), f.alpha if family == "NB" else None)
-            except (np.linalg.LinAlgError, ValueError) as why:
+            except (np.linalg.LinAlgError, ValueError, ArithmeticError) as why:
                 row = failed(spark, name, family, why)
             out = out.unionByName(row)
     return out, fits
@@ -60,7 +61,7 @@ def classical_models(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) ->
 
 def lr_test(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) -> DataFrame:
     """Likelihood ratio of NB to Poisson on the enhanced features' train rows: one row."""
-    train, _ = scaled_split(log_energy(panel), ENHANCED_FEATURES)
+    train, _ = scaled_split(panel, ENHANCED_FEATURES)
     row = glm.overdispersion_test(glm.fit_poisson(train, ENHANCED_FEATURES), glm.fit_nb(train, ENHANCED_FEATURES, grid=grid))
     kinds = {int: "long", float: "double", str: "string"}
     return panel.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in row.items()))
@@ -76,15 +77,45 @@ NETWORKS = (
 
 def network_predictions(panel: DataFrame, jobs: tuple = NETWORKS, how: mlp.Training = mlp.Training()) -> DataFrame:
     """Test predictions of the networks, as a long table with alpha per row."""
-    rows = splits.split_by_week(log_energy(panel))
+    rows = splits.split_by_week(panel)
     out = mlp.train_and_score(rows, list(jobs), how)
     family = F.when(F.col("job").contains("Poisson"), "poisson").otherwise("nb")
     return out.select(F.col("job").alias("model"), family.alias("family"), "alpha", "cell_id", "week", "y", "mu")
 
 
+def network_comparison(predictions: DataFrame) -> DataFrame:
+    """Rows of the model comparison for network_predictions()."""
+    m = metrics.basic_metrics(predictions, "model", "family")
+    alpha = predictions.groupBy("model").agg(F.avg(F.when(F.col("family") == "nb", F.col("alpha"))).alias("alpha_hat"))
+    return m.join(alpha, "model").select(
+        "model", F.col("family").alias("model_type"), "mae", "rmse", F.col("mpd").alias("mean_poisson_deviance"), "alpha_hat", F.lit("OK").alias("status")
+    )
+
+
+def final_comparison(rows: DataFrame) -> DataFrame:
+    """The comparison's columns, of which only those that exist, by model."""
+    return rows.select(*(c.split()[0] for c in COMPARISON.split(", ") if c.split()[0] in rows.columns)).orderBy("model")
+
+
+def with_alpha(predictions: DataFrame, comparison: DataFrame, default: float | None = 1.0) -> DataFrame:
+    """Predictions whose NB rows have the alpha that the comparison holds for
+    their model, `default` where it holds none or no finite one."""
+    known = comparison.where(finite(F.col("alpha_hat"))).groupBy("model").agg(F.first("alpha_hat").alias("alpha_hat"))
+    alpha = F.when(F.col("family") == "nb", F.coalesce("alpha_hat", F.lit(default)))
+    return predictions.join(known, "model", "left").withColumn("alpha", alpha.cast("double")).drop("alpha_hat")
+
+
+def spatial_diagnostics(predictions: DataFrame, comparison: DataFrame, cells: DataFrame, runs: int = 999) -> DataFrame:
+    """(model, moran_i, z_score, p_perm, significant) of every model's Pearson
+    residuals, averaged by cell; alpha comes from the comparison by name."""
+    residuals = metrics.pearson_residuals(with_alpha(predictions, comparison))
+    found = spatial.permutation_test(spatial.cell_means(residuals, cells, "residual"), spatial.queen_weights(cells), runs)
+    return found.withColumn("significant", F.col("p_perm") < 0.05)
+
+
 def identifiability(panel: DataFrame, seeds: tuple[int, ...], how: mlp.Training = mlp.Training()) -> DataFrame:
     """Test alphas of the enhanced NB network by seed: (seed, alpha_pred, ..)."""
-    rows = splits.split_by_week(log_energy(panel))
+    rows = splits.split_by_week(panel)
     jobs = [(str(s), "nb", ENHANCED_FEATURES, s) for s in seeds]
     return mlp.train_and_score(rows, jobs, how).select(F.col("job").cast("int").alias("seed"), F.col("alpha").alias("alpha_pred"), "cell_id", "week", "y", "mu")
 
@@ -115,7 +146,7 @@ def walk_forward_naive(panel: DataFrame, years: tuple[int, ...]) -> DataFrame:
 def walk_forward(panel: DataFrame, binned: DataFrame, years: tuple[int, ...], days: float, grid: tuple[float, ...] = ALPHA_GRID) -> DataFrame:
     """NB regression, both networks and the self-exciting process by test year:
     (year, model, mae, rmse, mean_poisson_deviance, alpha_hat)."""
-    rows = log_energy(panel)
+    rows = panel
     # A row each; left lazy, the plans of all folds together outgrow the driver.
     found: list[tuple] = []
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.config import MIN_MAGNITUDE, Grid
 
+# The columns of a catalogue, in its order.
 CATALOGUE_COLUMNS = ("time", "latitude", "longitude", "depth", "mag", "place")
 
 
@@ -18,16 +21,39 @@ def require_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df
 
 
+def or_empty(df: DataFrame, columns: tuple[str, ...], schema: str) -> DataFrame:
+    """The table itself, or, with a warning, an empty one of the schema where it
+    lacks any of the columns."""
+    missing = [c for c in columns if c not in df.columns]
+    if not missing:
+        return df
+    warnings.warn(f"skipped, missing columns: {missing}", stacklevel=2)
+    return df.sparkSession.createDataFrame([], schema)
+
+
+#: Forms of times besides those that a cast to a timestamp reads.
+TIME_FORMS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd-MM-yyyy HH:mm:ss")
+
+
+def naive_utc(text: Column) -> Column:
+    """Times in mixed forms as UTC without a zone: those with an offset are
+    converted, those without one are UTC already; null where no form fits."""
+    aware = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+    forms = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMS]
+    return F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & text.contains(":"), aware).otherwise(F.coalesce(text.try_cast("timestamp_ntz"), *forms))
+
+
 def clean_catalogue(raw: DataFrame) -> DataFrame:
-    """Typed events with place and magnitude.  Numbers that don't parse become
-    null; a row without latitude, longitude, magnitude or time goes, one
-    without depth stays.  A time that doesn't parse is an error."""
+    """Typed events with place and magnitude, by time (a sort that plans without
+    a use for it leave out).  Numbers that don't parse become null; a row without
+    latitude, longitude, magnitude or time goes, one without depth stays.  A time
+    that doesn't parse is an error."""
     rows = require_columns(raw, CATALOGUE_COLUMNS).select(*CATALOGUE_COLUMNS)
     number = lambda c: F.col(c).try_cast("double").alias(c)
     typed = rows.select(
         F.to_timestamp("time").alias("time"), *map(number, ("latitude", "longitude", "depth", "mag")), "place"
     )
-    return typed.na.drop(subset=["time", "latitude", "longitude", "mag"])
+    return typed.na.drop(subset=["time", "latitude", "longitude", "mag"]).orderBy("time")
 
 
 def validation_report(events: DataFrame, grid: Grid = Grid(), min_magnitude: float = MIN_MAGNITUDE) -> DataFrame:
@@ -50,6 +76,14 @@ def validate(events: DataFrame, grid: Grid = Grid(), min_magnitude: float = MIN_
     return events
 
 
+def validate_panel(panel: DataFrame) -> DataFrame:
+    """The panel, or ValueError if it is empty or holds a negative count."""
+    n, least = panel.agg(F.count(F.lit(1)), F.min("y")).head()
+    if not n or least < 0:
+        raise ValueError("an empty panel" if not n else f"a negative count: {least}")
+    return panel
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new's rows, and old's whose key new doesn't have; columns by name."""
     kept = old.join(new.select(key).distinct(), key, "left_anti")

@@ -71,6 +71,11 @@ def tail_evaluation(rows: DataFrame) -> DataFrame:
     )
 
 
+def deviance_by_stratum(tail: DataFrame) -> DataFrame:
+    """One row per model of a tail_evaluation() table, its deviance by stratum; null where that is empty."""
+    return tail.groupBy("model").pivot("stratum", list(STRATA[:-1])).agg(F.first("mpd"))
+
+
 def pit_values(rows: DataFrame, u: str) -> DataFrame:
     """Add the randomised probability integral transform from a column of uniforms."""
     alpha = F.coalesce("alpha", F.lit(1.0))
@@ -88,7 +93,7 @@ def calibration_summary(pits: DataFrame, bins: int = 10) -> DataFrame:
     """n, mean and sample variance of the PIT, and its histogram's mean distance from uniform."""
     spread = pits.groupBy("model").agg(F.count("pit").alias("n"), F.avg("pit").alias("pit_mean"), F.var_samp("pit").alias("pit_var"))
     off = pit_histogram(pits, bins).groupBy("model").agg(F.avg(F.abs(F.col("freq") - 1.0 / bins)).alias("pit_l1_uniform"))
-    return spread.join(off, "model")
+    return spread.join(off, "model").orderBy("model")
 
 
 def pearson_residuals(rows: DataFrame) -> DataFrame:

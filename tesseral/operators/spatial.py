@@ -32,22 +32,20 @@ def cell_means(rows: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     """(model, cell_id, x): means by cell, 0 for cells without rows."""
     models = rows.select("model").distinct()
     means = rows.groupBy("model", "cell_id").agg(F.avg(value).alias("x"))
-    grid = models.crossJoin(F.broadcast(cells.select("cell_id").distinct()))
+    grid = cells.select("cell_id").distinct().crossJoin(F.broadcast(models))
     return grid.join(means, ["model", "cell_id"], "left").na.fill({"x": 0.0})
 
 
 def morans_i(values: DataFrame, weights: DataFrame) -> DataFrame:
     """(model, moran_i): null where all values are equal or no cell has a neighbour."""
-    mean = values.groupBy("model").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    centred = values.join(F.broadcast(mean), "model").select("model", "cell_id", "n", (F.col("x") - F.col("mean")).alias("xc"))
-    squares = centred.groupBy("model").agg(F.sum(F.col("xc") * F.col("xc")).alias("ss"), F.first("n").alias("n"))
-    i, j = centred.select("model", F.col("cell_id").alias("cell_i"), F.col("xc").alias("xi")), centred.select("model", F.col("cell_id").alias("cell_j"), F.col("xc").alias("xj"))
-    cross = weights.join(i, "cell_i").join(j, ["model", "cell_j"]).groupBy("model").agg(
-        F.sum(F.col("w") * F.col("xi") * F.col("xj")).alias("num"), F.sum("w").alias("sw")
+    x, spread = F.col("x"), values.groupBy("model").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.count(F.lit(1)).alias("n"))
+    i, j = values.select("model", F.col("cell_id").alias("cell_i"), x.alias("xi")), values.select("model", F.col("cell_id").alias("cell_j"), x.alias("xj"))
+    pairs = weights.join(i, "cell_i").join(j, ["model", "cell_j"]).join(F.broadcast(spread), "model")
+    cross = pairs.groupBy("model").agg(
+        F.sum(F.col("w") * (F.col("xi") - F.col("mean")) * (F.col("xj") - F.col("mean"))).alias("num"), F.sum("w").alias("sw")
     )
-    out = squares.join(cross, "model", "left")
-    base = F.col("sw") * F.col("ss")
-    return out.select("model", F.when(F.abs(base) >= 1e-12, F.col("n") * F.col("num") / base).alias("moran_i"))
+    base = F.col("sw") * F.col("n") * F.col("var")
+    return spread.join(cross, "model", "left").select("model", F.when(F.abs(base) >= 1e-12, F.col("n") * F.col("num") / base).alias("moran_i"))
 
 
 def permutation_test(values: DataFrame, weights: DataFrame, runs: int = 999, seed: int = 42) -> DataFrame:

@@ -16,9 +16,19 @@ def week_cutoff(panel: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     )
 
 
-def split_by_week(panel: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
-    """Add is_test: the week is at or after the cutoff."""
-    return panel.crossJoin(F.broadcast(week_cutoff(panel, share).select("cutoff"))).withColumn("is_test", F.col("week") >= F.col("cutoff")).drop("cutoff")
+def calendar_cutoff(binned: DataFrame, unit: str, warm_up: int, share: float = TRAIN_SHARE) -> DataFrame:
+    """week_cutoff() of the dense panel of binned events, from their first and
+    last bucket alone: the panel has every bucket between but the warm-up."""
+    span = binned.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
+    weeks = F.sequence("lo", "hi", F.expr(f"INTERVAL 1 {unit}"))
+    n = F.greatest(F.size("w") - warm_up, F.lit(0))
+    return span.select(weeks.alias("w")).select(F.get("w", F.lit(warm_up) + F.floor(n * F.lit(share)).cast("int")).alias("cutoff"), n.alias("n_weeks"))
+
+
+def split_by_week(panel: DataFrame, share: float = TRAIN_SHARE, cutoff: DataFrame | None = None) -> DataFrame:
+    """Add is_test: the week is at or after the cutoff, the panel's own unless one is given."""
+    at = (week_cutoff(panel, share) if cutoff is None else cutoff).select("cutoff")
+    return panel.crossJoin(F.broadcast(at)).withColumn("is_test", F.col("week") >= F.col("cutoff")).drop("cutoff")
 
 
 def tail_by_row(panel: DataFrame, share: float, order: str = "chronological") -> DataFrame:
@@ -33,7 +43,7 @@ def tail_by_row(panel: DataFrame, share: float, order: str = "chronological") ->
     total = Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = sums.select(keys[0], F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(total).alias("total"))
     inside = Window.partitionBy(keys[0]).orderBy(keys[1])
-    ranked = panel.withColumn("r", F.row_number().over(inside)).join(F.broadcast(placed), keys[0])
+    ranked = panel.withColumn("r", F.row_number().over(inside)).join(placed, keys[0])
     return ranked.withColumn("in_tail", F.col("before") + F.col("r") > F.col("total") - F.floor(F.col("total") * F.lit(share))).drop("r", "before", "total")
 
 
@@ -54,7 +64,7 @@ def encode_cells(train: DataFrame, other: DataFrame, order: str = "sorted") -> D
         keyed = train.groupBy("cell_id").agg(F.min(F.struct("week", "cell_id")).alias("k"))
     codes = keyed.select("cell_id", (F.dense_rank().over(Window.orderBy("k")) - 1).cast("long").alias("code"))
     unknown = codes.agg(F.count(F.lit(1)).alias("n_codes"))
-    return other.join(F.broadcast(codes), "cell_id", "left").crossJoin(F.broadcast(unknown)).withColumn("cell_idx", F.coalesce("code", "n_codes")).drop("code", "n_codes")
+    return other.join(codes, "cell_id", "left").crossJoin(F.broadcast(unknown)).withColumn("cell_idx", F.coalesce("code", "n_codes")).drop("code", "n_codes")
 
 
 def fit_scaler(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesseral.config import BIN_WIDTH, LN10, MC_CORRECTION, MIN_EVENTS_B
-from tesseral.functions.grid import edges
+from tesseral.functions.grid import edges, finite
 
 
 def cell_dispersion(panel: DataFrame) -> DataFrame:
@@ -15,6 +15,14 @@ def cell_dispersion(panel: DataFrame) -> DataFrame:
     return out.withColumn("d_cell", F.when(F.col("mean_y") > 0, F.col("var_y") / F.col("mean_y")))
 
 
+def mean_variance(panel: DataFrame) -> DataFrame:
+    """(cell_id, mean_y, var_y, ratio) of the cells with positive mean and
+    variance, ratio being the mean of their variances over that of their means."""
+    cells = cell_dispersion(panel).where("mean_y > 0 AND var_y > 0")
+    ratio = cells.agg((F.avg("var_y") / F.avg("mean_y")).alias("ratio"))
+    return cells.select("cell_id", "mean_y", "var_y").crossJoin(F.broadcast(ratio))
+
+
 def global_dispersion(panel: DataFrame) -> DataFrame:
     out = panel.agg(F.avg("y").alias("mean_y"), F.var_samp("y").alias("var_y"))
     return out.withColumn("d", F.when(F.col("mean_y") > 0, F.col("var_y") / F.col("mean_y")))
@@ -104,6 +112,13 @@ def last_buckets(panel: DataFrame, n: int = 52) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(late)).where(F.col("rank") <= n).select("cell_id", "week", "y", "rank")
 
 
+def forecast_series(test: DataFrame, *predictions: str) -> DataFrame:
+    """The busiest cell's test rows by week: its counts beside those of the
+    prediction columns that the table has."""
+    there = [c for c in predictions if c in test.columns]
+    return test.join(F.broadcast(busiest_cell(test).select("cell_id")), "cell_id").select("cell_id", "week", "y", *there).orderBy("week")
+
+
 def equal_width_histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, low, high, n) over the column's range, the last bin closed."""
     span = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo IS NOT NULL")
@@ -115,10 +130,15 @@ def equal_width_histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
     return out.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("high"), "n")
 
 
+def alpha_histogram(rows: DataFrame, bins: int = 40) -> DataFrame:
+    """(bin, low, high, n) of the finite predicted alphas."""
+    return equal_width_histogram(rows.where(finite(F.col("alpha_pred"))), "alpha_pred", bins)
+
+
 def alpha_audit(rows: DataFrame, *keys: str) -> DataFrame:
     """n, mean, median, 10 % and 90 % quantiles and the share below 0.01 of finite alphas."""
     a = F.col("alpha_pred")
-    return rows.where(a.isNotNull() & ~F.isnan(a)).groupBy(*keys).agg(
+    return rows.where(finite(a)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(a).alias("mean_alpha"),
         F.percentile(a, F.lit(0.5)).alias("median_alpha"),

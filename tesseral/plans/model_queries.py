@@ -9,7 +9,7 @@ from tesseral.config import ENHANCED_FEATURES, IDENTIFIABILITY_SEEDS
 from tesseral.functions import dist, grid as G
 from tesseral.operators import etas, evaluation as V, glm, metrics as M, spatial, splits, stats
 from tesseral.plans import sql
-from tesseral.plans.panel_queries import binned, panel, r6
+from tesseral.plans.panel_queries import binned, cells, cutoff, panel, r6
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 def forecasts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Test rows with two fixed forecasts, the second also as negative binomial."""
-    test = splits.split_by_week(panel(spark, sf_dir, kind)).where("is_test")
+    test = splits.split_by_week(panel(spark, sf_dir, kind), cutoff=cutoff(spark, sf_dir, kind)).where("is_test")
     wide = test.withColumn("naive", F.col("y_lag1")).withColumn("rate", F.lit(0.1) + F.col("count_roll12") / 12)
     return M.predictions_long(wide, FORECASTS)
 
@@ -165,7 +165,7 @@ w AS (SELECT *, 1e0/count(*) OVER (PARTITION BY cell_i) AS w FROM w0)"""
 
 @query("m19_queen_weights", f"WITH {sql.base('bursty')}, {_WEIGHTS} SELECT cell_i, cell_j, round(w, 6) AS w FROM w")
 def m19_queen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.queen_weights(panel(spark, sf_dir, "bursty")).select("cell_i", "cell_j", *r6("w"))
+    return spatial.queen_weights(cells(spark, sf_dir, "bursty")).select("cell_i", "cell_j", *r6("w"))
 
 
 _CELL_MEANS = f"""r AS (SELECT model, cell_id, avg({_RESIDUAL}) AS x FROM preds WHERE model <> 'naive' GROUP BY ALL),
@@ -174,8 +174,8 @@ xs AS (SELECT m.model, c.cell_id, coalesce(r.x, 0e0) AS x FROM (SELECT DISTINCT
 
 def _residual_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = M.pearson_residuals(forecasts(spark, sf_dir, "orders").where("model != 'naive'"))
-    cells = panel(spark, sf_dir, "orders").select("cell_id", "lat_grid", "lon_grid")
-    return spatial.cell_means(rows, cells, "residual"), spatial.queen_weights(cells)
+    places = cells(spark, sf_dir, "orders")
+    return spatial.cell_means(rows, places, "residual"), spatial.queen_weights(places)
 
 
 @query("a21_cell_means", f"WITH {sql.predictions('orders')}, {_CELL_MEANS} SELECT model, cell_id, round(x, 6) AS x FROM xs")
@@ -193,6 +193,60 @@ def m20_morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.morans_i(*_residual_means(spark, sf_dir)).select("model", *r6("moran_i"))
 
 
+#: A comparison that holds an alpha for one of the two models.
+_COMPARISON = [("rate_nb", 0.5), ("other_nb", 2.0), ("rate_poisson", None)]
+
+
+def _compared(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_COMPARISON, "model string, alpha_hat double")
+
+
+@query(
+    "j11_alpha_by_model",
+    f"""WITH {sql.predictions('orders')}, c(model, alpha_hat) AS (VALUES ('rate_nb', 0.5e0), ('other_nb', 2e0), ('rate_poisson', NULL))
+      SELECT p.model, cell_id, week, CASE WHEN family = 'nb' THEN coalesce(alpha_hat, 1e0) END AS alpha FROM preds p LEFT JOIN c USING (model)""",
+)
+def j11_alpha_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.with_alpha(forecasts(spark, sf_dir, "orders"), _compared(spark)).select("model", "cell_id", "week", "alpha")
+
+
+@query("m22_spatial_diagnostics", ORACLE_SQL["m20_morans_i"])
+def m22_spatial_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forecasts(spark, sf_dir, "orders").where("model != 'naive'")
+    return V.spatial_diagnostics(rows, _compared(spark), cells(spark, sf_dir, "orders")).select("model", *r6("moran_i"))
+
+
+@query(
+    "v8_deviance_by_stratum",
+    f"""WITH t AS ({ORACLE_SQL['m13_tail_evaluation']}) SELECT model, {", ".join(f'any_value(mpd) FILTER (stratum = {chr(39)}{x}{chr(39)}) AS "{x}"' for x in M.STRATA[:-1])} FROM t GROUP BY model""",
+)
+def v8_deviance_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = M.deviance_by_stratum(M.tail_evaluation(forecasts(spark, sf_dir, "bursty")))
+    return wide.select("model", *(F.round(F.col(f"`{x}`"), 6).alias(x) for x in M.STRATA[:-1]))
+
+
+@query(
+    "v10_alpha_histogram",
+    f"""WITH {sql.predictions('bursty')}, d AS (SELECT mu FROM preds WHERE model = 'rate_nb'), s AS (SELECT min(mu) AS lo, (max(mu) - min(mu))/40e0 AS w FROM d),
+      b AS (SELECT k::INT AS bin, lo, w FROM s, generate_series(0, 39) t(k))
+      SELECT bin, round(lo + bin*w, 6) AS low, round(lo + (bin + 1)*w, 6) AS high, count(mu)::BIGINT AS n FROM b LEFT JOIN d ON least(floor((mu - lo)/w), 39) = bin GROUP BY ALL""",
+)
+def v10_alpha_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forecasts(spark, sf_dir, "bursty").where("model = 'rate_nb'").withColumn("alpha_pred", F.col("mu"))
+    return stats.alpha_histogram(rows).select("bin", *r6("low", "high"), "n")
+
+
+@query(
+    "v5_forecast_series",
+    f"""WITH {sql.split('orders')}, b AS (SELECT cell_id FROM test GROUP BY cell_id ORDER BY sum(y) DESC, cell_id LIMIT 1)
+      SELECT cell_id, week, y, y_lag1 AS naive, round(0.1e0 + count_roll12/12e0, 6) AS rate FROM test JOIN b USING (cell_id)""",
+)
+def v5_forecast_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = splits.split_by_week(panel(spark, sf_dir, "orders"), cutoff=cutoff(spark, sf_dir, "orders")).where("is_test")
+    wide = test.withColumn("naive", F.col("y_lag1")).withColumn("rate", F.round(F.lit(0.1) + F.col("count_roll12") / 12, 6))
+    return stats.forecast_series(wide, "naive", "rate", "pred_dl")
+
+
 @query("m21_permutation_test")
 def m21_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.permutation_test(*_residual_means(spark, sf_dir)).select("model", *r6("moran_i", "z_score", "p_perm"), (F.col("p_perm") < 0.05).alias("significant"))
@@ -200,6 +254,7 @@ def m21_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Closed-form coefficients for scoring checks.
 BETA = (0.2, 0.1, 0.05, -0.05, 0.02, 0.03, 0.01, -0.001)
+#: Closed-form coefficients score the panel with energy on a log scale, as no scaler is fitted for them.
 _ETA = " + ".join([f"{BETA[0]}e0", *(f"{b}e0*{'log10(1e0 + energy_roll8)' if c == 'energy_roll8' else c}" for c, b in zip(ENHANCED_FEATURES, BETA[1:], strict=True))])
 
 
@@ -210,14 +265,14 @@ def g5_glm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g2_poisson_fit")
 def g2_poisson_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = V.scaled_split(V.log_energy(panel(spark, sf_dir, "orders")), ENHANCED_FEATURES)
+    train, _ = V.scaled_split(panel(spark, sf_dir, "orders"), ENHANCED_FEATURES)
     fit = glm.fit_poisson(train, ENHANCED_FEATURES)
     return spark.createDataFrame([(n, round(float(b), 5), round(fit.llf, 4)) for n, b in zip(("intercept", *ENHANCED_FEATURES), fit.beta, strict=True)], "term string, beta double, llf double")
 
 
 @query("g4_nb_profile")
 def g4_nb_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = V.scaled_split(V.log_energy(panel(spark, sf_dir, "bursty")), ENHANCED_FEATURES)
+    train, _ = V.scaled_split(panel(spark, sf_dir, "bursty"), ENHANCED_FEATURES)
     fit = glm.fit_nb(train, ENHANCED_FEATURES)
     return spark.createDataFrame([(round(a, 9), round(v, 4), a == fit.alpha) for a, v in fit.profile], "alpha double, llf double, is_best boolean")
 
@@ -243,21 +298,22 @@ def _fixed(times: DataFrame) -> DataFrame:
 
 @query(
     "g19_etas_likelihood",
-    f"""WITH {sql.binned('bursty')}, b AS (SELECT * FROM binned WHERE event_id % 7 = 0), o AS (SELECT min(time) AS origin FROM b),
-      e AS (SELECT cell_id, mag, (epoch_us(time) - epoch_us(origin))/86400e6 AS t, row_number() OVER (PARTITION BY cell_id ORDER BY time, mag) AS i FROM b, o),
+    f"""WITH {sql.binned('orders')}, o AS (SELECT min(time) AS origin FROM binned),
+      e AS (SELECT cell_id, mag, (epoch_us(time) - epoch_us(origin))/86400e6 AS t, row_number() OVER (PARTITION BY cell_id ORDER BY time, mag) AS i FROM binned, o),
       lam AS (SELECT x.cell_id, x.i, any_value(x.t) AS t, any_value(x.mag) AS mag, 0.5e0 + coalesce(sum(0.2e0*exp(0.8e0*(z.mag - 3e0))/(x.t - z.t + 0.05e0)**1.2e0), 0) AS lam
         FROM e x LEFT JOIN e z ON z.cell_id = x.cell_id AND z.i < x.i GROUP BY x.cell_id, x.i),
       f AS (SELECT *, max(t) OVER (PARTITION BY cell_id) AS t_end FROM lam)
-      SELECT cell_id, round(0.5e0*any_value(t_end) + sum({_AREA.format(d1="t_end - t + 0.05e0", d0="0.05e0")}) - sum(ln(greatest(lam, 1e-12))), 5) AS nll FROM f GROUP BY cell_id""",
+      SELECT cell_id, round(0.5e0*any_value(t_end) + sum({_AREA.format(d1="t_end - t + 0.05e0", d0="0.05e0")}) - sum(ln(greatest(lam, 1e-12))), 4) AS nll FROM f GROUP BY cell_id""",
 )
 def g19_etas_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = etas.event_times(binned(spark, sf_dir, "bursty").where("event_id % 7 = 0"))
-    return etas.likelihood_table(times, _fixed(times)).select("cell_id", F.round("nll", 5).alias("nll"))
+    """All events, by the kernel that fits."""
+    times = etas.event_times(binned(spark, sf_dir, "orders"))
+    return etas.likelihood(times, _fixed(times)).select("cell_id", F.round("nll", 4).alias("nll"))
 
 
-#: The query above holds the pairwise table against SQL on a seventh of the events; this one is of all.
-@query("g19_etas_likelihood_all")
-def g19_etas_likelihood_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("g19_etas_likelihood_bursty")
+def g19_etas_likelihood_bursty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over cells of very unequal numbers of events; tested against the pairwise table."""
     times = etas.event_times(binned(spark, sf_dir, "bursty"))
     return etas.likelihood(times, _fixed(times)).select("cell_id", F.round("nll", 5).alias("nll"))
 
@@ -272,9 +328,9 @@ def g19_etas_likelihood_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g22_etas_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir, "orders")
-    cutoff = splits.week_cutoff(rows).head().cutoff
-    times = etas.event_times(binned(spark, sf_dir, "orders"), F.lit(cutoff))
-    weeks = splits.split_by_week(rows).where("is_test").select("cell_id", "week")
+    first = cutoff(spark, sf_dir, "orders")
+    times = etas.event_times(binned(spark, sf_dir, "orders"), F.lit(first.head().cutoff))
+    weeks = splits.split_by_week(rows, cutoff=first).where("is_test").select("cell_id", "week")
     return etas.forecast(weeks, times, _fixed(times)).select("cell_id", "week", F.round("lambda_pred", 5).alias("lambda_pred"))
 
 
@@ -316,7 +372,7 @@ def a18_alpha_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT t.cell_id, t.week, t.y, greatest(coalesce(lambda_pred, 0.1e0), 1e-9) AS mu FROM test t LEFT JOIN p ON p.cell_id = t.cell_id AND p.week = t.week""",
 )
 def j4_default_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = splits.split_by_week(panel(spark, sf_dir, "orders")).where("is_test")
+    test = splits.split_by_week(panel(spark, sf_dir, "orders"), cutoff=cutoff(spark, sf_dir, "orders")).where("is_test")
     pred = test.where("cell_id < '44'").select("cell_id", "week", (F.lit(0.5) + F.col("y_lag1")).alias("lambda_pred"))
     return test.select("cell_id", "week", "y").join(pred, ["cell_id", "week"], "left").select(
         "cell_id", "week", "y", F.greatest(F.coalesce("lambda_pred", F.lit(0.1)), F.lit(1e-9)).alias("mu")

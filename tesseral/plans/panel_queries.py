@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesseral.config import ENHANCED_FEATURES, Grid
+from tesseral.config import ENHANCED_FEATURES, Features, Grid
 from tesseral.functions import grid as G
 from tesseral.operators import ingest, panel as P, splits, stats
 from tesseral.plans import sql
@@ -41,6 +41,16 @@ def base(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return P.dense_base(P.aggregate_cells(binned(spark, sf_dir, kind)), GRIDS[kind].unit)
 
 
+def cutoff(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The first test bucket of the kind's panel."""
+    return splits.calendar_cutoff(binned(spark, sf_dir, kind), GRIDS[kind].unit, Features().warm_up)
+
+
+def cells(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The cells of the kind's panel, without its features."""
+    return binned(spark, sf_dir, kind).select("cell_id", "lat_grid", "lon_grid").distinct()
+
+
 def panel(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return P.build_panel(READ[kind](spark, sf_dir), GRIDS[kind])
 
@@ -296,9 +306,18 @@ def v3_dispersion_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("bin", *r6("low", "high"), "n")
 
 
+@query(
+    "v2_mean_variance",
+    f"""WITH {sql.panel('bursty')}, c AS (SELECT cell_id, avg(y) AS m, var_samp(y) AS v FROM panel GROUP BY cell_id HAVING avg(y) > 0 AND var_samp(y) > 0)
+      SELECT cell_id, round(m, 6) AS mean_y, round(v, 6) AS var_y, round(avg(v) OVER ()/avg(m) OVER (), 6) AS ratio FROM c""",
+)
+def v2_mean_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mean_variance(panel(spark, sf_dir, "bursty")).select("cell_id", *r6("mean_y", "var_y", "ratio"))
+
+
 @query("w9_week_cutoff", f"WITH {sql.split('orders')} SELECT cutoff, n_weeks::INT AS n_weeks FROM cutoff")
 def w9_week_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.week_cutoff(panel(spark, sf_dir, "orders"))
+    return cutoff(spark, sf_dir, "orders")
 
 
 @query(
@@ -306,7 +325,7 @@ def w9_week_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {sql.split('orders')} SELECT week >= cutoff AS is_test, count(*)::BIGINT AS n, sum(y)::BIGINT AS events FROM panel, cutoff GROUP BY 1",
 )
 def w9_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_by_week(panel(spark, sf_dir, "orders")).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+    return splits.split_by_week(panel(spark, sf_dir, "orders"), cutoff=cutoff(spark, sf_dir, "orders")).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
 
 
 def _tail(order: str):
@@ -347,15 +366,20 @@ for _order, _key in (("sorted", "cell_id"), ("first_seen", "min(week), cell_id")
 
 
 _SCALER = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 6) AS scale FROM (SELECT {'log10(1e0 + energy_roll8)' if c == 'energy_roll8' else c} AS x FROM train)"
+    f"SELECT '{c}' AS feature, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 6) AS scale FROM (SELECT {c} AS x FROM train)"
     for c in ENHANCED_FEATURES
 )
 
 
-@query("a26_scaler", f"WITH {sql.split('orders')} {_SCALER}")
+#: Energies are too great for a comparison of rounded values, so their logarithms are compared.
+_SCALED = "CASE WHEN feature = 'energy_roll8' THEN round(log10({x}), 6) ELSE round({x}, 6) END AS {x}"
+
+
+@query("a26_scaler", f"WITH {sql.split('orders')}, s AS ({_SCALER}) SELECT feature, {_SCALED.format(x='mean')}, {_SCALED.format(x='scale')} FROM s")
 def a26_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = splits.split_by_week(panel(spark, sf_dir, "orders")).where("NOT is_test").withColumn("energy_roll8", F.log10(1 + F.col("energy_roll8")))
-    return splits.fit_scaler(rows, ENHANCED_FEATURES).select("feature", *r6("mean", "scale"))
+    rows = splits.split_by_week(panel(spark, sf_dir, "orders")).where("NOT is_test")
+    shown = lambda c: F.round(F.when(F.col("feature") == "energy_roll8", F.log10(c)).otherwise(F.col(c)), 6).alias(c)
+    return splits.fit_scaler(rows, ENHANCED_FEATURES).select("feature", shown("mean"), shown("scale"))
 
 
 @query(

@@ -157,7 +157,7 @@ def test_likelihood_of_all_events(spark, sf_dir):
 
     times = etas.event_times(Q.binned(spark, sf_dir, "bursty"))
     want = {r.cell_id: r.nll for r in etas.likelihood_table(times, Q._fixed(times)).collect()}
-    got = {r.cell_id: r.nll for r in QUERIES["g19_etas_likelihood_all"](spark, sf_dir).collect()}
+    got = {r.cell_id: r.nll for r in QUERIES["g19_etas_likelihood_bursty"](spark, sf_dir).collect()}
     assert len(got) == 21 and got == pytest.approx(want, abs=1e-4)
     # Repeated times and magnitudes, and more events than a block holds.
     rng = np.random.default_rng(3)
@@ -174,3 +174,109 @@ def test_unfinished_point_process_falls_back(monkeypatch):
     monkeypatch.setattr(etas, "MAX_ITERATIONS", 1)
     fit = etas.fit_cell("x", t, m, 50.0)
     assert fit["fallback"] and fit["k"] == 0.0 and fit["mu"] == pytest.approx(59 / (t[-1] - t[0]))
+
+
+def test_cutoff_of_the_calendar_is_that_of_the_panel(spark, sf_dir):
+    from tesseral.plans import panel_queries as P
+
+    for kind in ("orders", "bursty"):
+        assert splits.week_cutoff(P.panel(spark, sf_dir, kind)).head() == P.cutoff(spark, sf_dir, kind).head()
+
+
+def _design(spark, sf_dir, kind):
+    from tesseral.config import ENHANCED_FEATURES
+    from tesseral.plans import panel_queries as P
+
+    train, _ = evaluation.scaled_split(P.panel(spark, sf_dir, kind), ENHANCED_FEATURES)
+    rows = train.select("y", *ENHANCED_FEATURES).toPandas()
+    return np.column_stack([np.ones(len(rows)), rows[list(ENHANCED_FEATURES)]]), rows["y"].to_numpy(float)
+
+
+def test_poisson_fit_solves_the_score_equations(spark, sf_dir):
+    x, y = _design(spark, sf_dir, "orders")
+    rows = QUERIES["g2_poisson_fit"](spark, sf_dir).collect()
+    mu = np.exp(x @ np.array([r.beta for r in rows]))
+    assert np.abs(x.T @ (y - mu)).max() < 1e-3 * len(y)
+    assert rows[0].llf == pytest.approx((y * np.log(mu) - mu - [math.lgamma(v + 1) for v in y]).sum(), rel=1e-5)
+
+
+def test_nb_profile_equals_newton_steps(spark, sf_dir):
+    x, y = _design(spark, sf_dir, "bursty")
+    rows = QUERIES["g4_nb_profile"](spark, sf_dir).collect()
+    assert len(rows) == 60 and sum(r.is_best for r in rows) == 1
+    for r in [*rows[::12], *(r for r in rows if r.is_best)]:
+        a, beta = r.alpha, np.r_[math.log(y.mean()), np.zeros(x.shape[1] - 1)]
+        for _ in range(200):
+            mu = np.exp(np.clip(x @ beta, -30, 30))
+            w = mu / (1 + a * mu)
+            step = np.linalg.lstsq((x * w[:, None]).T @ x + 1e-10 * np.eye(x.shape[1]), x.T @ ((y - mu) / (1 + a * mu)), rcond=None)[0]
+            beta = beta + step
+            if np.abs(step).max() < 1e-10:
+                break
+        mu = np.exp(x @ beta)
+        ll = sum(math.lgamma(v + 1 / a) - math.lgamma(1 / a) - math.lgamma(v + 1) + v * math.log(a * m / (1 + a * m)) - math.log1p(a * m) / a for v, m in zip(y, mu, strict=True))
+        assert r.llf == pytest.approx(ll, rel=1e-5), r
+    assert max(rows, key=lambda r: r.llf).is_best
+
+
+def test_permutations_of_a_small_lattice(spark):
+    import itertools
+
+    cells = spark.createDataFrame([(f"c{a}{b}", 3.0 * a, 3.0 * b) for a in range(2) for b in range(3)], "cell_id string, lat_grid double, lon_grid double")
+    x = {"c00": 1.0, "c01": 0.8, "c02": -0.5, "c10": 1.2, "c11": 0.1, "c12": -2.0}
+    values = spark.createDataFrame([("m", c, v) for c, v in x.items()], "model string, cell_id string, x double")
+    weights = evaluation.spatial.queen_weights(cells)
+    w = {(r.cell_i, r.cell_j): r.w for r in weights.collect()}
+
+    def moran(v):
+        d = {c: a - np.mean(list(v.values())) for c, a in v.items()}
+        return len(v) * sum(k * d[i] * d[j] for (i, j), k in w.items()) / (sum(w.values()) * sum(a * a for a in d.values()))
+
+    seen = moran(x)
+    drawn = [moran(dict(zip(x, p, strict=True))) for p in itertools.permutations(x.values())]
+    got = evaluation.spatial.permutation_test(values, weights, 3000).head()
+    assert got.moran_i == pytest.approx(seen) == evaluation.spatial.morans_i(values, weights).head().moran_i
+    assert got.p_perm == pytest.approx(np.mean(np.array(drawn) >= seen - 1e-12), abs=0.03) and got.z_score == pytest.approx((seen - np.mean(drawn)) / np.std(drawn), abs=0.1)
+
+
+def test_times_of_mixed_forms(spark):
+    forms = {
+        "2020-01-06 01:02:03": "2020-01-06T01:02:03", "2020-01-06T01:02:03Z": "2020-01-06T01:02:03", "2020-01-06T01:02:03.500+02:00": "2020-01-05T23:02:03.500000",
+        "2020/01/06 01:02:03": "2020-01-06T01:02:03", "06-01-2020 01:02:03": "2020-01-06T01:02:03", "2020-01-06": "2020-01-06T00:00:00", "never": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in forms], "t string").withColumn("u", ingest.naive_utc(F.col("t")))
+    assert {r.t: r.u and r.u.isoformat() for r in df.collect()} == forms
+
+
+def test_missing_columns_give_an_empty_table(spark):
+    df = spark.range(2)
+    assert ingest.or_empty(df, ("id",), "x int") is df
+    with pytest.warns(UserWarning, match="missing"):
+        assert ingest.or_empty(df, ("id", "y"), "x int").columns == ["x"]
+    with pytest.raises(ValueError, match="negative"):
+        ingest.validate_panel(spark.createDataFrame([(-1,)], "y long"))
+
+
+def test_comparison_and_result_tables(spark, tmp_path):
+    from tesseral.sources import catalogue
+
+    rows = [("n", "nb", 2.0, "a", 1, 2, 1.5), ("n", "nb", 4.0, "a", 2, 1, 1.0), ("p", "poisson", None, "a", 1, 0, 0.5)]
+    preds = spark.createDataFrame(rows, "model string, family string, alpha double, cell_id string, week int, y int, mu double")
+    new = evaluation.network_comparison(preds)
+    old = spark.createDataFrame([("n", "nb", 9.0, None), ("z", "x", 1.0, 2.0)], "model string, model_type string, mae double, rmse double")
+    done = evaluation.final_comparison(ingest.upsert(old, new, "model").drop("rmse"))
+    assert done.columns == ["model", "model_type", "mae", "mean_poisson_deviance", "alpha_hat", "status"]
+    assert [(r.model, r.mae, r.alpha_hat) for r in done.collect()] == [("n", 0.25, 3.0), ("p", 0.5, None), ("z", 1.0, None)]
+    assert catalogue.write_results({"comparison": done}, str(tmp_path)) == ["comparison"]
+    assert spark.read.parquet(f"{tmp_path}/comparison").count() == 3
+    with pytest.raises(ValueError, match="no such"):
+        catalogue.write_results({"other": done}, str(tmp_path))
+
+
+def test_dropout_is_on_both_layers():
+    w = mlp.init(3, 2, 0)
+    x, cell = np.ones((400, 2)), np.zeros(400, dtype=int)
+    _, _, (_, m0, h1, m1, h2, _) = mlp.forward(w, x, cell, np.random.default_rng(0))
+    _, _, (_, p0, _, p1, _, _) = mlp.forward(w, x, cell)
+    for dropped, plain in ((m0, p0), (m1, p1)):
+        assert 0 < (dropped[plain > 0] == 0).mean() < 0.5 or not plain.any()
