@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tesseral.config import ALPHA_GRID
 
-MAX_ROUNDS, TOLERANCE, ETA_LIMIT = 30, 1e-9, 30.0
+MAX_ROUNDS, TOLERANCE, ETA_LIMIT = 100, 1e-9, 30.0
 
 
 @dataclass
@@ -110,10 +110,11 @@ def fit_poisson(rows: DataFrame, columns: tuple[str, ...], y: str = "y") -> Fit:
 
 
 def fit_nb(rows: DataFrame, columns: tuple[str, ...], y: str = "y", grid: tuple[float, ...] = ALPHA_GRID) -> Fit:
-    """The dispersion of the grid with the greatest log-likelihood, the first of equals."""
+    """The dispersion of the grid with the greatest log-likelihood, the first of
+    equals; fits that haven't converged compete only among themselves."""
     start = fit_poisson(rows, columns, y).beta
     fits = fit_profile(rows, columns, y, grid, start)
-    best = max((f for f in fits if np.isfinite(f.llf)), key=lambda f: f.llf)
+    best = max((f for f in fits if np.isfinite(f.llf)), key=lambda f: (f.converged, f.llf))
     best.profile = [(f.alpha, f.llf) for f in fits]
     return best
 
