@@ -180,6 +180,13 @@ def _class_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=U64)).view(np.int64)[0])
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches, as a text's hashes are larger than the text."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of step 1: kind 0 documents, kind 1 frequent shingles (in cls) of a
     block, counted over the classes that are new to the task."""
@@ -196,7 +203,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["kind", "doc_id", "n", "cls", "vector"],
         )
 
-    for batch in batches:
+    for batch in _few(batches):
         sets = [shingle_set(t.as_py()) for t in batch.column(1)]
         full = [len(s) > 0 for s in sets]
         classes = [_class_of(s) if f else None for s, f in zip(sets, full, strict=True)]
@@ -248,7 +255,7 @@ def _routes(hot: np.ndarray, counts: np.ndarray, most: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _few(batches):
             buckets, owners, groups = [], [], []
             for text in batch.column(0):
                 s = shingle_set(text.as_py())
