@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating star contraction on DataFrames: every large-star step links a
     node's greater neighbours to its least one, every small-star step its
     smaller ones; both keep the components and the number of rounds grows with
-    the logarithm of the longest path.  A minimum by node has a map-side
+    the logarithm of the longest path.  It ends when all edges are stars, which
+    needs no round where they are stars to begin with.  A minimum by node has a map-side
     combine, and a node with very many neighbours meets its minimum by a join
     that adaptive execution may split, so no neighbour list is ever built.
     Null ends and loops are ignored; an empty table gives an empty one.
@@ -72,9 +73,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    current = materialise(pairs, "cc")
-    first, before = current, _state(current)
-    while before[0]:
+    current = first = materialise(pairs, "cc")
+    while _unfinished(current):
         # Large star: every greater neighbour of u joins the least of u and its neighbours.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -99,18 +99,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         discard(large)
         if current is not first:
             discard(current)
-        current, now = nxt, _state(nxt)
-        if now == before:
-            break
-        before = now
+        current = nxt
     nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     out = nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
     return out.select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _state(edges: DataFrame) -> tuple[int, int | None, int | None]:
-    """Equal for equal edge sets, and in all likelihood only for them."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).head())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether downward edges aren't yet stars: a node has two lesser neighbours,
+    or one and a greater one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    degree = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not degree.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).isEmpty()
 
 
 #: Bits of an id filter by member, and at most: 32 MB, good for some 30 million members.

@@ -372,3 +372,17 @@ def test_licence_rules_equal_sql_on_hand_made_texts(spark, tmp_path):
     got = sorted(map(tuple, licenses.scan(spark.read.parquet(path)).collect()))
     want = duckdb.sql(re.sub(r"\bFROM documents\b", f"FROM '{path}/*.parquet'", licenses.OP3_SQL)).fetchall()
     assert got == sorted(want) and len({r[3] for r in got}) > 30
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    plain = shared.materialise
+    monkeypatch.setattr(shared, "materialise", lambda df, what="table": written.append(what) or plain(df, what))
+    stars = spark.createDataFrame([(5, 1), (1, 6), (6, 1), (7, 7), (9, 2), (None, 3)], "a long, b long")
+    assert {r.node: r.component for r in shared.connected_components(stars).collect()} == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2}
+    assert written == ["cc"]
+    written.clear()
+    joined = stars.unionByName(spark.createDataFrame([(9, 6)], "a long, b long"))
+    assert {r.node: r.component for r in shared.connected_components(joined).collect()} == {k: 1 for k in (1, 2, 5, 6, 9)}
+    path = spark.range(64).selectExpr("id a", "id + 1 b")
+    assert {r.component for r in shared.connected_components(path).collect()} == {0}
