@@ -280,3 +280,33 @@ def test_dropout_is_on_both_layers():
     _, _, (_, p0, _, p1, _, _) = mlp.forward(w, x, cell)
     for dropped, plain in ((m0, p0), (m1, p1)):
         assert 0 < (dropped[plain > 0] == 0).mean() < 0.5 or not plain.any()
+
+
+def test_forecast_in_slices_equals_plain_sums(spark, monkeypatch):
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    origin, day = dt.datetime(2020, 1, 6), dt.timedelta(days=1)
+    # Times before and within the weeks, repeated events, and a cell without events or without parameters.
+    events = [("hot", float(t), 3.0 + float(m)) for t, m in zip(rng.integers(0, 40, 300), rng.integers(0, 3, 300), strict=True)] + [("one", 0.0, 4.0), ("unseen", 1.0, 3.0)]
+    times = spark.createDataFrame([(*e, origin) for e in events], "cell_id string, t_days double, mag double, origin timestamp_ntz")
+    given = {"hot": (0.5, 0.2, 0.05, 1.2, 0.8), "one": (0.1, 0.3, 0.01, 1.0, 0.5), "calm": (0.2, 0.0, 0.01, 1.1, 1.0)}
+    params = spark.createDataFrame([(c, *v) for c, v in given.items()], "cell_id string, mu double, k double, c double, p double, a double")
+    weeks = [(c, 7.0 * k) for c in ("hot", "one", "calm", "unseen") for k in (2, 5, 9)]
+    asked = spark.createDataFrame([(c, origin + s * day) for c, s in [*weeks, weeks[0]]], "cell_id string, week timestamp_ntz")
+
+    def want(cell, s):
+        if cell not in given:
+            return etas.UNSEEN_RATE
+        mu, k, c, p, a = given[cell]
+        total = mu * 7
+        for x, t, m in events:
+            d0, d1 = max(s, t) - t + c, s + 7 - t + c
+            if x == cell and max(s, t) < s + 7:
+                total += k * math.exp(a * (m - etas.M_C)) * (math.log(d1 / d0) if p == 1 else (d1 ** (1 - p) - d0 ** (1 - p)) / (1 - p))
+        return total
+
+    for size in (etas.SLICE, 7):
+        monkeypatch.setattr(etas, "SLICE", size)
+        got = {(r.cell_id, (r.week - origin) / day): r.lambda_pred for r in etas.forecast(asked, times, params).collect()}
+        assert got == pytest.approx({w: want(*w) for w in weeks})
