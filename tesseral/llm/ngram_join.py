@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesseral.llm.kernels import U64, mix, shingle_set
-from tesseral.llm.shared import IdFilter, connected_components, discard, drop_ids, materialise
+from tesseral.llm.shared import Forest, IdFilter, connected_components, discard, drop_ids, materialise
 
 #: Frequent shingles kept, at most, and how often in a block makes one frequent.
 HOT_SHINGLES, HOT_IN_BLOCK, BLOCK_SHINGLES = 65_536, 8, 1_000_000
@@ -361,24 +361,19 @@ def _bucket_slices(name: np.int64, cls: np.ndarray, most: int) -> tuple[np.ndarr
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of every bucket, from rows (bucket, cls, n, vector) sorted by bucket."""
-    told: set[tuple[int, int]] = set()
+    """Stars of what the buckets connect, from rows (bucket, cls, n, vector) sorted by bucket."""
+    found = Forest()
     for table in _runs(batches):
         bucket, cls, n = (table.column(k).to_numpy() for k in range(3))
         vectors = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in table.column(3)]
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        out = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1:
                 for pair in bucket_stars(cls[a:b], n[a:b], vectors[a:b]):
-                    if pair not in told:
-                        told.add(pair)
-                        out.append(pair)
-        if len(told) > 1_000_000:
-            told.clear()
-        if out:
-            x, y = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                    found.link(*pair)
+        if found.full():
+            yield found.stars()
+    yield found.stars()
 
 
 def linked_groups(sets: list[np.ndarray]) -> list[int]:
@@ -427,12 +422,12 @@ def linked_groups(sets: list[np.ndarray]) -> list[int]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every family part, from rows (part, doc_id, cls, text) sorted by part."""
+    """Stars of the links of family parts, from rows (part, doc_id, cls, text) sorted by part."""
+    linked = Forest()
     for table in _runs(batches):
         part, doc, cls, text = (table.column(k) for k in range(4))
         part, doc, cls = part.to_numpy(), doc.to_numpy(), cls.to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        out = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a < 2:
                 continue
@@ -445,10 +440,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(members) > 1:
                 for k, r in enumerate(linked_groups([s for _, s in members])):
                     if r != k:
-                        out.append((members[k][0], members[r][0]))
-        if out:
-            x, y = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                        linked.link(members[k][0], members[r][0])
+        if linked.full():
+            yield linked.stars()
+    yield linked.stars()
 
 
 def _slice(k: str) -> Column:

@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    current = first = materialise(pairs, "cc")
+    current = materialise(pairs, "cc")
     while _unfinished(current):
         # Large star: every greater neighbour of u joins the least of u and its neighbours.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -97,12 +97,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         nxt = materialise(small, "cc")
         discard(large)
-        if current is not first:
-            discard(current)
+        discard(current)
         current = nxt
-    nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    out = nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
-    return out.select("node", F.coalesce("component", "node").alias("component"))
+    # Both steps keep every node, so the stars hold them all.
+    centres = current.select(F.col("b").alias("node")).distinct()
+    out = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return out.unionByName(centres.select("node", F.col("node").alias("component")))
 
 
 def _unfinished(edges: DataFrame) -> bool:
@@ -115,6 +115,36 @@ def _unfinished(edges: DataFrame) -> bool:
     return not degree.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).isEmpty()
 
 
+class Forest:
+    """Components of the links that one task finds, for at most `most` nodes at a
+    time: they leave as stars around their least nodes, so that what a task has
+    joined needs no contraction round.  Links to nodes of an earlier block are
+    joined by connected_components."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.up = most, {}
+
+    def _root(self, k: int) -> int:
+        up = self.up
+        while (above := up.setdefault(k, k)) != k:
+            up[k] = k = up[above]
+        return k
+
+    def link(self, a: int, b: int) -> None:
+        a, b = self._root(a), self._root(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def full(self) -> bool:
+        return len(self.up) >= self.most
+
+    def stars(self) -> pa.RecordBatch:
+        """The rows (a, b) of the block, b the least node of a's component; it ends here."""
+        rows = [(k, r) for k in self.up if (r := self._root(k)) != k]
+        self.up = {}
+        a, b = zip(*rows, strict=True) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 #: Bits of an id filter by member, and at most: 32 MB, good for some 30 million members.
 BITS_BY_MEMBER, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 

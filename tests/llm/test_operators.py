@@ -386,3 +386,24 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     assert {r.node: r.component for r in shared.connected_components(joined).collect()} == {k: 1 for k in (1, 2, 5, 6, 9)}
     path = spark.range(64).selectExpr("id a", "id + 1 b")
     assert {r.component for r in shared.connected_components(path).collect()} == {0}
+
+
+def test_forest_joins_what_one_task_finds(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, size=(300, 2))]
+    for most in (10, 10_000):
+        forest, rows = shared.Forest(most), []
+        for a, b in links:
+            forest.link(a, b)
+            if forest.full():
+                rows += forest.stars().to_pylist()
+        rows += forest.stars().to_pylist()
+        assert forest.stars().num_rows == 0
+        assert all(r["a"] > r["b"] for r in rows)
+        least = {k: k for pair in links for k in pair}
+        for _ in least:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        got = {r.node: r.component for r in shared.connected_components(spark.createDataFrame(rows)).collect()}
+        alone = {a for a, b in links if a == b} - set(got)
+        assert got == {k: v for k, v in least.items() if k not in alone}
