@@ -83,9 +83,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .join(least, "a")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where(F.col("a") != F.col("b"))
-            .distinct()
         )
-        # Small star: with all edges pointing down, u and its smaller neighbours join the least.
+        # Small star: with all edges pointing down, u and its smaller neighbours join the
+        # least.  Repeated edges, no more than there were before, go at its end.
         large = materialise(large, "cc")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
