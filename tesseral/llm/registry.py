@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesseral.llm import decontamination, fingerprints, language, licenses, mixing, ngram_join, pii, quality, urls, warc
+from tesseral.llm import collocations, decontamination, filter_audit, fingerprints, language, licenses, mixing, ngram_join, pii, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_warc": warc.op10_warc,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_urls": urls.OP7_SQL,
     "op9_fingerprints": fingerprints.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
