@@ -8,8 +8,9 @@ The files of the documents are the micro-batches of an available-now query.  A
 batch's texts become masks of failed filters and digests; labels join by id; and
 what a task holds of one text and part is one row of counts before it is
 shuffled, so that a text of very many copies brings a row a task.  The state of
-a text, keyed by its digest, is the least id so far and how many rows of each
-part have it.  Rows above the least id count as failing E.  When a smaller id
+a text, known by its digest, is the least id so far and how many rows of each
+part have it; the states of some TEXTS texts share a key, as a call a text takes
+some milliseconds.  Rows above the least id count as failing E.  When a smaller id
 comes, the rows that held the least id until then are retracted from the
 counters of their masks and counted again with E; the counters' changes of each
 batch are written once under its number, so a repeated batch changes nothing.
@@ -43,6 +44,8 @@ FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 50, 65, 5
 #: Micro-batches that the files are dealt to, at most.
 BATCHES = 6
+#: Texts whose states share a key, on average: the number of keys grows with the rows, a state doesn't.
+TEXTS = 256
 #: Rows of a label, so that one id of very many documents meets it in as many tasks.
 SALTS = 8
 #: Bytes of text whose words are told apart at once; distinct keys that a task holds.
@@ -95,20 +98,19 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for what a task holds of a text, a part and a label: how many, the
-    least id, and how many have it.  Rows without an id have a row of their own."""
-    held: dict[tuple, list] = {}
+    """One row for what a task holds of a text: for each part and label how many
+    rows, their least id, and how many have it; rows without an id on their own."""
+    held: dict[tuple, dict] = {}
 
     def rows() -> pa.RecordBatch:
-        keys = list(zip(*held, strict=True)) or [[]] * 5
-        least, at_least, n = zip(*held.values(), strict=True) if held else ([], [], [])
-        out = [pa.array(keys[0], pa.binary()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int32())]
+        digest, mask = zip(*held, strict=True) if held else ([], [])
+        owned = [json.dumps([[*key, *seen] for key, seen in x.items()]) for x in held.values()]
         held.clear()
-        return pa.RecordBatch.from_arrays([*out, pa.array(least, pa.int64()), pa.array(at_least, pa.int64()), pa.array(n, pa.int64())], names=[x.split()[0] for x in COMBINED.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(mask, pa.int32()), pa.array(owned, pa.string())], names=["digest", "mask", "held"])
 
     for batch in batches:
         for doc_id, digest, part, mask, label in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            seen = held.setdefault((digest, part, mask, label, doc_id is None), [doc_id, 0, 0])
+            seen = held.setdefault((digest, mask), {}).setdefault((part, label, doc_id is None), [doc_id, 0, 0])
             if doc_id is not None and doc_id < seen[0]:
                 seen[:2] = doc_id, 0
             seen[1] += doc_id == seen[0]
@@ -118,45 +120,62 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-COMBINED = "digest binary, part string, mask int, label int, least long, at_least long, n long"
+COMBINED = "digest binary, mask int, held string"
 CHANGES = "part string, mask int, label int, n long"
 DUPLICATE = 1 << FILTERS.index("E")
 
 
-def _retract(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes of the counters that a batch's rows of one text bring."""
-    least, held = state.get if state.exists else (None, "[]")
-    before = least
-    owners = {(part, label): n for part, label, n in json.loads(held)}
-    change: dict[tuple, int] = {}
+class Texts:
+    """Of each text of a bucket the least id so far and how many rows of a part
+    and label have it; `changes` gathers what new rows change in the counters."""
 
-    def add(part: str, mask: int, label: int, n: int) -> None:
-        if n:
-            change[part, mask, label] = change.get((part, mask, label), 0) + n
+    def __init__(self, stored: str = "{}"):
+        self.texts = json.loads(stored)
+        self.changes: dict[tuple, int] = {}
 
-    for frame in frames:
-        for part, mask, label, now, at_least, n in zip(*(frame[c].tolist() for c in ("part", "mask", "label", "least", "at_least", "n")), strict=True):
-            if now is None or now != now:
-                add(part, mask, label, n)
+    def stored(self) -> str:
+        return json.dumps(self.texts)
+
+    def _add(self, part: str, mask: int, label: int, n: int) -> None:
+        if n:
+            self.changes[part, mask, label] = self.changes.get((part, mask, label), 0) + n
+
+    def see(self, text: str, mask: int, rows: list) -> None:
+        """rows: [part, label, without an id, least id, rows that have it, rows]."""
+        least, owners = self.texts.get(text, (None, []))
+        for part, label, nameless, now, at_least, n in rows:
+            if nameless:
+                self._add(part, mask, label, n)
                 continue
-            now = int(now)
             if least is None or now < least:
-                for (p, x), k in owners.items():
-                    add(p, mask, x, -k)
-                    add(p, mask | DUPLICATE, x, k)
-                least, owners = now, {}
-            same = at_least if now == least else 0
-            if same:
-                owners[part, label] = owners.get((part, label), 0) + same
-            add(part, mask, label, same)
-            add(part, mask | DUPLICATE, label, n - same)
-    if least is not None and (least != before or owners):
-        state.update((least, json.dumps([[p, x, n] for (p, x), n in owners.items()])))
-    rows = [(*k, n) for k, n in change.items() if n]
+                for p, x, k in owners:
+                    self._add(p, mask, x, -k)
+                    self._add(p, mask | DUPLICATE, x, k)
+                least, owners = now, []
+            if now == least:
+                owners = [*owners, [part, label, at_least]]
+                self._add(part, mask, label, at_least)
+                n -= at_least
+            self._add(part, mask | DUPLICATE, label, n)
+        if least is not None:
+            together: dict[tuple, int] = {}
+            for p, x, k in owners:
+                together[p, x] = together.get((p, x), 0) + k
+            self.texts[text] = (least, [[p, x, k] for (p, x), k in together.items()])
+
+
+def _retract(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The changes of the counters that a batch's rows of a bucket of texts bring."""
+    texts = Texts(*state.get) if state.exists else Texts()
+    for frame in frames:
+        for digest, mask, held in zip(frame["digest"].tolist(), frame["mask"].tolist(), frame["held"].tolist(), strict=True):
+            texts.see(digest.hex(), mask, json.loads(held))
+    state.update((texts.stored(),))
+    rows = [(*k, n) for k, n in texts.changes.items() if n]
     yield pd.DataFrame(rows, columns=["part", "mask", "label", "n"]).astype({"mask": "int32", "label": "int32", "n": "int64"})
 
 
-def stream_changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def stream_changes(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """The changes of counters (part, mask, label, n) by a stream of (doc_id, text, source);
     label: 1 for good, 2 for toxic, added."""
     flags = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max(F.when(F.col("quality") == 1, 1).otherwise(0)) + F.max(F.when(F.col("toxic") == 1, 2).otherwise(0))).cast("int").alias("label"))
@@ -167,7 +186,8 @@ def stream_changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = salted.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_known"), "salt", "label")
     marked = named.join(known, ["_id", "_known", "salt"], "left").select("doc_id", "digest", "part", "mask", F.coalesce("label", F.lit(0)).alias("label"))
     combined = marked.mapInArrow(_combined, COMBINED)
-    return combined.groupBy("digest").applyInPandasWithState(_retract, CHANGES, "least long, held string", "update", GroupStateTimeout.NoTimeout)
+    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    return keyed.groupBy("bucket").applyInPandasWithState(_retract, CHANGES, "texts string", "update", GroupStateTimeout.NoTimeout)
 
 
 def counters(spark: SparkSession, documents: str, labels: DataFrame, *, batches: int = BATCHES) -> DataFrame:
@@ -189,7 +209,7 @@ def counters(spark: SparkSession, documents: str, labels: DataFrame, *, batches:
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        query = stream_changes(stream, kept).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+        query = stream_changes(stream, kept, max(1, static.count() // TEXTS)).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
