@@ -50,10 +50,11 @@ TEXTS = 256
 SALTS = 8
 #: Bytes of text whose words are told apart at once; distinct keys that a task holds.
 BLOCK, HELD = 4 << 20, 100_000
-#: Settings of the query's state: on disk, of bounded memory an executor, changes only for each batch.
+#: Settings of the query's state: on disk, of bounded memory an executor, changes only for each batch, nothing allocated ahead.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
