@@ -39,7 +39,7 @@ LEAST, LONGEST, TOP = 30, 4, 2_000
 #: Candidates of one trie.
 SHARD = 250_000
 #: Bytes of text that are cut into words at once; words and hashes that a task holds before it passes them on.
-BLOCK, WORDS, HASHES = 2 << 20, 300_000, 2_000_000
+BLOCK, WORDS, HASHES = 1 << 19, 150_000, 1_000_000
 BITS_BY_MEMBER, MIN_BITS, MAX_BITS = 256, 1 << 16, 1 << 28
 #: Slices of a language when its best phrases are chosen.
 SLICES = 16
@@ -81,7 +81,7 @@ def tokens_of(data: np.ndarray, lang: np.uint64) -> tuple[np.ndarray, np.ndarray
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     tokens = mix(span_hashes(data, starts, ends) + lang)
     tokens[tokens == 0] = 1
-    piece = np.cumsum(_BREAK[data], dtype=np.int64)[starts] if len(starts) else starts
+    piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts] if len(starts) else starts
     first = np.ones(len(starts), dtype=bool)
     first[1:] = piece[1:] != piece[:-1]
     return tokens, starts, ends, first
