@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from tesseral.llm.double_array import DoubleArray
 from tesseral.llm.kernels import _LOWER, U64, mix, span_hashes
-from tesseral.llm.shared import discard, materialise
+from tesseral.llm.shared import discard, materialise, settings
 
 LEAST, LONGEST, TOP = 30, 4, 2_000
 #: Candidates of one trie.
 SHARD = 250_000
 #: Bytes of text that are cut into words at once; words and hashes that a task holds before it passes them on.
 BLOCK, WORDS, HASHES = 1 << 19, 150_000, 1_000_000
+#: Rows of tokens are large: batches of them are bounded by bytes.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 BITS_BY_MEMBER, MIN_BITS, MAX_BITS = 256, 1 << 16, 1 << 28
 #: Slices of a language when its best phrases are chosen.
 SLICES = 16
@@ -370,8 +372,8 @@ def scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     return kept.select("gram", "words", "a").join(best, "gram")
 
 
-def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard: int | None = None) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of all collocations."""
+def _counted(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int, shard: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Frequent words, words by language, phrases with their parts, and the counts of both."""
     texts = docs.select(F.col(text_col).alias("t"), F.coalesce(F.col(lang_col), F.lit("und")).alias("l"))
     encoded = materialise(texts.mapInArrow(_encode, ENCODED), "tokens")
     words = encoded.where(F.col("word").isNotNull())
@@ -392,6 +394,13 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     phrases = materialise(found, "phrases")
     discard(short)
     discard(encoded)
+    return vocabulary, totals, phrases, counts
+
+
+def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard: int | None = None) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of all collocations."""
+    with settings(docs.sparkSession, SETTINGS):
+        vocabulary, totals, phrases, counts = _counted(docs, text_col, lang_col, least, longest, shard)
     kept = scored(phrases, counts)
     spelt = kept.select("gram", F.posexplode("words").alias("k", "token")).join(vocabulary.select("token", "lang", "word"), "token")
     named = spelt.groupBy("gram").agg(F.min("lang").alias("lang"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"])).alias("phrase"))

@@ -71,6 +71,8 @@ class DoubleArray:
                 self.accept[slots] = edges
             parent = np.repeat(slots, np.diff(np.append(edges, n)))
 
+        self.base, self.check, self.accept = (x.astype(np.int32) for x in (self.base, self.check, self.accept))
+
     def _place(self, parents: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Slots of the children given by parent, nodes' children beginning at `starts`;
         nodes with many children choose first."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesseral.llm.kernels import U64, span_hashes, word_spans
-from tesseral.llm.shared import delete, discard, materialise, new_path
+from tesseral.llm.shared import delete, discard, materialise, new_path, settings
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 50, 65, 5
@@ -206,15 +206,9 @@ def counters(spark: SparkSession, documents: str, labels: DataFrame, *, batches:
         batch.groupBy("part", "mask", "label").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{changes}/batch={number}")
         written.append(number)
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, STATE):
         query = stream_changes(stream, kept, max(1, static.count() // TEXTS)).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     delete(spark, checkpoint)
     discard(kept)
     rows = spark.read.schema(CHANGES).parquet(changes) if written else spark.createDataFrame([], CHANGES)
