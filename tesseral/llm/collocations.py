@@ -39,9 +39,14 @@ LEAST, LONGEST, TOP = 30, 4, 2_000
 #: Candidates of one trie.
 SHARD = 250_000
 #: Bytes of text that are cut into words at once; words and hashes that a task holds before it passes them on.
-BLOCK, WORDS, HASHES = 1 << 19, 150_000, 1_000_000
-#: Rows of tokens are large: batches of them are bounded by bytes.
-SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+BLOCK, WORDS, HASHES = 1 << 19, 300_000, 2_000_000
+#: Rows of tokens are large: batches of them are bounded by bytes.  What a task
+#: passes on is what it has seen, once; so tasks read much, and small files together.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.sql.files.openCostInBytes": "256k",
+}
 BITS_BY_MEMBER, MIN_BITS, MAX_BITS = 256, 1 << 16, 1 << 28
 #: Slices of a language when its best phrases are chosen.
 SLICES = 16
@@ -241,30 +246,50 @@ def _bounds(size: int, parts) -> callable:
     return scan
 
 
-def _gram_schema(size: int) -> str:
-    return "gram long, " + ", ".join(f"w{k} long" for k in range(size))
+def _names(size: int) -> list[str]:
+    return [f"w{k}" for k in range(size)]
 
 
-def _gram_rows(gram: np.ndarray, words: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    columns = {"gram": gram.view(np.int64)} | {f"w{k}": np.ascontiguousarray(words[:, k]).view(np.int64) for k in range(words.shape[1])} | more
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+def _schema(size: int) -> str:
+    return ", ".join(f"{w} long" for w in _names(size))
 
 
 def _candidates(size: int, parts, heavy) -> callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words = np.zeros(0, dtype=U64), np.zeros((0, size), dtype=U64)
+        grams, words, more, n = np.zeros(0, dtype=U64), np.zeros((0, size), dtype=U64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, first = np.unique(np.concatenate([grams, *(g for g, _ in more)]), return_index=True)
+            out = np.concatenate([words, *(w for _, w in more)])[first]
+            more.clear()
+            return found, out
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(size)], names=_names(size))
+
         for tokens in _token_rows(batches):
             at = _safe(tokens, size, parts.value)
             found = _windows(tokens, size)[at]
             hit = heavy.value.has(_bucket(found).astype(U64))
             found, first = np.unique(found[hit], return_index=True)
-            at = at[hit][first]
-            grams, first = np.unique(np.concatenate([grams, found]), return_index=True)
-            words = np.concatenate([words, np.stack([tokens[at + k] for k in range(size)], axis=1)])[first]
-            if len(grams) >= WORDS:
-                yield _gram_rows(grams, words)
-                grams, words = np.zeros(0, dtype=U64), np.zeros((0, size), dtype=U64)
-        yield _gram_rows(grams, words)
+            more.append((found, np.stack([tokens[at[hit][first] + k] for k in range(size)], axis=1)))
+            n += len(found)
+            if n >= WORDS:
+                (grams, words), n = merged(), 0
+                if len(grams) >= WORDS:
+                    yield rows()
+                    grams, words = np.zeros(0, dtype=U64), np.zeros((0, size), dtype=U64)
+        grams, words = merged()
+        yield rows()
+
+    return scan
+
+
+def _hashed(size: int) -> callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.stack([c.to_numpy().view(U64) for c in batch.columns], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(_gram_of(words).view(np.int64)), *batch.columns], names=["gram", *_names(size)])
 
     return scan
 
@@ -275,9 +300,8 @@ def _counts(trie) -> callable:
         for tokens in _token_rows(batches):
             total += trie.value.count(tokens)
         at = np.flatnonzero(total)
-        keys = trie.value.keys[at]
-        gram = np.array([], dtype=U64) if not len(at) else _gram_of(keys)
-        yield _gram_rows(gram, keys, n=total[at])
+        gram = _gram_of(trie.value.keys[at])
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(total[at])], names=["gram", "n"])
 
     return scan
 
@@ -319,24 +343,21 @@ def frequent_phrases(texts: DataFrame, size: int, parts: Bits, least: int = LEAS
     many = materialise(bounds.where(F.col("n") >= least).select(F.pmod(F.col("bucket").cast("long"), F.lit(1 << 32)).alias("bucket")), "buckets")
     heavy = spark.sparkContext.broadcast(Bits(many))
     discard(many)
-    found = texts.mapInArrow(_candidates(size, sent, heavy), _gram_schema(size)).dropDuplicates(["gram"])
-    candidates = materialise(found, "candidates")
+    found = texts.mapInArrow(_candidates(size, sent, heavy), _schema(size)).distinct()
+    candidates = materialise(found.mapInArrow(_hashed(size), f"gram long, {_schema(size)}"), "candidates")
     shards = -(-candidates.count() // shard)
-    counted = []
+    counted = spark.createDataFrame([], "gram long, n long")
     for k in range(shards):
         rows = candidates.where(F.pmod("gram", F.lit(shards)) == k).drop("gram").toArrow()
-        keys = np.stack([c.to_numpy().view(U64) for c in rows.columns], axis=1)
-        trie = spark.sparkContext.broadcast(DoubleArray(keys))
-        seen = texts.mapInArrow(_counts(trie), _gram_schema(size) + ", n long")
-        names = [c for c in seen.columns if c != "n"]
-        counted.append(materialise(seen.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases"))
+        trie = spark.sparkContext.broadcast(DoubleArray(np.stack([c.to_numpy().view(U64) for c in rows.columns], axis=1)))
+        seen = texts.mapInArrow(_counts(trie), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        part = materialise(seen.where(F.col("n") >= least), "counted")
+        counted = part if not k else counted.unionByName(part)
         trie.destroy()
     for x in (sent, heavy):
         x.destroy()
+    out = materialise(candidates.join(counted, "gram").select("gram", *_names(size), "n"), "phrases")
     discard(candidates)
-    out = spark.createDataFrame([], _gram_schema(size) + ", n long")
-    for x in counted:
-        out = x if x is counted[0] else out.unionByName(x)
     return out
 
 
