@@ -3,13 +3,13 @@ static evaluation: tables in, tables out."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.config import ALPHA_GRID, BASELINE_FEATURES, ENHANCED_FEATURES, FLOOR
 from tesseral.functions.grid import finite
 from tesseral.operators import etas, glm, metrics, mlp, spatial, splits
+from tesseral.sources.staging import stage
 
 COMPARISON = "model string, model_type string, mae double, rmse double, mean_poisson_deviance double, alpha_hat double, status string"
 
@@ -53,7 +53,7 @@ def classical_models(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) ->
             try:
                 f = fits[name] = fit(train, columns)
                 row = _row(spark, name, family, held.withColumn("mu", glm.predict(columns, f.beta)), f.alpha if family == "NB" else None)
-            except (np.linalg.LinAlgError, ValueError, ArithmeticError) as why:
+            except Exception as why:  # noqa: BLE001 - a model that fails, in whatever way, is a row of its own
                 row = failed(spark, name, family, why)
             out = out.unionByName(row)
     return out, fits
@@ -80,16 +80,23 @@ def network_predictions(panel: DataFrame, jobs: tuple = NETWORKS, how: mlp.Train
     rows = splits.split_by_week(panel)
     out = mlp.train_and_score(rows, list(jobs), how)
     family = F.when(F.col("job").contains("Poisson"), "poisson").otherwise("nb")
-    return out.select(F.col("job").alias("model"), family.alias("family"), "alpha", "cell_id", "week", "y", "mu")
+    return out.select(F.col("job").alias("model"), family.alias("family"), "alpha", "cell_id", "week", "y", "mu", "error")
 
 
 def network_comparison(predictions: DataFrame) -> DataFrame:
-    """Rows of the model comparison for network_predictions()."""
+    """Rows of the model comparison for network_predictions(); a network that failed
+    has nulls and its error as the status."""
+    if "error" not in predictions.columns:
+        predictions = predictions.withColumn("error", F.lit(None).cast("string"))
+    bad = predictions.where("error IS NOT NULL")
+    predictions = predictions.where("error IS NULL")
     m = metrics.basic_metrics(predictions, "model", "family")
     alpha = predictions.groupBy("model").agg(F.avg(F.when(F.col("family") == "nb", F.col("alpha"))).alias("alpha_hat"))
-    return m.join(alpha, "model").select(
+    done = m.join(alpha, "model").select(
         "model", F.col("family").alias("model_type"), "mae", "rmse", F.col("mpd").alias("mean_poisson_deviance"), "alpha_hat", F.lit("OK").alias("status")
     )
+    nulls = (F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "mean_poisson_deviance", "alpha_hat"))
+    return done.unionByName(bad.select("model", F.col("family").alias("model_type"), *nulls, F.concat(F.lit("FAILED: "), "error").alias("status")))
 
 
 def final_comparison(rows: DataFrame) -> DataFrame:
@@ -117,13 +124,13 @@ def identifiability(panel: DataFrame, seeds: tuple[int, ...], how: mlp.Training
     """Test alphas of the enhanced NB network by seed: (seed, alpha_pred, ..)."""
     rows = splits.split_by_week(panel)
     jobs = [(str(s), "nb", ENHANCED_FEATURES, s) for s in seeds]
-    return mlp.train_and_score(rows, jobs, how).select(F.col("job").cast("int").alias("seed"), F.col("alpha").alias("alpha_pred"), "cell_id", "week", "y", "mu")
+    return mlp.train_and_score(rows, jobs, how).where("error IS NULL").select(F.col("job").cast("int").alias("seed"), F.col("alpha").alias("alpha_pred"), "cell_id", "week", "y", "mu")
 
 
 def etas_static(binned: DataFrame, panel: DataFrame, days: float) -> DataFrame:
     """(cell_id, week, y, mu): forecasts of the test weeks from the training events."""
     cutoff = splits.week_cutoff(panel).head().cutoff
-    times = etas.event_times(binned, F.lit(cutoff))
+    times = stage(etas.event_times(binned, F.lit(cutoff)))
     params = etas.fit_cells(times)
     test = splits.split_by_week(panel).where("is_test")
     pred = etas.forecast(test.select("cell_id", "week"), times, params, days)
@@ -143,40 +150,61 @@ def walk_forward_naive(panel: DataFrame, years: tuple[int, ...]) -> DataFrame:
     return metrics.basic_metrics(rows, "year", "model")
 
 
-def walk_forward(panel: DataFrame, binned: DataFrame, years: tuple[int, ...], days: float, grid: tuple[float, ...] = ALPHA_GRID) -> DataFrame:
+FOLD_SCORES = "year int, model string, mae double, rmse double, mean_poisson_deviance double, alpha_hat double, status string"
+
+
+def walk_forward(
+    panel: DataFrame, binned: DataFrame | None, years: tuple[int, ...], days: float, grid: tuple[float, ...] = ALPHA_GRID, how: mlp.Training = mlp.WALK_FORWARD
+) -> DataFrame:
     """NB regression, both networks and the self-exciting process by test year:
-    (year, model, mae, rmse, mean_poisson_deviance, alpha_hat)."""
-    rows = panel
+    FOLD_SCORES.  A model that fails in a fold is a row with nulls and its error,
+    and the others go on; without binned events there is no self-exciting process."""
     # A row each; left lazy, the plans of all folds together outgrow the driver.
     found: list[tuple] = []
-
-    def add(year: int, name: str, scored: DataFrame, alpha: float | None) -> None:
-        m = metrics.basic_metrics(scored).where("n > 0").select(
-            F.lit(year).alias("year"), F.lit(name).alias("model"), "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.lit(alpha).cast("double").alias("alpha_hat")
-        )
-        found.extend(tuple(r) for r in m.collect())
+    spark, rows = panel.sparkSession, stage(panel)
+
+    def add(year: int, name: str, score) -> None:
+        try:
+            scored, alpha = score()
+            m = metrics.basic_metrics(scored).where("n > 0").select(
+                F.lit(year).alias("year"), F.lit(name).alias("model"), "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.lit(alpha).cast("double").alias("alpha_hat"), F.lit("OK")
+            )
+            found.extend(tuple(r) for r in m.collect())
+        except Exception as why:  # noqa: BLE001 - whatever ends one model, the others go on
+            found.append((year, name, None, None, None, None, f"FAILED: {type(why).__name__}"))
 
     for year in years:
         fold = splits.year_folds(rows, (year,))
         train = fold.where("NOT is_test")
         if train.isEmpty() or fold.where("is_test").isEmpty():
             continue
-        scaled = splits.scale(fold, ENHANCED_FEATURES, splits.fit_scaler(train, ENHANCED_FEATURES))
-        nb = glm.fit_nb(scaled.where("NOT is_test"), ENHANCED_FEATURES, grid=grid)
-        add(year, "NB_Enhanced", scaled.where("is_test").withColumn("mu", glm.predict(ENHANCED_FEATURES, nb.beta)), nb.alpha)
-        start = F.make_date(F.lit(year), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-        times = etas.event_times(binned, start)
-        test = fold.where("is_test").select("cell_id", "week", "y")
-        pred = etas.forecast(test, times, etas.fit_cells(times), days)
-        add(year, "ETAS", test.join(pred, ["cell_id", "week"]).withColumn("mu", F.col("lambda_pred")), None)
-    folds = splits.year_folds(rows, years)
+
+        def regression(fold: DataFrame = fold, train: DataFrame = train) -> tuple[DataFrame, float]:
+            scaled = splits.scale(fold, ENHANCED_FEATURES, splits.fit_scaler(train, ENHANCED_FEATURES))
+            nb = glm.fit_nb(scaled.where("NOT is_test"), ENHANCED_FEATURES, grid=grid)
+            return scaled.where("is_test").withColumn("mu", glm.predict(ENHANCED_FEATURES, nb.beta)), nb.alpha
+
+        def process(fold: DataFrame = fold, year: int = year) -> tuple[DataFrame, None]:
+            start = F.make_date(F.lit(year), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+            times = stage(etas.event_times(binned, start))
+            test = fold.where("is_test").select("cell_id", "week", "y")
+            pred = etas.forecast(test, times, etas.fit_cells(times), days)
+            return test.join(pred, ["cell_id", "week"]).withColumn("mu", F.col("lambda_pred")), None
+
+        add(year, "NB_Enhanced", regression)
+        if binned is not None:
+            add(year, "ETAS", process)
     jobs = [("Hybrid_NB", "nb", ENHANCED_FEATURES, 42), ("Neural_Poisson", "poisson", ENHANCED_FEATURES, 42)]
-    nets = mlp.train_and_score(folds, jobs, mlp.WALK_FORWARD)
-    nets = nets.select(F.substring_index("job", ":", -1).cast("int").alias("year"), F.substring_index("job", ":", 1).alias("model"), "y", "mu", "alpha")
-    scored = metrics.basic_metrics(nets, "year", "model").join(nets.groupBy("year", "model").agg(F.avg("alpha").alias("alpha_hat")), ["year", "model"])
-    net_rows = scored.select("year", "model", "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.when(F.col("model") == "Hybrid_NB", F.col("alpha_hat")).alias("alpha_hat"))
-    done = panel.sparkSession.createDataFrame(found, "year int, model string, mae double, rmse double, mean_poisson_deviance double, alpha_hat double")
-    return done.unionByName(net_rows)
+    nets = mlp.train_and_score(splits.year_folds(rows, years), jobs, how)
+    nets = stage(nets.select(F.substring_index("job", ":", -1).cast("int").alias("year"), F.substring_index("job", ":", 1).alias("model"), "y", "mu", "alpha", "error"))
+    fine = nets.where("error IS NULL")
+    scored = metrics.basic_metrics(fine, "year", "model").join(fine.groupBy("year", "model").agg(F.avg("alpha").alias("alpha_hat")), ["year", "model"])
+    net_rows = scored.select(
+        "year", "model", "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.when(F.col("model") == "Hybrid_NB", F.col("alpha_hat")).alias("alpha_hat"), F.lit("OK").alias("status")
+    )
+    nulls = [F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "mean_poisson_deviance", "alpha_hat")]
+    bad = nets.where("error IS NOT NULL").select("year", "model", *nulls, F.concat(F.lit("FAILED: "), "error").alias("status"))
+    return spark.createDataFrame(found, FOLD_SCORES).unionByName(net_rows).unionByName(bad)
 
 
 def average_improvement(rows: DataFrame, base: str, other: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tesseral.functions import dist, grid as G
 from tesseral.operators import etas, evaluation as V, glm, metrics as M, spatial, splits, stats
 from tesseral.plans import sql
 from tesseral.plans.panel_queries import binned, cells, cutoff, panel, r6
+from tesseral.sources.staging import stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -173,8 +174,8 @@ xs AS (SELECT m.model, c.cell_id, coalesce(r.x, 0e0) AS x FROM (SELECT DISTINCT
 
 
 def _residual_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = M.pearson_residuals(forecasts(spark, sf_dir, "orders").where("model != 'naive'"))
-    places = cells(spark, sf_dir, "orders")
+    rows = M.pearson_residuals(stage(forecasts(spark, sf_dir, "orders").where("model != 'naive'")))
+    places = stage(cells(spark, sf_dir, "orders"))
     return spatial.cell_means(rows, places, "residual"), spatial.queen_weights(places)
 
 
@@ -190,7 +191,8 @@ def a21_cell_means(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM w JOIN z i ON i.cell_id = w.cell_i JOIN z j ON j.cell_id = w.cell_j AND j.model = i.model GROUP BY i.model""",
 )
 def m20_morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.morans_i(*_residual_means(spark, sf_dir)).select("model", *r6("moran_i"))
+    values, weights = _residual_means(spark, sf_dir)
+    return spatial.morans_i(stage(values), stage(weights)).select("model", *r6("moran_i"))
 
 
 #: A comparison that holds an alpha for one of the two models.
@@ -212,8 +214,8 @@ def j11_alpha_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m22_spatial_diagnostics", ORACLE_SQL["m20_morans_i"])
 def m22_spatial_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = forecasts(spark, sf_dir, "orders").where("model != 'naive'")
-    return V.spatial_diagnostics(rows, _compared(spark), cells(spark, sf_dir, "orders")).select("model", *r6("moran_i"))
+    rows = stage(forecasts(spark, sf_dir, "orders").where("model != 'naive'"))
+    return V.spatial_diagnostics(rows, _compared(spark), stage(cells(spark, sf_dir, "orders"))).select("model", *r6("moran_i"))
 
 
 @query(
@@ -329,7 +331,7 @@ def g19_etas_likelihood_bursty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g22_etas_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir, "orders")
     first = cutoff(spark, sf_dir, "orders")
-    times = etas.event_times(binned(spark, sf_dir, "orders"), F.lit(first.head().cutoff))
+    times = stage(etas.event_times(binned(spark, sf_dir, "orders"), F.lit(first.head().cutoff)))
     weeks = splits.split_by_week(rows, cutoff=first).where("is_test").select("cell_id", "week")
     return etas.forecast(weeks, times, _fixed(times)).select("cell_id", "week", F.round("lambda_pred", 5).alias("lambda_pred"))
 
@@ -348,7 +350,7 @@ def g24_etas_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g17_network_ablation")
 def g17_network_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.tail_evaluation(V.network_predictions(panel(spark, sf_dir, "orders"))).where("stratum = 'All'")
+    return M.tail_evaluation(V.network_predictions(panel(spark, sf_dir, "orders")).where("error IS NULL")).where("stratum = 'All'")
 
 
 @query("g18_identifiability")

@@ -131,7 +131,7 @@ def test_split_and_encoding_edges(spark):
 def test_registered_fits_have_full_settings(spark, sf_dir, monkeypatch):
     seen = {}
 
-    class Stop(Exception):
+    class Stop(BaseException):  # as models that fail with an Exception are rows
         pass
 
     def note(name, value):
@@ -239,6 +239,101 @@ def test_permutations_of_a_small_lattice(spark):
     assert got.p_perm == pytest.approx(np.mean(np.array(drawn) >= seen - 1e-12), abs=0.03) and got.z_score == pytest.approx((seen - np.mean(drawn)) / np.std(drawn), abs=0.1)
 
 
+def test_permutations_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    cells = spark.createDataFrame([(f"c{a}-{b}", 3.0 * a, 3.0 * b) for a in range(7) for b in range(5)], "cell_id string, lat_grid double, lon_grid double")
+    values = spark.createDataFrame([(m, f"c{a}-{b}", float((a * a + 3 * b) % 7) + (m == "n") * a) for m in "mn" for a in range(7) for b in range(5)], "model string, cell_id string, x double")
+    weights = evaluation.spatial.queen_weights(cells)
+    found = []
+    for parts, most in ((1, 4_000_000), (8, 4_000_000), (8, 0)):  # the last: joins instead of values in all tasks
+        monkeypatch.setattr(evaluation.spatial, "MAX_VALUES", most)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = evaluation.spatial.permutation_test(values, weights, 120).orderBy("model").collect()
+        found.append([(r.model, round(r.moran_i, 9), round(r.z_score, 9), r.p_perm) for r in got])
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2
+    flat = values.withColumn("x", F.lit(1.0))
+    assert [(r.moran_i, r.z_score, r.p_perm) for r in evaluation.spatial.permutation_test(flat, weights, 20).collect()] == [(None, None, None)] * 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 37, 1000])
+@pytest.mark.parametrize("small", [0, 1 << 14])
+def test_places_are_permutations(n, small, monkeypatch):
+    from tesseral.functions import counter
+    from tesseral.functions.counter import places
+
+    monkeypatch.setattr(counter, "SMALL", small)
+    rows = np.arange(n)
+    first = places(rows, n, 1, 0)
+    assert sorted(first) == list(range(n))
+    assert (np.concatenate([places(rows[: n // 2], n, 1, 0), places(rows[n // 2 :], n, 1, 0)]) == first).all()
+    assert n < 30 or (places(rows, n, 1, 1) != first).any()
+
+
+def _training_rows(spark, n_weeks=30):
+    import datetime as dt
+
+    rng = np.random.default_rng(5)
+    rows = [
+        (f"c{c}", dt.datetime(2020, 1, 6) + dt.timedelta(weeks=w), int(rng.poisson(1 + c)), float(rng.normal()), float(rng.normal()), w >= 24)
+        for w in range(n_weeks) for c in range(6)
+    ]
+    return spark.createDataFrame(rows, "cell_id string, week timestamp_ntz, y long, f1 double, f2 double, is_test boolean")
+
+
+def test_parallel_training_walks_the_path_of_one_task(spark):
+    rows = _training_rows(spark)
+    jobs = [("a", "nb", ("f1", "f2"), 1), ("b", "poisson", ("f2",), 2)]
+    how = mlp.Training(epochs=3, batch=16)
+    key = lambda r: (r.job, r.cell_id, r.week)
+    one = sorted(mlp.train_and_score(rows, jobs, how).collect(), key=key)
+    assert len(one) == 2 * 6 * 6
+    for tasks in (1, 3):
+        many = sorted(mlp.train_parallel(rows, jobs, how, tasks=tasks).collect(), key=key)
+        assert list(map(key, many)) == list(map(key, one)) and [r.y for r in many] == [r.y for r in one]
+        for name in ("mu", "alpha", "val_loss"):
+            assert np.allclose([r[name] for r in many], [r[name] for r in one], rtol=1e-9, atol=1e-9)
+
+
+def test_large_folds_train_in_parallel(spark):
+    rows = splits.year_folds(_training_rows(spark, 80).drop("is_test"), (2020, 2021)).withColumn("is_test", F.col("week") >= F.to_timestamp_ntz(F.lit("2021-03-01")))
+    rows = rows.where("fold = 2021 OR NOT is_test").withColumn("is_test", F.col("is_test") | ((F.col("fold") == 2020) & (F.month("week") > 10)))
+    jobs, how = [("a", "nb", ("f1", "f2"), 1)], mlp.Training(epochs=2, batch=32)
+    small = {(r.job, r.cell_id, r.week): r.mu for r in mlp.train_and_score(rows, jobs, how).collect()}
+    mixed = {(r.job, r.cell_id, r.week): r.mu for r in mlp.train_and_score(rows, jobs, how, most=400).collect()}
+    assert set(small) == set(mixed) and {k[0] for k in small} == {"a:2020", "a:2021"}
+    assert all(mixed[k] == pytest.approx(v, rel=1e-9) for k, v in small.items())
+
+
+def test_a_model_that_fails_is_a_row(spark, monkeypatch):
+    rows = _training_rows(spark)
+    jobs = [("good", "nb", ("f1", "f2"), 1), ("bad", "nb", ("f1", "missing"), 1)]
+    how = mlp.Training(epochs=1)
+    got = mlp.train_and_score(rows, jobs, how)
+    bad = got.where("error IS NOT NULL").collect()
+    assert [(r.job, r.mu, r.cell_id) for r in bad] == [("bad", None, None)] and "missing" in bad[0].error
+    assert got.where("error IS NULL").select("job").distinct().collect()[0].job == "good"
+    named = got.select(F.col("job").alias("model"), F.lit("nb").alias("family"), "alpha", "y", "mu", "error")
+    table = {r.model: r for r in evaluation.network_comparison(named).collect()}
+    assert table["bad"].mae is None and table["bad"].status.startswith("FAILED") and table["good"].status == "OK" and table["good"].mae > 0
+
+
+def test_walk_forward_goes_on_where_models_fail(spark, monkeypatch):
+    def broken(*a, **k):
+        raise RuntimeError("no fit")
+
+    rows = _training_rows(spark, 80).drop("is_test")
+    monkeypatch.setattr(evaluation, "ENHANCED_FEATURES", ("f1", "f2"))
+    monkeypatch.setattr(evaluation.etas, "fit_cells", broken)
+    binned = spark.createDataFrame([("c0", 3.5)], "cell_id string, mag double").withColumn("time", F.to_timestamp_ntz(F.lit("2020-02-03")))
+    got = evaluation.walk_forward(rows, binned, (2021,), 7.0, grid=(0.5,), how=mlp.Training(epochs=1)).collect()
+    assert {(r.year, r.model): r.status for r in got} == {
+        (2021, "NB_Enhanced"): "OK", (2021, "ETAS"): "FAILED: RuntimeError", (2021, "Hybrid_NB"): "OK", (2021, "Neural_Poisson"): "OK"
+    }
+    assert all((r.mae is None) == (r.status != "OK") for r in got)
+    without = evaluation.walk_forward(rows, None, (2021,), 7.0, grid=(0.5,), how=mlp.Training(epochs=1)).collect()
+    assert {r.model for r in without} == {"NB_Enhanced", "Hybrid_NB", "Neural_Poisson"}
+
+
 def test_times_of_mixed_forms(spark):
     forms = {
         "2020-01-06 01:02:03": "2020-01-06T01:02:03", "2020-01-06T01:02:03Z": "2020-01-06T01:02:03", "2020-01-06T01:02:03.500+02:00": "2020-01-05T23:02:03.500000",
@@ -276,7 +371,8 @@ def test_comparison_and_result_tables(spark, tmp_path):
 def test_dropout_is_on_both_layers():
     w = mlp.init(3, 2, 0)
     x, cell = np.ones((400, 2)), np.zeros(400, dtype=int)
-    _, _, (_, m0, h1, m1, h2, _) = mlp.forward(w, x, cell, np.random.default_rng(0))
+    rows = np.arange(400)
+    _, _, (_, m0, h1, m1, h2, _) = mlp.forward(w, x, cell, lambda units, layer: mlp.kept_units(rows, units, 0, 0, layer))
     _, _, (_, p0, _, p1, _, _) = mlp.forward(w, x, cell)
     for dropped, plain in ((m0, p0), (m1, p1)):
         assert 0 < (dropped[plain > 0] == 0).mean() < 0.5 or not plain.any()
