@@ -66,7 +66,7 @@ def test_odd_rows_equal_sql(spark, odd_dir, name, monkeypatch):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, odd_dir, empty_dir, name):
     rows = QUERIES[name](spark, odd_dir).count()
-    assert rows == {"op7_urls": 6, "op10_warc": 6, "op5_decontamination": 10}.get(name, len(ODD))
+    assert rows == {"op7_urls": 6, "op10_warc": 6, "op5_decontamination": 10, "op11_filter_audit": 600 * 4, "op12_collocations": 1}.get(name, len(ODD))
     assert QUERIES[name](spark, empty_dir).count() == 0
 
 
