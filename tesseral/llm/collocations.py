@@ -38,8 +38,8 @@ from tesseral.llm.shared import discard, materialise, settings
 LEAST, LONGEST, TOP = 30, 4, 2_000
 #: Candidates of one trie.
 SHARD = 250_000
-#: Bytes of text that are cut into words at once; words and hashes that a task holds before it passes them on.
-BLOCK, WORDS, HASHES = 1 << 19, 300_000, 2_000_000
+#: Bytes of text that are cut into words at once; words, hashes and phrases that a task holds before it passes them on.
+BLOCK, WORDS, HASHES, PHRASES = 1 << 18, 150_000, 1_000_000, 300_000
 #: Rows of tokens are large: batches of them are bounded by bytes.  What a task
 #: passes on is what it has seen, once; so tasks read much, and small files together.
 SETTINGS = {
@@ -274,9 +274,9 @@ def _candidates(size: int, parts, heavy) -> callable:
             found, first = np.unique(found[hit], return_index=True)
             more.append((found, np.stack([tokens[at[hit][first] + k] for k in range(size)], axis=1)))
             n += len(found)
-            if n >= WORDS:
+            if n >= PHRASES:
                 (grams, words), n = merged(), 0
-                if len(grams) >= WORDS:
+                if len(grams) >= PHRASES:
                     yield rows()
                     grams, words = np.zeros(0, dtype=U64), np.zeros((0, size), dtype=U64)
         grams, words = merged()

@@ -97,7 +97,7 @@ def test_double_array_counts(size):
 
 
 def test_phrases_in_small_blocks_and_shards_equal_sql(spark, monkeypatch):
-    for name, value in (("BLOCK", 64), ("WORDS", 20), ("HASHES", 50), ("SHARD", 7), ("LEAST", 3)):
+    for name, value in (("BLOCK", 64), ("WORDS", 20), ("HASHES", 50), ("PHRASES", 20), ("SHARD", 7), ("LEAST", 3)):
         monkeypatch.setattr(collocations, name, value)
     words = "the Cat sat on a mat. The cat ran; a DOG sat on\ta mat, é ü\nthe cat sat!"
     texts = [(words * k, lang) for k, lang in ((1, "en"), (3, "en"), (4, None), (2, "und"), (5, "de"))] + [(None, "en"), ("", None), ("?!", "fr"), ("no end " * 100, "fr")]
