@@ -161,15 +161,16 @@ class Index:
                     yield name, len(tiles), covered, len(item)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, min_match: int) -> Iterator[Index]:
-    """The benchmark's items in blocks that fit the bound on average."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, min_match: int, least_words: int = 1) -> Iterator[Index]:
+    """The benchmark's items of least_words or more in blocks that fit the bound on average."""
     words = F.coalesce(F.regexp_count(text_col, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0))
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = benchmark.select(F.sum(words)).head()[0] or 0
     n = -(-total // block_words)
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id").collect()
-        yield Index([(r.id, plain_words(r.text)) for r in block], min_match)
+        words_of = [(r.id, plain_words(r.text)) for r in block]
+        yield Index([x for x in words_of if len(x[1]) >= least_words], min_match)
 
 
 def contaminated_pairs(
@@ -212,9 +213,12 @@ def contaminated_pairs(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS,
+    min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, short_items: bool = False,
 ) -> DataFrame:
-    """The documents, with all their columns, that hold no contaminated item."""
+    """The documents, with all their columns, that hold no contaminated item.
+
+    Items of fewer than min_match words, which occur by chance, condemn none
+    unless short_items says so; contaminated_pairs() reports them either way."""
     at = docs.columns.index(text_col)
 
     def scan(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -226,7 +230,7 @@ def drop_contaminated(
         return over
 
     out = docs
-    for index in _blocks(benchmark, item_col, item_text_col, block_words, min_match):
+    for index in _blocks(benchmark, item_col, item_text_col, block_words, min_match, 1 if short_items else min_match):
         out = out.mapInArrow(scan(index), docs.schema)
     return out
 

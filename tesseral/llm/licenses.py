@@ -176,6 +176,9 @@ RULES = (
     ("Proprietary", ("all-rights-reserved", "no-permission"), ()),
     ("Proprietary", ("copyright-line", "no-permission"), ()),
 )
+# A reserved copyright stands above many open licences: it counts where no other rule fits.
+_OTHERS = tuple(dict.fromkeys(name for name, _, _ in RULES if name != "Proprietary"))
+RULES = tuple((name, names, _OTHERS if name == "Proprietary" else wholes) for name, names, wholes in RULES)
 
 
 

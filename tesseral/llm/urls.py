@@ -58,21 +58,36 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` segments."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    # A last segment of dots is a folder.
+    parts = F.split(F.regexp_replace(path, r"(?s)(/\.\.?)$", "$1/"), "/")
+    return F.when(path.rlike(r"(?s)/\.\.?(?:/|$)"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The URL as a node of the link graph; null without '://'."""
+    """The URL, with no fragment and no dot segments, as a node of the link graph; null without '://'."""
     plain = F.regexp_replace(url, r"(?s)#.*$", "")
     scheme = F.regexp_extract(plain, r"(?s)^(.*?://)", 1)
-    rest = F.regexp_extract(plain, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(scheme != "", F.concat(_lower(scheme), host_of(plain), rest))
+    query = F.regexp_extract(plain, r"(?s)^.*?://[^/?#]*[^?]*(.*)$", 1)
+    return F.when(scheme != "", F.concat(_lower(scheme), host_of(plain), without_dots(path_of(plain)), query))
 
 
 def resolve(base: Column, target: Column) -> Column:
-    """A link target against the URL of its page."""
+    """A link target against the URL of its page; null for one of another kind than `//`, as mailto:."""
+    page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
     scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("?") | target.startswith("#"), F.concat(page, target))
         .when(target.startswith("//"), F.concat(scheme, target))
         .when(target.startswith("/"), F.concat(origin, target))
         .when(target == "", F.lit(None))
@@ -80,12 +95,16 @@ def resolve(base: Column, target: Column) -> Column:
     )
 
 
+#: Comments, scripts and styles, in which nothing is a tag.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(from_url, to_url): the canonical link and the refresh target of each page."""
-    html = F.col(html_col)
+    html = F.regexp_replace(html_col, UNSEEN, " ")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tag = F.explode(F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh")))
-    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("from_url"), tag.alias("tag"))
+    found = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("from_url"), tag.alias("tag"))
     canonical = F.when(
         F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"),
         F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
@@ -141,7 +160,11 @@ def _sql_path(url: str) -> str:
 
 def _sql_node(url: str) -> str:
     scheme = f"regexp_extract({url}, '^([^#]*?://)', 1, 's')"
-    return f"CASE WHEN {scheme} <> '' THEN {_sql_lower(scheme)} || {_sql_host(url)} || regexp_extract({url}, '^.*?://[^/?#]*([^#]*)', 1, 's') END"
+    path, query = _sql_path(url), f"regexp_extract({url}, '^.*?://[^/?#]*[^?#]*([^#]*)', 1, 's')"
+    parts = f"list_transform(string_split(regexp_replace({path}, '(/\\.\\.?)$', '\\1/', 's'), '/'), lambda p: [p])"
+    step = "lambda kept, part: CASE WHEN part[1] = '.' THEN kept WHEN part[1] = '..' THEN CASE WHEN len(kept) > 1 THEN kept[1:len(kept) - 1] ELSE kept END ELSE list_concat(kept, part) END"
+    plain = f"CASE WHEN regexp_matches({path}, '/\\.\\.?(?:/|$)', 's') THEN array_to_string(list_reduce({parts}, {step}), '/') ELSE {path} END"
+    return f"CASE WHEN {scheme} <> '' THEN {_sql_lower(scheme)} || {_sql_host(url)} || {plain} || {query} END"
 
 
 def _sql_fits(host: str, path: str) -> str:
@@ -159,7 +182,7 @@ OP7_SQL = rf"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html, {_sql_host("url")} AS host, {_sql_path("url")} AS path, {_sql_node("url")} AS node FROM pages
 ), tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS tag FROM pages
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{UNSEEN.replace("(?is)", "")}', ' ', 'gis'), '<(?:link|meta)\b[^>]*>', 0, 'is')) AS tag FROM pages
 ), targets AS (
   SELECT url, replace(CASE
     WHEN regexp_matches(tag, '^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is') THEN regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
@@ -169,7 +192,8 @@ WITH RECURSIVE parts AS (
     regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's') AS folder
   FROM tags
 ), links AS (
-  SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN scheme || target WHEN starts_with(target, '/') THEN origin || target
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(target, '?') OR starts_with(target, '#') THEN regexp_extract(url, '^([^?#]*)', 1, 's') || target WHEN starts_with(target, '//') THEN scheme || target WHEN starts_with(target, '/') THEN origin || target
     WHEN target <> '' THEN folder || CASE WHEN ends_with(folder, '/') THEN '' ELSE '/' END || target END AS link
   FROM targets
 ), pairs AS (

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesseral.llm import collocations, filter_audit, toxicity
+from tesseral.llm import collocations, decontamination, filter_audit, licenses, toxicity, urls
 from tesseral.llm.double_array import DoubleArray
 from tests.oracle import run_sql
 
@@ -178,3 +178,57 @@ def test_thresholds_and_single_labels():
     assert toxicity.fit([], np.zeros(0), []).scores([np.zeros(0, dtype=np.int32)]).tolist() == [0.0]
     assert toxicity.fit([np.arange(3, dtype=np.int32)], np.ones(1), ["a"]).scores([np.arange(2, dtype=np.int32)]).tolist() == [1.0]
     assert 0 <= toxicity.fit([np.arange(3, dtype=np.int32)] * 2, np.array([0, 1]), [None] * 2).scores([np.zeros(0, dtype=np.int32)])[0] <= 1
+
+
+BLOCKED = "http://b.com/de/y"
+LINKS = [
+    ("http://a.net/x", '<link rel="canonical" href="/go?u=http://b.com/de/y">', "allow"),  # relative, whatever it holds
+    ("http://f.net/p?x=1", '<link rel="canonical" href="?y=2">', "allow"),
+    ("http://g.net/s", '<link rel="canonical" href="http://f.net/p?y=2"><meta http-equiv="refresh" content="0; url=http://b.com/de/q">', "block"),
+    ("http://f.net/p?y=2", "", "block"),
+    ("http://h.net/a/b/c", '<link rel="canonical" href="../z">', "block"),
+    ("http://h.net/a/./x/../z", '<link rel="canonical" href="http://b.com/de/y">', "block"),
+    ("http://i.net/1", '<!-- <link rel="canonical" href="http://b.com/de/y"> -->', "allow"),
+    ("http://i.net/2", '<script>"<link rel=canonical href=http://b.com/de/y>"</script>', "allow"),
+    ("http://i.net/3", '<!-- open <link rel="canonical" href="http://b.com/de/y">', "allow"),
+    ("http://i.net/4", '<link rel="canonical" href="mailto:x?u=http://b.com/de/y">', "allow"),
+    ("http://i.net/5", '<link rel="canonical" href="#top">', "allow"),
+    ("http://i.net/6", '<link rel="canonical" href="//b.com/de/y">', "block"),
+]
+
+
+def test_links_resolve_as_browsers_do(spark):
+    rows = [(k, url, html) for k, (url, html, _) in enumerate(LINKS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    linked = {k: v for k, (_, _, v) in enumerate(LINKS)} | {1: "block"}  # f.net/p?y=2 is where its own query leads
+    assert got == linked
+    sql = run_sql(urls.OP7_SQL, "/root/testdata/sf0.001", {"pages": pages.toPandas()})
+    assert dict(zip(sql["page_id"], sql["verdict"], strict=True)) == linked
+
+
+GRANTS = [  # fixed values: openings of published licence notices
+    ("BSD-3-Clause", "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.\n\n"
+     "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Copyright 2019 The Foo Authors. All rights reserved.\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("MIT", "Copyright (c) 2021 Jane Doe. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, subject to the following conditions:\n\n"
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Proprietary", "Copyright (c) 2021 Jane Doe. All rights reserved."),
+]
+
+
+def test_open_licences_below_reserved_rights(spark):
+    docs = spark.createDataFrame(list(enumerate(t for _, t in GRANTS)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses.split(",") for r in licenses.scan(docs).collect()}
+    for k, (name, _) in enumerate(GRANTS):
+        assert name in got[k] and ("Proprietary" in got[k]) == (name == "Proprietary"), (name, got[k])
+
+
+def test_short_items_condemn_no_document(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a"), (2, "one two three four five six")], "item_id long, text string")
+    assert decontamination.drop_contaminated(docs, bench).count() == 2
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench, short_items=True).collect()] == [2]
+    assert [r.doc_id for r in decontamination.contaminated_pairs(docs, bench).collect()] == [1]
