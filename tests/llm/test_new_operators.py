@@ -214,7 +214,8 @@ GRANTS = [  # fixed values: openings of published licence notices
      "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("Apache-2.0", "Copyright 2019 The Foo Authors. All rights reserved.\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Copyright (c) 2021 Jane Doe. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, subject to the following conditions:\n\n"
-     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."),
     ("Proprietary", "Copyright (c) 2021 Jane Doe. All rights reserved."),
 ]
 
