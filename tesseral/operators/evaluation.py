@@ -3,6 +3,8 @@ static evaluation: tables in, tables out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,13 +129,13 @@ def identifiability(panel: DataFrame, seeds: tuple[int, ...], how: mlp.Training
     return mlp.train_and_score(rows, jobs, how).where("error IS NULL").select(F.col("job").cast("int").alias("seed"), F.col("alpha").alias("alpha_pred"), "cell_id", "week", "y", "mu")
 
 
-def etas_static(binned: DataFrame, panel: DataFrame, days: float) -> DataFrame:
-    """(cell_id, week, y, mu): forecasts of the test weeks from the training events."""
+def etas_static(binned: DataFrame, panel: DataFrame, days: float, m_c: float = etas.M_C) -> DataFrame:
+    """(cell_id, week, y, mu): forecasts of the test weeks from the training events, over magnitude m_c."""
     cutoff = splits.week_cutoff(panel).head().cutoff
     times = stage(etas.event_times(binned, F.lit(cutoff)))
-    params = etas.fit_cells(times)
+    params = etas.fit_cells(times, m_c)
     test = splits.split_by_week(panel).where("is_test")
-    pred = etas.forecast(test.select("cell_id", "week"), times, params, days)
+    pred = etas.forecast(test.select("cell_id", "week"), times, params, days, m_c)
     return test.join(pred, ["cell_id", "week"], "left").select(
         "cell_id", "week", "y", F.greatest(F.coalesce("lambda_pred", F.lit(etas.UNSEEN_RATE)), F.lit(FLOOR)).alias("mu")
     )
@@ -158,42 +160,41 @@ def walk_forward(
 ) -> DataFrame:
     """NB regression, both networks and the self-exciting process by test year:
     FOLD_SCORES.  A model that fails in a fold is a row with nulls and its error,
-    and the others go on; without binned events there is no self-exciting process."""
-    # A row each; left lazy, the plans of all folds together outgrow the driver.
-    found: list[tuple] = []
+    and the others go on; without binned events there is no self-exciting process.
+    A model's folds are fitted together."""
     spark, rows = panel.sparkSession, stage(panel)
+    there = splits.year_folds(rows, years).groupBy("fold").agg(F.bool_or("is_test").alias("test"), F.bool_or(~F.col("is_test")).alias("train"))
+    whole = tuple(sorted(r.fold for r in there.where("test AND train").collect()))
+    found: list[tuple] = []
 
-    def add(year: int, name: str, score) -> None:
+    def add(name: str, score: Callable[[tuple[int, ...]], tuple[DataFrame, dict[int, float]]], asked: tuple[int, ...]) -> None:
+        """All folds at once; where that fails, each by itself, so that one that fails costs no other."""
         try:
-            scored, alpha = score()
-            m = metrics.basic_metrics(scored).where("n > 0").select(
-                F.lit(year).alias("year"), F.lit(name).alias("model"), "mae", "rmse", F.col("mpd_guarded").alias("mean_poisson_deviance"), F.lit(alpha).cast("double").alias("alpha_hat"), F.lit("OK")
-            )
-            found.extend(tuple(r) for r in m.collect())
+            scored, alpha = score(asked)
+            for r in metrics.basic_metrics(scored, "fold").collect():
+                found.append((r.fold, name, r.mae, r.rmse, r.mpd_guarded, alpha.get(r.fold), "OK"))
         except Exception as why:  # noqa: BLE001 - whatever ends one model, the others go on
-            found.append((year, name, None, None, None, None, f"FAILED: {type(why).__name__}"))
-
-    for year in years:
-        fold = splits.year_folds(rows, (year,))
-        train = fold.where("NOT is_test")
-        if train.isEmpty() or fold.where("is_test").isEmpty():
-            continue
-
-        def regression(fold: DataFrame = fold, train: DataFrame = train) -> tuple[DataFrame, float]:
-            scaled = splits.scale(fold, ENHANCED_FEATURES, splits.fit_scaler(train, ENHANCED_FEATURES))
-            nb = glm.fit_nb(scaled.where("NOT is_test"), ENHANCED_FEATURES, grid=grid)
-            return scaled.where("is_test").withColumn("mu", glm.predict(ENHANCED_FEATURES, nb.beta)), nb.alpha
-
-        def process(fold: DataFrame = fold, year: int = year) -> tuple[DataFrame, None]:
-            start = F.make_date(F.lit(year), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-            times = stage(etas.event_times(binned, start))
-            test = fold.where("is_test").select("cell_id", "week", "y")
-            pred = etas.forecast(test, times, etas.fit_cells(times), days)
-            return test.join(pred, ["cell_id", "week"]).withColumn("mu", F.col("lambda_pred")), None
-
-        add(year, "NB_Enhanced", regression)
+            if len(asked) == 1:
+                found.append((*asked, name, None, None, None, None, f"FAILED: {type(why).__name__}"))
+            else:
+                for year in asked:
+                    add(name, score, (year,))
+
+    def regression(asked: tuple[int, ...]) -> tuple[DataFrame, dict[int, float]]:
+        scaled = stage(splits.scale_folds(splits.year_folds(rows, asked), ENHANCED_FEATURES).select("fold", "is_test", "y", *ENHANCED_FEATURES))
+        fits = glm.fit_nb_groups(scaled.where("NOT is_test"), ENHANCED_FEATURES, "fold", grid=grid)
+        return glm.predict_groups(scaled.where("is_test"), "fold", ENHANCED_FEATURES, fits), {i: f.alpha for i, f in fits.items()}
+
+    def process(asked: tuple[int, ...]) -> tuple[DataFrame, dict[int, float]]:
+        times = stage(etas.fold_times(binned, asked))
+        test = splits.year_folds(rows, asked).where("is_test").select("fold", "cell_id", "week", "y")
+        pred = etas.forecast(test, times, etas.fit_cells(times), days)
+        return test.join(pred, ["fold", "cell_id", "week"]).withColumn("mu", F.col("lambda_pred")), {}
+
+    if whole:
+        add("NB_Enhanced", regression, whole)
         if binned is not None:
-            add(year, "ETAS", process)
+            add("ETAS", process, whole)
     jobs = [("Hybrid_NB", "nb", ENHANCED_FEATURES, 42), ("Neural_Poisson", "poisson", ENHANCED_FEATURES, 42)]
     nets = mlp.train_and_score(splits.year_folds(rows, years), jobs, how)
     nets = stage(nets.select(F.substring_index("job", ":", -1).cast("int").alias("year"), F.substring_index("job", ":", 1).alias("model"), "y", "mu", "alpha", "error"))
@@ -211,3 +212,13 @@ def average_improvement(rows: DataFrame, base: str, other: str) -> DataFrame:
     """One row: percent by which `other`'s mean deviance lies below `base`'s."""
     mean = lambda m: F.avg(F.when(F.col("model") == m, F.col("mean_poisson_deviance")))
     return rows.agg((F.lit(100.0) * (mean(base) - mean(other)) / mean(base)).alias("improvement_pct"))
+
+
+def improvements(rows: DataFrame, base: str = "NB_Enhanced") -> DataFrame:
+    """(model, mean_deviance, improvement_pct) of walk_forward(): every model's mean
+    over the years that it has, and the percent by which it lies below the base's;
+    null where the base has none or isn't above 0."""
+    means = rows.groupBy("model").agg(F.avg("mean_poisson_deviance").alias("mean_deviance"))
+    b = means.where(F.col("model") == base).select(F.col("mean_deviance").alias("_base"))
+    gain = F.when(F.col("_base") > 0, F.lit(100.0) * (F.col("_base") - F.col("mean_deviance")) / F.col("_base"))
+    return means.join(F.broadcast(b), how="left").select("model", "mean_deviance", gain.alias("improvement_pct"))

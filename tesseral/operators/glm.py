@@ -2,8 +2,8 @@
 
 Every iteration is one aggregation of the weighted normal equations over all
 rows; the driver only solves systems of a few unknowns.  The profile over the
-dispersion fits all its values in the same passes: a row adds its terms to each
-value's sums at once.  Sums are taken per partition in NumPy over Arrow batches
+dispersion fits all its values, and walk-forward folds fit side by side, in the
+same passes: a row adds its terms to the sums of each value, under its fold.  Sums are taken per partition in NumPy over Arrow batches
 and added up by Spark.
 """
 
@@ -55,68 +55,103 @@ def _log_likelihood(y: np.ndarray, eta: np.ndarray, alpha: float) -> float:
     return float((rising - factorial - np.log1p(alpha * mu) / alpha + y * (np.log(alpha) + eta - np.log1p(alpha * mu))).sum())
 
 
-def _sums(rows: DataFrame, columns: tuple[str, ...], betas: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every alpha: X'WX, X'W(z) and the log-likelihood at its beta; rows hold the features, then y."""
-    k, m = len(columns) + 1, len(alphas)
+#: Fits that run together, by group (a fold) and place among its dispersions.
+Job = tuple[int, int]
+
+
+def _sums(rows: DataFrame, k: int, jobs: dict[Job, tuple[np.ndarray, float]]) -> dict[Job, tuple[np.ndarray, np.ndarray, float]]:
+    """X'WX, X'W(z) and the log-likelihood of every job at its beta: one pass over
+    all groups' rows.  Rows hold k - 1 features, y, then the group."""
+    asked: dict[int, list[tuple[int, np.ndarray, float]]] = {}
+    for (g, a), (beta, alpha) in jobs.items():
+        asked.setdefault(g, []).append((a, beta, alpha))
+    width = k * k + k + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, k * k + k + 1))
+        total: dict[Job, np.ndarray] = {}
         for batch in batches:
-            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(k - 1))])
-            t = batch.column(k - 1).to_numpy(zero_copy_only=False)
-            for a in range(m):
-                eta = np.clip(x @ betas[a], -ETA_LIMIT, ETA_LIMIT)
-                mu = np.exp(eta)
-                w = mu / (1.0 + alphas[a] * mu)
-                z = eta + (t - mu) / mu
-                xw = x * w[:, None]
-                total[a] += np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [_log_likelihood(t, eta, alphas[a])]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["a", "s"])
-
-    parts = rows.mapInArrow(partial, "a int, s array<double>")
-    width = k * k + k + 1
-    added = parts.groupBy("a").agg(*(F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(width))).orderBy("a").collect()
-    s = np.array([list(r)[1:] for r in added])
-    return s[:, : k * k].reshape(m, k, k), s[:, k * k : -1], s[:, -1]
+            groups = batch.column(k).to_numpy(zero_copy_only=False)
+            all_x = np.column_stack([np.ones(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(k - 1))])
+            all_y = batch.column(k - 1).to_numpy(zero_copy_only=False)
+            for g in np.unique(groups):
+                mine = groups == g
+                x, t = all_x[mine], all_y[mine]
+                for a, beta, alpha in asked.get(int(g), ()):
+                    eta = np.clip(x @ beta, -ETA_LIMIT, ETA_LIMIT)
+                    mu = np.exp(eta)
+                    w = mu / (1.0 + alpha * mu)
+                    z = eta + (t - mu) / mu
+                    xw = x * w[:, None]
+                    found = np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [_log_likelihood(t, eta, alpha)]])
+                    total[int(g), a] = total.get((int(g), a), 0.0) + found
+        keys = list(total)
+        columns = [pa.array([g for g, _ in keys], pa.int32()), pa.array([a for _, a in keys], pa.int32()), pa.array([total[x] for x in keys], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["g", "a", "s"])
+
+    parts = rows.mapInArrow(partial, "g int, a int, s array<double>")
+    added = parts.groupBy("g", "a").agg(*(F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(width))).collect()
+    out = {}
+    for row in added:
+        s = np.array(list(row)[2:])
+        out[row.g, row.a] = s[: k * k].reshape(k, k), s[k * k : -1], float(s[-1])
+    return out
 
 
-def fit_profile(rows: DataFrame, columns: tuple[str, ...], y: str = "y", alphas: tuple[float, ...] = (0.0,), start: np.ndarray | None = None) -> list[Fit]:
-    """A fit for every alpha (0 is Poisson), all in the same passes over the rows,
-    which are computed once and kept, on disk where memory is short."""
-    a = np.array(alphas, dtype=float)
-    kept = rows.select(*(F.col(c).cast("double") for c in columns), F.col(y).cast("double").alias("_y")).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_groups(
+    rows: DataFrame, columns: tuple[str, ...], group: str | None = None, y: str = "y", alphas: tuple[float, ...] = (0.0,), starts: dict[int, np.ndarray] | None = None
+) -> dict[int, list[Fit]]:
+    """For every group (an integer column; without one, all rows are group 0) a fit
+    for every alpha (0 is Poisson), all in the same passes over the rows, which
+    are computed once and kept, on disk where memory is short.  A pass takes the
+    jobs that haven't ended."""
+    k = len(columns) + 1
+    g = F.lit(0) if group is None else F.col(group).cast("int")
+    kept = rows.select(*(F.col(c).cast("double") for c in columns), F.col(y).cast("double").alias("_y"), g.alias("_g")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if start is None:
-            start = np.zeros(len(columns) + 1)
-            start[0] = math.log(max(kept.agg(F.avg("_y")).head()[0] or 0.0, 1e-9))
-        betas = np.tile(start, (len(a), 1))
-        last = np.full(len(a), -np.inf)
-        done = np.zeros(len(a), dtype=bool)
+        if starts is None:
+            means = {r._g: r.m for r in kept.groupBy("_g").agg(F.avg("_y").alias("m")).collect()} or {0: None}
+            starts = {i: np.concatenate([[math.log(max(m or 0.0, 1e-9))], np.zeros(k - 1)]) for i, m in means.items()}
+        betas = {(i, a): start.copy() for i, start in starts.items() for a in range(len(alphas))}
+        last = dict.fromkeys(betas, -np.inf)
+        going = set(betas)
         for _ in range(MAX_ROUNDS):
-            xtx, xtz, llf = _sums(kept, columns, betas, a)
-            done = np.abs(llf - last) <= TOLERANCE * (1.0 + np.abs(llf))
-            last = llf
-            if done.all():
+            found = _sums(kept, k, {j: (betas[j], alphas[j[1]]) for j in going})
+            for j in sorted(going):
+                xtx, xtz, llf = found.get(j, (np.zeros((k, k)), np.zeros(k), 0.0))
+                if abs(llf - last[j]) <= TOLERANCE * (1.0 + abs(llf)):
+                    going.remove(j)
+                else:
+                    betas[j] = np.linalg.lstsq(xtx + 1e-10 * np.eye(k), xtz, rcond=None)[0]
+                last[j] = llf
+            if not going:
                 break
-            for k in np.flatnonzero(~done):
-                betas[k] = np.linalg.lstsq(xtx[k] + 1e-10 * np.eye(len(start)), xtz[k], rcond=None)[0]
     finally:
         kept.unpersist()
-    return [Fit(columns, betas[k], float(last[k]), float(a[k]), bool(done[k])) for k in range(len(a))]
+    return {i: [Fit(columns, betas[i, a], last[i, a], float(alpha), (i, a) not in going) for a, alpha in enumerate(alphas)] for i in starts}
+
+
+def fit_profile(rows: DataFrame, columns: tuple[str, ...], y: str = "y", alphas: tuple[float, ...] = (0.0,), start: np.ndarray | None = None) -> list[Fit]:
+    """A fit of all rows for every alpha."""
+    return fit_groups(rows, columns, None, y, alphas, None if start is None else {0: start})[0]
 
 
 def fit_poisson(rows: DataFrame, columns: tuple[str, ...], y: str = "y") -> Fit:
     return fit_profile(rows, columns, y)[0]
 
 
+def fit_nb_groups(rows: DataFrame, columns: tuple[str, ...], group: str | None = None, y: str = "y", grid: tuple[float, ...] = ALPHA_GRID) -> dict[int, Fit]:
+    """For every group the dispersion of the grid with the greatest log-likelihood,
+    the first of equals; fits that haven't converged compete only among themselves."""
+    starts = {i: fits[0].beta for i, fits in fit_groups(rows, columns, group, y).items()}
+    out = {}
+    for i, fits in fit_groups(rows, columns, group, y, grid, starts).items():
+        out[i] = max((f for f in fits if np.isfinite(f.llf)), key=lambda f: (f.converged, f.llf))
+        out[i].profile = [(f.alpha, f.llf) for f in fits]
+    return out
+
+
 def fit_nb(rows: DataFrame, columns: tuple[str, ...], y: str = "y", grid: tuple[float, ...] = ALPHA_GRID) -> Fit:
-    """The dispersion of the grid with the greatest log-likelihood, the first of
-    equals; fits that haven't converged compete only among themselves."""
-    start = fit_poisson(rows, columns, y).beta
-    fits = fit_profile(rows, columns, y, grid, start)
-    best = max((f for f in fits if np.isfinite(f.llf)), key=lambda f: (f.converged, f.llf))
-    best.profile = [(f.alpha, f.llf) for f in fits]
-    return best
+    return fit_nb_groups(rows, columns, None, y, grid)[0]
 
 
 def linear_predictor(columns: tuple[str, ...], beta: np.ndarray) -> Column:
@@ -132,6 +167,17 @@ def predict(columns: tuple[str, ...], beta: np.ndarray, floor: float = 1e-9) ->
     return F.greatest(F.exp(eta), F.lit(floor))
 
 
+def predict_groups(rows: DataFrame, group: str, columns: tuple[str, ...], fits: dict[int, Fit], floor: float = 1e-9) -> DataFrame:
+    """rows with mu by their group's fit: predict(), from a table of a row for each group."""
+    schema = f"`{group}` int, _b array<double>"
+    known = rows.sparkSession.createDataFrame([(i, [float(b) for b in f.beta]) for i, f in fits.items()], schema)
+    eta = F.get("_b", F.lit(0))
+    for i, c in enumerate(columns, 1):
+        eta = eta + F.col(c) * F.get("_b", F.lit(i))
+    mu = F.greatest(F.exp(F.greatest(F.lit(-ETA_LIMIT), F.least(F.lit(ETA_LIMIT), eta))), F.lit(floor))
+    return rows.join(F.broadcast(known), group).withColumn("mu", mu).drop("_b")
+
+
 def overdispersion_test(poisson: Fit, nb: Fit) -> dict[str, object]:
     """Likelihood ratio of NB to Poisson; the null lies on the boundary, so half the chi-square tail."""
     stat = max(0.0, 2.0 * (nb.llf - poisson.llf))

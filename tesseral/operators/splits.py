@@ -79,3 +79,13 @@ def scale(rows: DataFrame, columns: tuple[str, ...], scaler: DataFrame) -> DataF
     """The columns standardised by a fitted scaler, whose rows fit one per feature."""
     fitted = {r.feature: (r.mean, r.scale) for r in scaler.collect()}
     return rows.withColumns({c: (F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1]) for c in columns})
+
+
+def scale_folds(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """year_folds() with the columns standardised on each fold's train rows, as
+    scale() by fit_scaler() of that fold alone."""
+    train = rows.where("NOT is_test").groupBy("fold")
+    stats = train.agg(*(x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))
+    unit = lambda c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / unit(c) for c in columns}
+    return rows.join(F.broadcast(stats), "fold").withColumns(scaled).drop(*(f"_{x}_{c}" for x in "ms" for c in columns))
