@@ -29,7 +29,7 @@ def scaled_split(panel: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame,
     return scaled.where("NOT is_test"), scaled.where("is_test")
 
 
-def _row(spark: SparkSession, name: str, kind: str, scored: DataFrame, alpha: float | None) -> DataFrame:
+def comparison_row(name: str, kind: str, scored: DataFrame, alpha: float | None) -> DataFrame:
     m = metrics.basic_metrics(scored)
     return m.select(
         F.lit(name).alias("model"), F.lit(kind).alias("model_type"), "mae", "rmse", F.col("mpd").alias("mean_poisson_deviance"),
@@ -46,7 +46,7 @@ def classical_models(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) ->
     model, a failed one with nulls, and the fits."""
     spark, rows = panel.sparkSession, panel
     test = splits.split_by_week(rows).where("is_test")
-    out = _row(spark, "Naive", "Baseline", test.withColumn("mu", F.greatest("y_lag1", F.lit(FLOOR))), None)
+    out = comparison_row("Naive", "Baseline", test.withColumn("mu", F.greatest("y_lag1", F.lit(FLOOR))), None)
     fits: dict[str, glm.Fit] = {}
     for label, columns in (("Baseline", BASELINE_FEATURES), ("Enhanced", ENHANCED_FEATURES)):
         train, held = scaled_split(rows, columns)
@@ -54,19 +54,39 @@ def classical_models(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) ->
             name = f"{family}_{label}"
             try:
                 f = fits[name] = fit(train, columns)
-                row = _row(spark, name, family, held.withColumn("mu", glm.predict(columns, f.beta)), f.alpha if family == "NB" else None)
+                row = comparison_row(name, family, held.withColumn("mu", glm.predict(columns, f.beta)), f.alpha if family == "NB" else None)
             except Exception as why:  # noqa: BLE001 - a model that fails, in whatever way, is a row of its own
                 row = failed(spark, name, family, why)
             out = out.unionByName(row)
     return out, fits
 
 
+def classical_predictions(panel: DataFrame, fits: dict[str, glm.Fit]) -> DataFrame:
+    """Test predictions of persistence and of classical_models()'s fits, as a long table."""
+    held = splits.split_by_week(panel).where("is_test").withColumn("mu", F.greatest("y_lag1", F.lit(FLOOR)))
+    named = lambda rows, name, alpha: rows.select(
+        F.lit(name).alias("model"), F.lit("nb" if alpha else "poisson").alias("family"), F.lit(alpha).cast("double").alias("alpha"), "cell_id", "week", "y", "mu"
+    )
+    out = named(held, "Naive", None)
+    for columns in dict.fromkeys(f.columns for f in fits.values()):
+        scaled = scaled_split(panel, columns)[1]
+        for name, f in fits.items():
+            if f.columns == columns:
+                out = out.unionByName(named(scaled.withColumn("mu", glm.predict(columns, f.beta)), name, f.alpha or None))
+    return out
+
+
 def lr_test(panel: DataFrame, grid: tuple[float, ...] = ALPHA_GRID) -> DataFrame:
     """Likelihood ratio of NB to Poisson on the enhanced features' train rows: one row."""
     train, _ = scaled_split(panel, ENHANCED_FEATURES)
-    row = glm.overdispersion_test(glm.fit_poisson(train, ENHANCED_FEATURES), glm.fit_nb(train, ENHANCED_FEATURES, grid=grid))
+    return overdispersion_row(panel.sparkSession, glm.fit_poisson(train, ENHANCED_FEATURES), glm.fit_nb(train, ENHANCED_FEATURES, grid=grid))
+
+
+def overdispersion_row(spark: SparkSession, poisson: glm.Fit, nb: glm.Fit) -> DataFrame:
+    """glm.overdispersion_test() as a table of one row."""
+    row = glm.overdispersion_test(poisson, nb)
     kinds = {int: "long", float: "double", str: "string"}
-    return panel.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in row.items()))
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in row.items()))
 
 
 NETWORKS = (

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.config import ENHANCED_FEATURES, IDENTIFIABILITY_SEEDS
 from tesseral.functions import dist, grid as G
 from tesseral.operators import etas, evaluation as V, glm, metrics as M, spatial, splits, stats
-from tesseral.plans import sql
-from tesseral.plans.panel_queries import binned, cells, cutoff, panel, r6
-from tesseral.sources.staging import stage
+from tesseral.plans import sql, study
+from tesseral.plans.panel_queries import READ, binned, cells, cutoff, panel, r6
+from tesseral.sources import keyed
+from tesseral.sources.staging import shared_folder, stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -413,3 +416,27 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v6_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each walk-forward model's mean deviance lies below the regression's."""
     return V.improvements(walk_forward(spark, sf_dir))
+
+
+@query("k3_study_results")
+def k3_study_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve tables of the orders catalogue, written to the shared folder."""
+    folder = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
+    kind = "orders"
+    return study.run(stage(READ[kind](spark, sf_dir)), stage(binned(spark, sf_dir, kind)), panel(spark, sf_dir, kind), folder, (1998, 1999, 2000, 2001))
+
+
+@query(
+    "k4_stored_upsert",
+    f"""WITH {sql.binned('orders')}, a AS (SELECT cell_id, year(week) AS year, count(*)::BIGINT AS n FROM binned WHERE year(week) < 1998 GROUP BY ALL),
+      b AS (SELECT cell_id, year(week) AS year, count(*)::BIGINT AS n, round(max(mag), 6) AS top FROM binned WHERE year(week) >= 1996 GROUP BY ALL)
+      SELECT cell_id, year, n, NULL::DOUBLE AS top FROM a WHERE NOT EXISTS (FROM b WHERE b.cell_id = a.cell_id AND b.year = a.year) UNION ALL SELECT cell_id, year, n, top FROM b""",
+)
+def k4_stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly counts by cell, stored up to 1997, then replaced and added to from 1996 on."""
+    folder = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    rows = binned(spark, sf_dir, "orders").withColumn("year", F.year("week").cast("long"))
+    counts = rows.groupBy("cell_id", "year")
+    keyed.upsert(counts.agg(F.count(F.lit(1)).alias("n")).where("year < 1998"), folder, ["cell_id", "year"])
+    keyed.upsert(counts.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("mag"), 6).alias("top")).where("year >= 1996"), folder, ["cell_id", "year"])
+    return keyed.read(spark, folder)
