@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tesseral.config import FLOOR, PIT_FLOOR
 from tesseral.functions import dist
+from tesseral.operators.quantiles import percentiles
+from tesseral.sources.staging import stage
 
 PREDICTION = ("model", "family", "alpha", "cell_id", "week", "y", "mu")
 STRATA = ("Q1 (low)", "Q2", "Q3", "Q4 (high)", "Y>=5", "All")
@@ -40,7 +42,7 @@ def basic_metrics(rows: DataFrame, *keys: str) -> DataFrame:
 
 def with_strata(rows: DataFrame) -> DataFrame:
     """One row per stratum that holds the prediction: quartiles of its model's y, y >= 5, all."""
-    q = rows.groupBy("model").agg(F.percentile("y", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75)))).alias("q"))
+    q = percentiles(rows, ["model"], "y", [0.25, 0.5, 0.75])
     y, q25, q50, q75 = F.col("y"), F.get("q", F.lit(0)), F.get("q", F.lit(1)), F.get("q", F.lit(2))
     inside = (y <= q25, (y > q25) & (y <= q50), (y > q50) & (y <= q75), y > q75, y >= 5, F.lit(True))
     labels = F.array_compact(F.array(*(F.when(c, F.lit(s)) for c, s in zip(inside, STRATA, strict=True))))
@@ -51,8 +53,8 @@ def tail_evaluation(rows: DataFrame) -> DataFrame:
     """n, MAE, RMSE, deviance, negative log-likelihood (as is, and complete for
     both families) and CRPS by model and stratum; empty strata are absent."""
     y, mu, alpha, family = F.col("y"), F.col("mu"), F.coalesce("alpha", F.lit(1.0)), F.col("family")
-    labelled = with_strata(rows)
-    k_max = labelled.groupBy("model", "stratum").agg((F.floor(F.percentile("y", F.lit(0.99))) + 20).alias("k_max"))
+    labelled = with_strata(stage(rows))
+    k_max = percentiles(labelled, ["model", "stratum"], "y", [0.99]).select("model", "stratum", (F.floor(F.get("q", F.lit(0))) + 20).alias("k_max"))
     nll = F.when(family == "nb", dist.nb_nll(y, mu, alpha)).otherwise(dist.poisson_nll(y, mu))
     full = F.when(family == "nb", dist.nb_nll(y, mu, alpha)).otherwise(dist.poisson_nll_full(y, mu))
     score = dist.crps(family, y, mu, alpha, F.col("k_max"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesseral.config import BIN_WIDTH, LN10, MC_CORRECTION, MIN_EVENTS_B
 from tesseral.functions.grid import edges, finite
+from tesseral.operators.quantiles import percentiles
+from tesseral.sources.staging import stage
 
 
 def cell_dispersion(panel: DataFrame) -> DataFrame:
@@ -34,13 +36,14 @@ def dispersion_verdict(d: Column) -> Column:
 
 def dispersion_summary(panel: DataFrame) -> DataFrame:
     """One row: global figures, mean and median of the cells' ratios, shares above 1 and 1.5."""
-    cells = cell_dispersion(panel).agg(
+    ratios = stage(cell_dispersion(panel))
+    middle = percentiles(ratios, [], "d_cell", [0.5]).select(F.get("q", F.lit(0)).alias("median_d_cell"))
+    cells = ratios.agg(
         F.avg("d_cell").alias("mean_d_cell"),
-        F.percentile("d_cell", F.lit(0.5)).alias("median_d_cell"),
         F.avg(F.when(F.col("d_cell") > 1.0, 100.0).when(F.col("d_cell").isNotNull(), 0.0)).alias("pct_above_1"),
         F.avg(F.when(F.col("d_cell") > 1.5, 100.0).when(F.col("d_cell").isNotNull(), 0.0)).alias("pct_above_1_5"),
     )
-    return global_dispersion(panel).crossJoin(cells).withColumn("verdict", dispersion_verdict(F.col("d")))
+    return global_dispersion(panel).crossJoin(cells).crossJoin(middle).withColumn("verdict", dispersion_verdict(F.col("d")))
 
 
 def reconciliation(binned: DataFrame, sparse: DataFrame, base: DataFrame) -> DataFrame:
@@ -138,11 +141,10 @@ def alpha_histogram(rows: DataFrame, bins: int = 40) -> DataFrame:
 def alpha_audit(rows: DataFrame, *keys: str) -> DataFrame:
     """n, mean, median, 10 % and 90 % quantiles and the share below 0.01 of finite alphas."""
     a = F.col("alpha_pred")
-    return rows.where(finite(a)).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(a).alias("mean_alpha"),
-        F.percentile(a, F.lit(0.5)).alias("median_alpha"),
-        F.percentile(a, F.lit(0.1)).alias("q10_alpha"),
-        F.percentile(a, F.lit(0.9)).alias("q90_alpha"),
-        F.avg((a < 1e-2).cast("double")).alias("share_alpha_below_1e_2"),
-    )
+    rows = rows.where(finite(a))
+    shares = {"median_alpha": 0.5, "q10_alpha": 0.1, "q90_alpha": 0.9}
+    q = percentiles(rows, list(keys), "alpha_pred", list(shares.values()))
+    q = q.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(shares)))
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_alpha"), F.avg((a < 1e-2).cast("double")).alias("share_alpha_below_1e_2"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return out.join(q, same or F.lit(True), "left").select(*keys, "n", "mean_alpha", *shares, "share_alpha_below_1e_2")
