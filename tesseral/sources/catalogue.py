@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import urllib.parse
-import urllib.request
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,25 +10,17 @@ from tesseral.config import END_DATE, MIN_MAGNITUDE, START_DATE, Grid
 from tesseral.operators.ingest import CATALOGUE_COLUMNS, naive_utc, upsert
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CATALOGUE_COLUMNS])
-TIMEOUT = 30
 
 
 def request_params(grid: Grid = Grid(), start: str = START_DATE, end: str = END_DATE, min_magnitude: float = MIN_MAGNITUDE) -> dict[str, str]:
-    """Query parameters of an FDSN event service for the study's box."""
+    """Query parameters of an FDSN event service for the study's box; service.fetch_events() sends them.
+    Fixed values: the parameters' names."""
     return {
         "format": "csv", "starttime": start, "endtime": end, "minmagnitude": str(min_magnitude), "minlatitude": str(grid.lat_min),
         "maxlatitude": str(grid.lat_max), "minlongitude": str(grid.lon_min), "maxlongitude": str(grid.lon_max), "orderby": "time-asc",
     }
 
 
-def fetch_csv(spark: SparkSession, url: str, params: dict[str, str], timeout: int = TIMEOUT) -> DataFrame:
-    """A service's answer as raw events; an HTTP error is raised.  One request is
-    one answer, so this is for a study's box, not for a bulk load."""
-    with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=timeout) as answer:
-        lines = answer.read().decode("utf-8").splitlines()
-    return spark.read.csv(spark.sparkContext.parallelize(lines), header=True).select(*CATALOGUE_COLUMNS)
-
-
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw events from CSV with a header, or Parquet, as text columns."""
     if path.rstrip("/").endswith(".csv"):
