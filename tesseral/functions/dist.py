@@ -29,7 +29,7 @@ STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 /
 def _nodes(n: int = 64) -> Column:
     """Gauss-Legendre nodes x of [0, 1] with their weights w."""
     x, w = np.polynomial.legendre.leggauss(n)
-    return F.array(*(F.struct(F.lit(float(a + 1) / 2).alias("x"), F.lit(float(b) / 2).alias("w")) for a, b in zip(x, w, strict=True)))
+    return F.expr("array(" + ", ".join(f"named_struct('x', {float(a + 1) / 2:.17e}D, 'w', {float(b) / 2:.17e}D)" for a, b in zip(x, w, strict=True)) + ")")
 
 
 def _steps(n: Column) -> Column:
@@ -148,7 +148,7 @@ def _smaller_side(family: Column, k: Column, m: Column, a: Column) -> Column:
         """Distance of the end from 0, at most FAR."""
         bend = F.when(s["nb"], (s["b"] + s["r"]) * s["q"] * s["p"]).otherwise(s["m"])
         step = lambda x, _: F.least(x - (h(s, s["way"] * x) + DEPTH) / (s["way"] * slope(s, s["way"] * x)), F.lit(FAR))
-        return F.aggregate(F.array(*map(F.lit, range(6))), F.least(F.sqrt(F.lit(2.0 * DEPTH) / bend), F.lit(FAR)), step)
+        return F.aggregate(F.expr("sequence(1, 6)"), F.least(F.sqrt(F.lit(2.0 * DEPTH) / bend), F.lit(FAR)), step)
 
     def log_factor(s: Column) -> Column:
         """ln of q^b (1 - q)^r / B(b, r), or of m^b e^-m / Gamma(b)."""
@@ -171,7 +171,9 @@ def _either_side(family: Column, k: Column, mu: Column, alpha: Column, floor: fl
     m, a = F.greatest(mu, F.lit(floor)), F.greatest(F.coalesce(alpha, F.lit(1.0)), F.lit(floor))
     m, k = m.cast("double"), k.cast("double")
     small = _smaller_side(family, k, m, a)
-    by_integral = F.when((m > k + 1) != F.lit(upper), small).otherwise(F.lit(1.0) - small)
+    by_integral = _let(
+        F.struct(small.alias("v"), ((m > k + 1) != F.lit(upper)).alias("asked")), lambda s: F.when(s["asked"], s["v"]).otherwise(F.lit(1.0) - s["v"])
+    )
     summed = _sum_of_terms(family, k, m, a)
     by_sum = F.lit(1.0) - summed if upper else summed
     return F.when(k.isNull() | mu.isNull(), F.lit(None).cast("double")).when(k < 0, F.lit(1.0 if upper else 0.0)).when(k <= SUM_UP_TO, by_sum).otherwise(F.least(by_integral, F.lit(1.0)))
@@ -205,5 +207,5 @@ def crps(family: Column, y: Column, mu: Column, alpha: Column, k_max: Column) ->
 
 def randomised_pit(family: Column, y: Column, mu: Column, alpha: Column, u: Column, floor: float) -> Column:
     """F(y - 1) + u (F(y) - F(y - 1)), in [0, 1]."""
-    below = cdf(family, y - 1, mu, alpha, floor)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), below + u * (cdf(family, y, mu, alpha, floor) - below)))
+    ends = F.struct(cdf(family, y - 1, mu, alpha, floor).alias("below"), cdf(family, y, mu, alpha, floor).alias("at"), u.alias("u"))
+    return _let(ends, lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["below"] + s["u"] * (s["at"] - s["below"]))))
