@@ -143,6 +143,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert again == got
 
 
+def test_toxicity_is_learned_from_all_rows(spark):
+    n = 4300
+    ids = spark.range(2 * n).withColumn("key", F.xxhash64(F.lit(13), F.col("id")))
+    ranked = [r.id for r in ids.orderBy("key", "id").collect()]
+    toxic = [i for i in ranked if i % 2]
+    late = set(toxic[4000:])  # a word of these rows alone
+    words = lambda i: "vile" if i in late else "grim" if i % 2 else f"w{i % 11}"
+    docs = spark.createDataFrame([(i, f"w{i % 7} {words(i)} w{i % 5}", "aa") for i in ranked], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ranked], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    asked = spark.createDataFrame([(1, "w1 vile w2"), (2, "w1 grim w2"), (3, "w1 w3 w2")], "doc_id long, text string")
+    assert {r.doc_id: r.score >= 0.5 for r in toxicity.score(asked, model).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_toxicity_in_parts_of_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_WORDS", 5000)
+    rows = _toxic_rows(900, 3)
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows if r[0] % 7], "doc_id long, quality int, toxic int")
+    got = []
+    for own, n in ((rows, 1), (rows[::-1] + rows[:50], 7)):
+        docs = spark.createDataFrame([r[:3] for r in own], "doc_id long, text string, lang string").repartition(n)
+        parts = toxicity.deal(toxicity.examples(docs, labels))
+        assert parts.count() == len({r.part for r in parts.collect()}) > 3
+        assert sum(len(r.toxic) for r in parts.collect()) == sum(1 for r in rows if r[0] % 7)
+        got.append(toxicity.train(docs, labels))
+    assert np.allclose(got[0].thresholds, got[1].thresholds) and np.allclose(got[0].embedding, got[1].embedding)
+
+
 def test_pooling_in_blocks_equals_windows(monkeypatch):
     rng = np.random.default_rng(1)
     model = toxicity.Classifier()
