@@ -20,8 +20,9 @@ model on its own rows, and the copies are averaged, an embedding over the parts
 that changed it; the counts, the languages and the thresholds are sums over the
 parts.  A round's loss is that of a fifth of all rows, chosen by hash, which no
 part trains on; the same rows choose the thresholds.  Where either share lacks a
-label, all rows do both.  Sums are of multiples of one power of two, so neither
-the order of the parts nor the layout of the table changes them.  Texts of any
+label, all rows do both.  Each sum is of multiples of one power of two, so
+neither the order of the parts nor the layout of the table changes it.  Words
+move once, 18 bits each; sums move as compressed slices of rows.  Texts of any
 length are read whole, a block of words at a time.
 
 Null and wordless texts have no window, and what the linear layer says of none.
@@ -60,12 +61,43 @@ EXAMPLES = 20
 PLACES, MOST = 1024, 90
 _LANG_BUCKETS = 1 << 16
 _TAIL = max(WIDTHS) - 1
+#: Bits after the point of an embedding's change, as many as float32 has below 1; rows of a sum that move together.
+CHANGE_BITS, SLICE = 24, 1 << 15
 
 
 def word_buckets(text: str | None) -> np.ndarray:
     return (word_hashes(text) % U64(BUCKETS)).astype(np.int32)
 
 
+def press_words(words: np.ndarray) -> bytes:
+    """Word buckets in 18 bits each: the low 16, then the high two of four words a byte."""
+    high = np.zeros(-(-len(words) // 4) * 4, dtype=np.uint8)
+    high[: len(words)] = words >> 16
+    high = high.reshape(-1, 4)
+    return words.astype("<u2").tobytes() + (high[:, 0] | high[:, 1] << 2 | high[:, 2] << 4 | high[:, 3] << 6).tobytes()
+
+
+def unpress_words(body: bytes | pa.Buffer, n: int) -> np.ndarray:
+    low = np.frombuffer(body, dtype="<u2", count=n).astype(np.int32)
+    high = np.frombuffer(body, dtype=np.uint8, offset=2 * n)
+    return low | (np.stack([high >> k & 3 for k in (0, 2, 4, 6)], axis=1).ravel()[:n].astype(np.int32) << 16)
+
+
+def press_rows(at: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """Ascending places and their rows of doubles, compressed byte by byte of a number, as like bytes compress best."""
+    parts = np.diff(at, prepend=0).astype("<i4"), np.ascontiguousarray(rows.T, dtype="<f8").ravel()
+    planes = [plane for x in parts for plane in x.view(np.uint8).reshape(len(x), -1).T]
+    return [pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True) for x in planes]
+
+
+def unpress_rows(bodies: list[bytes], n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(own: list[bytes], size: int, kind: str) -> np.ndarray:
+        planes = [np.frombuffer(pa.decompress(x, size, codec="zstd"), dtype=np.uint8) for x in own]
+        return np.stack(planes, axis=1).view(kind).ravel()
+
+    return np.cumsum(numbers(bodies[:4], n, "<i4")), numbers(bodies[4:], n * width, "<f8").reshape(width, n).T
+
+
 class Classifier:
     """The parameters, and the scores of texts given as word buckets."""
 
@@ -309,7 +341,7 @@ def _round(sent: tuple[Classifier, dict, bool, int, int], parts: Iterator[Part])
             own = order[a : a + BATCH]
             _step(model, [part.texts[i] for i in own], part.toxic[own], state)
         changed = np.flatnonzero(state["seen"] != known["seen"])
-        out[changed, :DIM] += _exact(model.embedding[changed].astype(np.float64) - base.embedding[changed])
+        out[changed, :DIM] += _exact(model.embedding[changed].astype(np.float64) - base.embedding[changed], CHANGE_BITS)
         out[changed, DIM] += _exact(state["seen"][changed].astype(np.float64) - known["seen"][changed])
         out[changed, DIM + 1] += 1
         dense = np.concatenate([x.ravel() for x in _dense(model, state)]).astype(np.float64)
@@ -410,11 +442,18 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], see
     return fit_parts(lambda work, sent, _: work(sent, iter([part])), enough, seed)
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, key, words, n, lang, toxic) of all labelled rows: word buckets and their number."""
+class Examples(NamedTuple):
+    """(doc_id, key, words, n, lang) of rows that may be labelled, words pressed, and (doc_id, key, n, lang, toxic) of those that are."""
+
+    texts: DataFrame
+    labelled: DataFrame
+
+
+def examples(docs: DataFrame, labels: DataFrame) -> Examples:
+    """All labelled rows.  Only ids and numbers move to meet the labels; the words move once, in deal()."""
     judged = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     judged = materialise(judged, "judged")
-    # Words, not texts, are moved to meet the labels, and few of rows that have none.
+    # Few rows that have no label are read.
     members = IdFilter(judged.select("doc_id"))
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64(F.lit(13), "doc_id", "text").alias("key"), "text", "lang", members.place("doc_id").alias("place"))
     schema = T.StructType([keyed.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("lang", T.StringType())])
@@ -426,40 +465,49 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 few = few.filter(pa.array(members.hits(few.column(4).to_numpy())))
                 found = [word_buckets(t.as_py()) for t in few.column(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [few.column(0), few.column(1), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), few.column(3)],
+                    [few.column(0), few.column(1), pa.array([press_words(x) for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), few.column(3)],
                     names=schema.names,
                 )
 
-    found = materialise(keyed.mapInArrow(read, schema).join(judged, "doc_id"), "examples")
+    texts = materialise(keyed.mapInArrow(read, schema), "texts")
+    labelled = materialise(texts.select("doc_id", "key", "n", "lang").join(judged, "doc_id"), "examples")
     discard(judged)
-    return found
+    return Examples(texts, labelled)
 
 
-def deal(rows: DataFrame) -> DataFrame:
-    """The rows of examples() in parts of about PART_WORDS words, a part a row."""
-    words = rows.agg(F.sum("n")).head()[0] or 0
+def deal(rows: Examples) -> DataFrame:
+    """The labelled rows in parts of about PART_WORDS words, a part a row."""
+    words = rows.labelled.agg(F.sum("n")).head()[0] or 0
     parts = max(1, -(-words // PART_WORDS))
+    part = F.pmod("key", F.lit(parts)).cast("int").alias("part")
     check = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(5)) == 0
-    dealt = rows.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "doc_id", "key", "words", "n", "lang", "toxic", check.alias("check"))
-    placed = dealt.repartition(parts, "part").sortWithinPartitions("part", "key", "doc_id", "lang")
+    texts = rows.texts.select(part, "key", "doc_id", F.lit(False).alias("label"), "lang", "words", "n", F.lit(None).cast("int").alias("toxic"), check.alias("check"))
+    none = [F.lit(None).cast(texts.schema[x].dataType).alias(x) for x in ("lang", "words", "n")]
+    labels = rows.labelled.select(part, "key", "doc_id", F.lit(True).alias("label"), *none, "toxic", check.alias("check"))
+    # Each text comes behind its label; one without belongs to no labelled row.
+    placed = texts.unionByName(labels).repartition(parts, "part").sortWithinPartitions("part", "key", "doc_id", F.desc("label"), "lang")
     schema = "part int, words binary, n array<long>, toxic array<int>, checks array<boolean>, langs array<string>"
 
     def packed(part: int, own: list[tuple]) -> pa.RecordBatch:
-        words, n, langs, toxic, checks = zip(*own, strict=True)
+        langs, words, n, toxic, checks = zip(*own, strict=True)
+        body = press_words(np.concatenate([unpress_words(x, k) for x, k in zip(words, n, strict=True)]))
         kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.string())
         lists = [pa.array([list(x)], pa.list_(kind)) for x, kind in zip((n, toxic, checks, langs), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b"".join(words)], pa.binary()), *lists], names=["part", "words", "n", "toxic", "checks", "langs"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([body], pa.binary()), *lists], names=["part", "words", "n", "toxic", "checks", "langs"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, own = None, None, []
+        part, labelled, value, own = None, None, None, []
         for few in (batch.slice(a, 500) for batch in batches for a in range(0, batch.num_rows, 500)):
-            for at, doc_id, key, *row in zip(*(c.to_pylist() for c in few.columns), strict=True):
+            for at, key, doc_id, label, lang, words, n, toxic, check in zip(*(c.to_pylist() for c in few.columns), strict=True):
                 if at != part and own:
                     yield packed(part, own)
                     own = []
-                if (at, key, doc_id) != (part, *(last or ())):  # a repeated row teaches once
-                    own.append(row)
-                part, last = at, (key, doc_id)
+                part = at
+                if label:
+                    labelled, value = (at, key, doc_id), toxic
+                elif labelled == (at, key, doc_id):
+                    own.append((lang, words, n, value, check))
+                    labelled = None  # a repeated row teaches once
         if own:
             yield packed(part, own)
 
@@ -471,33 +519,47 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
         for k in range(batch.num_rows):
             number, words, n, toxic, checks, langs = (batch.column(c)[k] for c in range(6))
             ends = np.cumsum(n.values.to_numpy())
-            texts = np.split(np.frombuffer(words.as_buffer(), dtype=np.int32), ends[:-1])
+            texts = np.split(unpress_words(words.as_buffer(), int(ends[-1])), ends[:-1])
             yield Part(number.as_py(), texts, toxic.values.to_numpy().astype(np.float64), checks.values.to_numpy(zero_copy_only=False), langs.as_py())
 
 
+def _sliced(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that aren't zero, pressed, a slice of places a row."""
+    for k in range(-(-len(found) // SLICE)):
+        own = found[k * SLICE : (k + 1) * SLICE]
+        at = np.flatnonzero(own.any(axis=1))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([press_rows(at, own[at])], pa.list_(pa.binary()))], names=["slice", "n", "rows"])
+
+
+def _add(out: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
+    for k, n, bodies in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        at, rows = unpress_rows(bodies, n, out.shape[1])
+        out[k * SLICE + at] += rows
+
+
 def sums_of(parts: DataFrame) -> Sums:
-    """Sums over a table of deal(): tasks send the rows that aren't zero, Spark adds them up."""
+    """Sums over a table of deal(): tasks send the rows that aren't zero by slices of places, and a slice is added up in one task."""
     spark = parts.sparkSession
+    schema = "slice int, n int, rows array<binary>"
 
     def sums(work: Callable[[Any, Iterator[Part]], np.ndarray], sent: Any, shape: tuple[int, int]) -> np.ndarray:
         held = spark.sparkContext.broadcast(sent)
-        names = [f"x{k}" for k in range(shape[1])]
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = work(held.value, _unpacked(batches))
-            at = np.flatnonzero(found.any(axis=1))
-            for a in range(0, len(at), 10_000):
-                own = at[a : a + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x) for x in np.ascontiguousarray(found[own].T))], names=["at", *names])
+            yield from _sliced(work(held.value, _unpacked(batches)))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(shape)
+            for batch in batches:
+                _add(out, batch)
+            yield from _sliced(out)
 
-        rows = parts.mapInArrow(each, ", ".join(["at int", *(f"{x} double" for x in names)]))
         with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}):  # a part or two at a time
-            added = rows.groupBy("at").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+            added = parts.mapInArrow(each, schema).repartition("slice").mapInArrow(add, schema).toArrow()
         held.destroy()
         out = np.zeros(shape)
-        at = added["at"].to_numpy()
-        for k, x in enumerate(names):
-            out[at, k] = added[x].to_numpy()
+        _add(out, added)
         return out
 
     return sums
@@ -505,11 +567,12 @@ def sums_of(parts: DataFrame) -> Sums:
 
 def train(docs: DataFrame, labels: DataFrame, *, seed: int = 0) -> Classifier:
     rows = examples(docs, labels)
-    langs = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("rows"))
-    enough = langs.where((F.col("toxic") >= EXAMPLES) & (F.col("rows") - F.col("toxic") >= EXAMPLES))
+    langs = rows.labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("rows"))
+    enough = langs.where((F.col("toxic") >= EXAMPLES) & (F.col("rows") - F.col("toxic") >= EXAMPLES)).collect()
     parts = deal(rows)
-    model = fit_parts(sums_of(parts), sorted(r.lang for r in enough.collect()), seed)
-    discard(rows)
+    for x in rows:
+        discard(x)
+    model = fit_parts(sums_of(parts), sorted(r.lang for r in enough), seed)
     discard(parts)
     return model
 

@@ -171,6 +171,51 @@ def test_toxicity_in_parts_of_any_layout(spark, monkeypatch):
     assert np.allclose(got[0].thresholds, got[1].thresholds) and np.allclose(got[0].embedding, got[1].embedding)
 
 
+def _shuffled(spark, work):
+    """What work() returns, and the bytes that its stages wrote to shuffles."""
+    sc = spark.sparkContext
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before, out = written(), work()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+def test_toxicity_moves_words_once_and_sums_in_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_WORDS", 30_000)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50_000, 300)), "aa") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(600)], "doc_id long, quality int, toxic int")
+    parts, moved = _shuffled(spark, lambda: toxicity.deal(toxicity.examples(docs, labels)))
+    assert moved < 3 * 180_000  # bytes, words
+    assert sorted(n for r in parts.collect() for n in r.n) == [300] * 600
+    model, state = toxicity.Classifier(), {"t": 0, "seen": np.zeros(toxicity.BUCKETS + 1, dtype=np.float32)}
+    model.embedding[:-1] = rng.normal(0, 0.05, (toxicity.BUCKETS, toxicity.DIM))
+    sent = (model, state, False, 0, 0)
+    found, moved = _shuffled(spark, lambda: toxicity.sums_of(parts)(toxicity._round, sent, toxicity._round_shape(model)))
+    own = parts.toArrow().to_batches()
+    want = toxicity._round(sent, toxicity._unpacked(own))
+    assert np.allclose(found, want, atol=1e-4)  # matrix products may differ in their last bits
+    counts = toxicity.sums_of(parts)(toxicity._count, None, (toxicity.BUCKETS + 2, 4))
+    assert np.array_equal(counts, toxicity._count(None, toxicity._unpacked(own))) and counts.any()
+    changed = np.count_nonzero(found[: toxicity.BUCKETS, toxicity.DIM + 1])
+    assert changed > 10_000 and moved < 45 * changed
+
+
+def test_pressed_words_and_rows_come_back():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 3, 4, 5, 1001):
+        words = rng.integers(0, toxicity.BUCKETS, n).astype(np.int32)
+        assert np.array_equal(toxicity.unpress_words(toxicity.press_words(words), n), words)
+    rows = rng.normal(size=(100, 3)) * 10.0 ** rng.integers(-9, 9, (100, 3))
+    at = np.sort(rng.choice(toxicity.SLICE, 100, replace=False))
+    back_at, back = toxicity.unpress_rows(toxicity.press_rows(at, rows), 100, 3)
+    assert np.array_equal(back_at, at) and np.array_equal(back, rows)
+
+
 def test_pooling_in_blocks_equals_windows(monkeypatch):
     rng = np.random.default_rng(1)
     model = toxicity.Classifier()
