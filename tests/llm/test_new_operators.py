@@ -66,6 +66,16 @@ def test_audit_of_ids_in_any_order_equals_brute_force(spark, tmp_path, monkeypat
     assert [(k, found[k], v) for k, v in want.items() if found[k] != v][:3] == []
 
 
+def test_labels_of_the_audit_are_never_broadcast(spark, sf_dir, capsys):
+    static = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/documents.parquet")
+    filter_audit.stream_changes(stream, spark.read.parquet(f"{sf_dir}/labels.parquet"), 3, 5).explain()
+    plan = capsys.readouterr().out
+    # One exchange of each side, by the given number of tasks.
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert plan.count("ENSURE_REQUIREMENTS") == 1  # labels by id
+
+
 def test_text_masks_in_blocks(monkeypatch):
     text = ("Some Words, é ü Some " * 300 + "endless" * 50).encode()
     whole = filter_audit.text_mask(text)
