@@ -70,3 +70,13 @@ def test_improvements_over_the_regression(spark):
     df = spark.createDataFrame(rows, "year int, model string, mean_poisson_deviance double")
     assert {r.model: r.improvement_pct for r in evaluation.improvements(df).collect()} == {"NB_Enhanced": 0.0, "ETAS": 50.0, "Hybrid_NB": None}
     assert {r.improvement_pct for r in evaluation.improvements(df.where("model != 'NB_Enhanced'")).collect()} == {None}
+
+
+def test_fold_forecasts_read_fits_that_are_made_once(spark, monkeypatch):
+    caught, once = [], evaluation.etas.forecast
+    monkeypatch.setattr(evaluation, "ENHANCED_FEATURES", COLUMNS)
+    monkeypatch.setattr(evaluation.etas, "forecast", lambda weeks, times, params, *a: caught.append(params) or once(weeks, times, params, *a))
+    binned = _panel(spark).where("y > 0").select("cell_id", F.col("week").alias("time"), (3 + F.col("f2") / 4).alias("mag"))
+    scores = evaluation.walk_forward(_panel(spark), binned, (2020, 2021), 7.0, grid=GRID, how=mlp.Training(epochs=1)).where("model = 'ETAS'").collect()
+    assert {r.year: r.status for r in scores} == {2020: "OK", 2021: "OK"}
+    assert [("FlatMapGroups" in p._jdf.queryExecution().toString()) for p in caught] == [False]
