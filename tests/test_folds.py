@@ -80,3 +80,12 @@ def test_fold_forecasts_read_fits_that_are_made_once(spark, monkeypatch):
     scores = evaluation.walk_forward(_panel(spark), binned, (2020, 2021), 7.0, grid=GRID, how=mlp.Training(epochs=1)).where("model = 'ETAS'").collect()
     assert {r.year: r.status for r in scores} == {2020: "OK", 2021: "OK"}
     assert [("FlatMapGroups" in p._jdf.queryExecution().toString()) for p in caught] == [False]
+
+
+def test_predictions_of_any_size_are_whole(spark):
+    rows = spark.createDataFrame([(1, float(x)) for x in (-800, -40, 0, 29, 31, 70, 480)], "fold int, f1 double")
+    want = [max(np.exp(x), 1e-9) for x in (-800, -40, 0, 29, 31, 70, 480)]
+    alone = [r.mu for r in rows.withColumn("mu", glm.predict(("f1",), np.array([0.0, 1.0]))).orderBy("f1").collect()]
+    fits = {1: glm.Fit(("f1",), np.array([0.0, 1.0]), 0.0)}
+    by_fold = [r.mu for r in glm.predict_groups(rows, "fold", ("f1",), fits).orderBy("f1").collect()]
+    assert alone == pytest.approx(want, rel=1e-12) and by_fold == pytest.approx(want, rel=1e-12)
