@@ -60,3 +60,18 @@ def test_log_rising(spark, r):
     want = [float(sum(((D(r) + j).ln() for j in range(y)), D(0))) for y in ys]
     assert got == pytest.approx(want, rel=1e-13, abs=1e-12)
     assert dist.STIRLING[0] == pytest.approx(1 / 12) and math.isclose(want[1], math.log(r))
+
+
+def test_large_counts_have_the_whole_distribution_function(spark):
+    # Beyond the 100 terms at which the queries' SQL ends.
+    rows = spark.createDataFrame([("poisson", 955, 900.0, None), ("nb", 955, 900.0, 0.5), ("poisson", 130, 110.0, None)], "family string, y long, mu double, alpha double")
+    got = [r.cdf for r in rows.withColumn("cdf", dist.cdf(F.col("family"), F.col("y"), F.col("mu"), F.col("alpha"))).collect()]
+    want = []
+    for family, y, mu, alpha in [tuple(r) for r in rows.collect()]:
+        r = 1 / alpha if alpha else None
+        log = [
+            math.lgamma(k + r) - math.lgamma(k + 1) - math.lgamma(r) + r * math.log(r / (r + mu)) + k * math.log(mu / (r + mu)) if family == "nb" else k * math.log(mu) - mu - math.lgamma(k + 1)
+            for k in range(y + 1)
+        ]
+        want.append(math.fsum(map(math.exp, log)))
+    assert got == pytest.approx(want, rel=1e-10)
