@@ -142,3 +142,16 @@ class DoubleArray:
                 to, ok = state, self.check[state] == _ROOT
             at, state = at[ok], to[ok]
         return np.bincount(self.accept[state], minlength=n)
+
+    def find(self, phrases: np.ndarray) -> np.ndarray:
+        """The number of the key that each phrase, a row of tokens, is; -1 where it is none."""
+        code = self.alphabet(phrases.ravel()).reshape(phrases.shape)
+        out, at = np.full(len(phrases), -1, dtype=np.int64), np.flatnonzero(code.all(axis=1))
+        state = self.root + code[at, 0]
+        ok = self.check[state] == _ROOT
+        for d in range(1, phrases.shape[1]):
+            at, state = at[ok], state[ok]
+            to = self.base[state] + code[at, d]
+            ok, state = self.check[to] == state, to
+        out[at[ok]] = self.accept[state[ok]]
+        return out

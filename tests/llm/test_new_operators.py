@@ -316,3 +316,24 @@ def test_short_items_condemn_no_document(spark):
     assert decontamination.drop_contaminated(docs, bench).count() == 2
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench, short_items=True).collect()] == [2]
     assert [r.doc_id for r in decontamination.contaminated_pairs(docs, bench).collect()] == [1]
+
+
+def test_many_tries_take_one_pass_and_are_built_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 6, 40)) for _ in range(30)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
+    run = lambda: sorted(map(tuple, collocations.collocations(docs, least=3).collect()))
+    want = run()
+    monkeypatch.setattr(collocations, "SHARD", 5)
+    monkeypatch.setattr(collocations, "_counts", lambda trie: pytest.fail("a pass for each trie"))
+    assert len(want) > 100 and run() == want
+
+
+def test_phrases_are_found_in_tries():
+    from tesseral.llm.double_array import DoubleArray
+
+    keys = np.array([[3, 5, 7], [3, 5, 9], [4, 4, 4], [9, 3, 5]], dtype=np.uint64)
+    trie = DoubleArray(keys)
+    asked = np.array([[4, 4, 4], [3, 5, 8], [3, 5, 9], [7, 7, 7], [9, 3, 7], [3, 5, 7], [5, 5, 7]], dtype=np.uint64)
+    assert [trie.keys[k].tolist() if k >= 0 else None for k in trie.find(asked)] == [[4, 4, 4], None, [3, 5, 9], None, None, [3, 5, 7], None]
+    assert trie.find(asked[:0]).tolist() == []
